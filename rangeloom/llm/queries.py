@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, quality, sharding, sql
+from . import chat, decontam, quality, sharding, sql, warc
 from .common import read
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(read(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_verdicts(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -21,8 +25,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts are made of control strings.
+PROBE = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
+
+
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op8_sharding)}
+    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op8_sharding, op9_chat)}
 
 
 def oracle_sql():

@@ -54,3 +54,36 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLES = {"op3_quality_rules": QUALITY, "op4_decontamination": DECONTAMINATION}
+
+_CHUNK = "to_base(CAST(('0x' || substr(digest, {at}, 5)) AS BIGINT), 32, 4)"
+_BASE32 = "translate(" + " || ".join(_CHUNK.format(at=1 + 5 * i) for i in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+WARC = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS last FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN last IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM g
+"""
+
+_ESCAPED = r"""replace(replace(replace(replace(replace({x}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"""
+
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(length({_ESCAPED.format(x="role")}) + length({_ESCAPED.format(x="text")}) + {len("<s>[INST][/INST]</s>")}) AS n
+  FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars
+FROM t
+"""
+
+ORACLES |= {"op1_warc": WARC, "op9_chat": CHAT}
