@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, quality, sharding, sql, warc
+from . import chat, decontam, linededup, packing, quality, sharding, sql, warc
 from .common import read
 
 
@@ -21,6 +21,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -34,8 +38,12 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op8_sharding, op9_chat)}
+    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op5_line_dedup, op8_sharding, op9_chat, op10_packing)}
 
 
 def oracle_sql():

@@ -87,3 +87,19 @@ FROM t
 """
 
 ORACLES |= {"op1_warc": WARC, "op9_chat": CHAT}
+
+_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32)"
+
+LINE_DEDUP = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents),
+k AS (SELECT doc_id, i, line, trim({LOWERED.replace("text", "line")}, {_SPACES}) AS key FROM l),
+f AS (SELECT key, min(doc_id) AS lo FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+j AS (SELECT k.*, f.lo IS NOT NULL AND k.doc_id <> f.lo AS dropped FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+ORACLES |= {"op5_line_dedup": LINE_DEDUP}
