@@ -11,70 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import Text, chunks, text_bytes
-
 #: The pattern of the rank files' pretokens, and the free id that ends a document.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = 50256
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: Tokens of a block that is packed together; distinct pieces whose ids are kept.
-BLOCK_TOKENS, CACHE = 1 << 20, 400_000
-
-#: Bytes that may follow a space at which a text is cut: no white space, and no first byte of a white-space character beyond ASCII.
-_AFTER = np.zeros(256, bool)
-_AFTER[0x21:0x7F] = _AFTER[0xC3:0xE1] = _AFTER[0xE4:0xF5] = True
-
-
-def units_of(text: Text, cut: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The texts cut before each byte where `cut` holds and at their ends: codes, distinct units, units per row."""
-    n = len(text.data)
-    starts = cut.copy()
-    inner = text.offsets[:-1]
-    starts[inner[inner < n]] = True
-    at = np.append(np.flatnonzero(starts), n)
-    units = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text.data)]).dictionary_encode()
-    return units.indices.to_numpy(), units.dictionary, np.diff(np.searchsorted(at[:-1], text.offsets))
-
-
-class ByteBpe:
-    """Byte-level BPE over the rank file's bytes. Pretokens never cross the cuts, so each distinct unit is encoded once."""
-
-    def __init__(self, ranks: bytes):
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.split = regex.compile(PATTERN)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def unit(self, unit: bytes) -> np.ndarray:
-        if (ids := self.known.get(unit)) is None:
-            ids = np.array([i for piece in self.split.findall(unit.decode()) for i in self.encoding._encode_single_piece(piece)], np.uint16)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[unit] = ids
-        return ids
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows and their numbers by row; a null is an empty text."""
-        text = text_bytes(column)
-        if not len(text.data):
-            return np.zeros(0, np.uint16), np.zeros(len(column), np.int64)
-        cut = text.data == 32
-        cut[:-1] &= _AFTER[text.data[1:]]
-        cut[-1] = False
-        codes, distinct, rows = units_of(text, cut)
-        ids = [self.unit(u) for u in distinct.to_pylist()]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(first[codes] - (ends - lengths), lengths)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(rows)])]
-        return flat[at], np.diff(bounds)
+#: Tokens of a block that is packed together.
+BLOCK_TOKENS = 1 << 20
+
+
+def encoding_of(ranks: bytes) -> tiktoken.Encoding:
+    """Byte-level BPE over the bytes of a rank file."""
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 class CapacityTree:
@@ -150,15 +102,13 @@ def _pack(ranks, length: int):
     def run(batches):
         from pyspark import TaskContext
 
-        bpe, docs, n = ByteBpe(ranks.value), [], 0
+        encoding, docs, n = encoding_of(ranks.value), [], 0
         block = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in chunks(whole, 1):
-                ids, rows = bpe.encode(batch.column(1))
-                at = 0
-                for doc, size in zip(batch.column(0).to_pylist(), rows.tolist(), strict=True):
-                    docs.append((doc, np.append(ids[at : at + size], np.uint16(END_OF_TEXT))))
-                    at, n = at + size, n + size + 1
+        for batch in batches:
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.array([*encoding.encode_ordinary(text.as_py() or ""), END_OF_TEXT], np.uint16)
+                docs.append((doc.as_py(), ids))
+                n += len(ids)
                 if n >= BLOCK_TOKENS:
                     yield from _packed(block, docs, length)
                     docs, n, block = [], 0, block + 1
