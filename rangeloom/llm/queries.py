@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, neardup, packing, quality, sharding, sql, warc
+from . import chat, decontam, langmodel, linededup, neardup, packing, quality, sharding, sql, warc
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(k=4, percent=80).find(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op5_line_dedup, op7_near_dedup, op8_sharding, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op5_line_dedup, op6_lm_scoring, op7_near_dedup, op8_sharding, op9_chat, op10_packing)}
 
 
 def oracle_sql():
