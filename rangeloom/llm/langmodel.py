@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
+from .common import NOT_SPACE, Table, chunks, saved, text_bytes, words_of
 
 #: Order of the model; n-grams of an order that are kept, at most; discount of counts of n-grams longer than a word.
 ORDER, STATES, DISCOUNT = 3, 1 << 18, 0.75
@@ -30,46 +30,6 @@ LANE = 256
 END, RARE = 0, -1
 
 
-class Table(NamedTuple):
-    """Open-addressed table of non-negative 64-bit keys."""
-
-    keys: np.ndarray
-    at: np.ndarray  # position of the key among those given
-
-    @classmethod
-    def of(cls, keys: np.ndarray) -> Table:
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        table, into = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        at, pending = cls._slot(keys, size - 1), np.arange(len(keys))
-        while len(pending):
-            open_ = np.flatnonzero(table[at[pending]] == -1)
-            _, one = np.unique(at[pending[open_]], return_index=True)
-            put = pending[open_[one]]
-            table[at[put]], into[at[put]] = keys[put], put
-            pending = np.setdiff1d(pending, put, assume_unique=True)
-            at[pending] = (at[pending] + 1) & (size - 1)
-        return cls(table, into)
-
-    @staticmethod
-    def _slot(keys: np.ndarray, mask: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The position of each key, -1 where it isn't there."""
-        mask = len(self.keys) - 1
-        at = self._slot(keys, mask)
-        held = self.keys[at]
-        out = np.where(held == keys, self.at[at], -1)
-        on = np.flatnonzero((held != keys) & (held != -1))
-        while len(on):
-            at[on] = (at[on] + 1) & mask
-            held = self.keys[at[on]]
-            hit = held == keys[on]
-            out[on[hit]] = self.at[at[on[hit]]]
-            on = on[~hit & (held != -1)]
-        return out
-
-
 class Tokens(NamedTuple):
     """Rows as tokens: each row is the end token before it, its words and its end token. begins and ends are of the rows' own tokens."""
 

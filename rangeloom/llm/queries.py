@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langmodel, linededup, neardup, packing, quality, sharding, sql, warc
+from . import chat, decontam, langmodel, linededup, neardup, packing, quality, segments, sharding, sql, warc
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.sample_segmentations(read(spark, sf_dir, "documents"), k=3)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_verdicts(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_decontamination, op5_line_dedup, op6_lm_scoring, op7_near_dedup, op8_sharding, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_quality_rules, op4_decontamination, op5_line_dedup, op6_lm_scoring, op7_near_dedup, op8_sharding, op9_chat, op10_packing)}
 
 
 def oracle_sql():
