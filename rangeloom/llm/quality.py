@@ -43,12 +43,12 @@ def _repeat_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(_let(keys, covered))
 
 
-def document_rules(docs: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
-    """The documents' other columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
+def document_rules(docs: DataFrame, text: str = "text", window: int = 8, keep_text: bool = False) -> DataFrame:
+    """The documents' other columns (with `keep_text` the text too) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
     A null text has no words and fails; repeated rows are judged each for itself.
     """
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if keep_text or c != text]
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
     found = docs.select(
@@ -87,9 +87,10 @@ def quality_verdicts(docs: DataFrame, text: str = "text", host: str = "source",
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5) -> DataFrame:
-    """The documents that pass: their own rules hold and their host isn't rejected. Columns stay."""
-    rules = document_rules(docs.withColumn("_text", F.col(text)), text)
-    judged = rules.select(*[c for c in docs.columns if c != text], F.col("_text").alias(text), "base_failed")
-    rejected = host_verdicts(document_rules(docs.select(text, host), text), host, most=most).where("host_rejected").select("_host")
-    kept = judged.where(~F.col("base_failed")).join(rejected, judged[host] == rejected["_host"], "left_anti")
-    return kept.select(*docs.columns)
+    """The documents that pass: their own rules hold and their host isn't rejected. Columns stay.
+
+    The judged documents are written once, so that the rules are computed once for verdicts and filter.
+    """
+    judged = saved(document_rules(docs, text, keep_text=True).select(*docs.columns, F.col("base_failed").alias("_failed")), "judged")
+    rejected = host_verdicts(judged, host, "_failed", most).where("host_rejected").select("_host")
+    return judged.where(~F.col("_failed")).join(rejected, judged[host] == rejected["_host"], "left_anti").select(*docs.columns)
