@@ -18,7 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
@@ -26,8 +26,11 @@ from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
 #: Bands and coordinates in each. At a similarity of 0.8 two sets share no band with probability (1 - 0.8^6)^42 = 3e-6.
 BANDS, WIDTH = 42, 6
 SIZE = BANDS * WIDTH
-#: Pairs whose estimate is lower are not compared exactly: six standard deviations (0.025 at 0.8) below the threshold.
-MARGIN = 0.15
+#: Pairs whose estimate is lower are not compared exactly: five standard deviations (0.026 at 0.8) below the threshold, 3e-7 of the pairs at it.
+MARGIN = 0.13
+#: Bits kept of each coordinate for estimates, packed into words of 64 bits.
+BITS = 4
+PACKED = -(-SIZE * BITS // 64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,7 +96,27 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-FEATURE_COLUMNS = "doc_id long, n long, digest binary, bands array<long>, coords binary"
+def signature(coordinates: np.ndarray) -> np.ndarray:
+    """The coordinates' low bits in PACKED words."""
+    low = np.zeros(PACKED * 64 // BITS, np.uint64)
+    low[:SIZE] = coordinates & np.uint64((1 << BITS) - 1)
+    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
+    return np.bitwise_or.reduce(low.reshape(PACKED, -1) << shifts, axis=1).view(np.int64)
+
+
+def estimated(a: str, b: str) -> Column:
+    """The similarity that two signature columns suggest: their share of equal coordinates, less the chance of equal low bits."""
+    unequal = F.lit(0)
+    for i in range(PACKED):
+        z = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        for shift in (1, 2):  # any bit of the four
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        unequal = unequal + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
+    by_chance = 2.0**-BITS
+    return (1 - unequal / F.lit(float(SIZE)) - by_chance) / (1 - by_chance)
+
+
+FEATURE_COLUMNS = "doc_id long, n long, digest binary, bands array<long>, sig array<long>"
 
 
 def _features(k: int):
@@ -109,20 +132,54 @@ def _features(k: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in sketches], pa.binary()),
+                        pa.array([None if s is None else signature(s) for s in sketches], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "digest", "bands", "coords"],
+                    names=["doc_id", "n", "digest", "bands", "sig"],
                 )
 
     return run
 
 
-def _estimated(batches):
-    for batch in batches:
-        n = batch.num_rows
-        if n:
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(n, SIZE) for c in ("coords_a", "coords_b"))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array((a == b).mean(axis=1))], names=["a", "b", "estimate"])
+#: Bits of a parity sketch in words of 64, and the most elements of a set that it takes as they are.
+PARITY, WHOLE = 16, 512
+
+
+def parity_sketch(items: np.ndarray, level: int) -> np.ndarray:
+    """The parity, bit by bit, of the set's elements in a sample of one in 2^level. Two sketches never differ in more bits than the sampled sets differ in elements."""
+    h = _mixed(items ^ np.uint64(0xA0761D6478BD642F))
+    h = h[(h & np.uint64((1 << level) - 1)) == 0] >> np.uint64(40)
+    counts = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PARITY_WORDS = [f"p{i}" for i in range(PARITY)]
+
+
+def _parities(k: int):
+    """Each set's sketch at its own level and at the next, as two rows: linked sets are at most one level apart."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, 1):
+                rows = []
+                for node, items in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k), strict=True):
+                    own = max(0, math.ceil(math.log2(max(len(items), 1) / WHOLE)))
+                    rows += [(node, own, level, *parity_sketch(items, level).tolist()) for level in (own, own + 1)]
+                names = ["node", "own_level", "level", *PARITY_WORDS]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if "level" in name else pa.int64()) for c, name in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+
+    return run
+
+
+def may_link(percent: int) -> Column:
+    """Whether two sets (n, own_level, level, the parity words, and the same with x_) meet at the larger of their levels and can be linked:
+    linked sets differ in at most (1 - s) / (1 + s) of their sizes' sum. Exact for sets of up to WHOLE elements; for samples with
+    five standard deviations to spare."""
+    unequal = F.lit(0)
+    for word in PARITY_WORDS:
+        unequal = unequal + F.bit_count(F.col(word).bitwiseXOR(F.col(f"x_{word}")))
+    most = F.lit((100 - percent) / (100 + percent)) * (F.col("n") + F.col("x_n")) / F.pow(F.lit(2.0), F.col("level"))
+    return (F.col("level") == F.greatest("own_level", "x_own_level")) & (unequal <= most + F.when(F.col("level") > 0, 5 * F.sqrt(most)).otherwise(F.lit(1e-6)))
 
 
 def _confirmed(k: int, percent: int):
@@ -170,9 +227,9 @@ class NearDuplicates:
 
     def _rated(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs a, b with the sketches' estimate, those whose set sizes exclude a link left out."""
-        of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("coords").alias(f"coords_{c}"))
+        of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
         sized = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return sized.select("a", "b", "coords_a", "coords_b").mapInArrow(_estimated, "a long, b long, estimate double")
+        return sized.select("a", "b", estimated("sig_a", "sig_b").alias("estimate"))
 
     def _links(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs that are linked."""
@@ -207,11 +264,11 @@ class NearDuplicates:
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         features = saved(rows.mapInArrow(_features(self.k), FEATURE_COLUMNS), "features")
         named = features.where("n > 0 and doc_id is not null")
-        nodes = saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("coords").alias("coords")), "nodes")
+        nodes = saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
         banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
         leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
         members = saved(banded.join(saved(leaders, "leaders"), "band").select("band", "node", "n", "leader"), "members")
-        labels = self._labels(rows, nodes.select("node", "n", "coords"), members)
+        labels = self._labels(rows, nodes.select("node", "n", "sig"), members)
         classes = nodes.select("digest", "node")
         if labels is not None:
             classes = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -242,7 +299,7 @@ class NearDuplicates:
         if not rest.isEmpty():
             labels = self._merged(labels, saved(self._links(rest, texts), "links"))
         # 3: pairs across components within buckets. Distance is a metric: estimates to the leader that differ by more than
-        # the largest distance, and twice the margin, exclude a link.
+        # the largest distance, and twice the margin, exclude a link; so do parity sketches, within the join.
         of = labels.select("node", "component")
         placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
@@ -251,22 +308,25 @@ class NearDuplicates:
         inside = inside.join(to_leader, ["node", "leader"], "left").withColumn("estimate", F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.coalesce("estimate", F.lit(-1.0))))
         lead = inside.where("node = leader").select("band", F.col("component").alias("lead"))
         step = math.log(100 / self.percent)
-        inside = saved(inside.join(lead, "band").withColumn("size_class", F.floor(F.log("n") / step).cast("int")), "inside")
-        minor = inside.where("component <> lead").select("band", F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1)))).alias("size_class"), F.col("node").alias("x"), F.col("component").alias("x_of"), F.col("estimate").alias("x_est"), F.col("n").alias("x_n"))
+        inside = saved(inside, "mixed-members")
+        parities = texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_parities(self.k), f"node long, own_level int, level int, {', '.join(f'{w} long' for w in PARITY_WORDS)}")
+        signed = inside.join(saved(parities.dropDuplicates(["node", "level"]), "parities"), "node")
+        inside = saved(signed.join(lead, "band").withColumn("size_class", F.floor(F.log("n") / step).cast("int")), "inside")
+        minor = inside.where("component <> lead").select("band", F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1)))).alias("size_class"), F.col("node").alias("x"), F.col("component").alias("x_of"), F.col("estimate").alias("x_est"), F.col("n").alias("x_n"), "level", *(F.col(c).alias(f"x_{c}") for c in ("own_level", *PARITY_WORDS)))
         known = lambda c: F.col(c) >= 0
         reach = 1 - self.percent / 100 + 2 * MARGIN
-        apart = inside.join(minor, ["band", "size_class"]).where(
+        apart = inside.join(minor, ["band", "size_class", "level"]).where(
             (F.col("component") != F.col("x_of"))
             & (F.col("node") != F.col("leader"))
             & ((F.col("component") == F.col("lead")) | (F.col("node") < F.col("x")))
             & (100 * F.least("n", "x_n") >= self.percent * F.greatest("n", "x_n"))
             & ~(known("estimate") & known("x_est") & (F.abs(F.col("estimate") - F.col("x_est")) > reach))
+            & may_link(self.percent)
         )
         pairs = saved(apart.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             return labels
-        close = self._rated(pairs, nodes).where(F.col("estimate") >= floor).select("a", "b")
-        return self._merged(labels, saved(self._links(close, texts), "links"))
+        return self._merged(labels, saved(self._links(pairs, texts), "links"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
