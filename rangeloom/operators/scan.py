@@ -26,10 +26,18 @@ SCANS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Co
     "and": (F.bit_and, lambda a, b: a.bitwiseAND(b)),
     "or": (F.bit_or, lambda a, b: a.bitwiseOR(b)),
     "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
-    "concat": (lambda x: F.concat_ws("", F.collect_list(x)), lambda a, b: F.concat(a, b)),
+    "concat": (F.collect_list, lambda a, b: F.concat(a, b)),
 }
 
 
+def _over(op: str, value: Column, window) -> Column:
+    """The fold over a window; null over an empty one."""
+    found = SCANS[op][0](value).over(window)
+    if op == "concat":
+        return F.when(F.count(F.lit(1)).over(window) > 0, F.concat_ws("", found))
+    return found
+
+
 def _joined(join, *values: Column) -> Column:
     """The values that aren't null, joined from the left; null if all are."""
     out = values[0]
@@ -62,10 +70,6 @@ def with_block(df: DataFrame, order: list[str], blocks: int | None = None) -> Da
     return df.withColumn("_block", F.coalesce(F.when(key.isNotNull(), below), F.lit(0)))
 
 
-def _local(order: list[str], by: list[str]) -> Window:
-    return Window.partitionBy(*by, "_block").orderBy(*order) if "_block" not in order else Window.partitionBy(*by).orderBy(*order)
-
-
 def scan(df: DataFrame, value: Column, order: list[str], out: str = "scan", op: str = "sum", init=None, exclusive: bool = False, by: list[str] | None = None, blocks: int | None = None) -> DataFrame:
     """The rows with the prefix fold of value in order; rows must have distinct order columns for a defined result.
 
@@ -77,9 +81,7 @@ def scan(df: DataFrame, value: Column, order: list[str], out: str = "scan", op:
     rows = df.withColumn("_v", value)
     if by:
         window = Window.partitionBy(*by).orderBy(*order)
-        local = aggregate(F.col("_v")).over(window.rowsBetween(_UP, -1 if exclusive else 0))
-        if op == "concat":
-            local = F.when(F.count(F.lit(1)).over(window.rowsBetween(_UP, -1 if exclusive else 0)) > 0, local)
+        local = _over(op, F.col("_v"), window.rowsBetween(_UP, -1 if exclusive else 0))
         parts = [local] if first is None else [first, local]
         return rows.withColumn(out, _joined(join, *parts)).drop("_v")
     rows = with_block(rows, order, blocks)
@@ -87,14 +89,9 @@ def scan(df: DataFrame, value: Column, order: list[str], out: str = "scan", op:
     totals = rows.groupBy("_block").agg(total.alias("_total"))
     # at most BLOCKS rows: the one window without keys
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(_UP, -1)
-    carry = aggregate(F.col("_total")).over(before)
-    if op == "concat":
-        carry = F.when(F.count(F.lit(1)).over(before) > 0, carry)
-    carries = totals.select(F.col("_block").alias("_of"), carry.alias("_carry"))
+    carries = totals.select(F.col("_block").alias("_of"), _over(op, F.col("_total"), before).alias("_carry"))
     window = Window.partitionBy("_block").orderBy(*order).rowsBetween(_UP, -1 if exclusive else 0)
-    local = aggregate(F.col("_v")).over(window)
-    if op == "concat":
-        local = F.when(F.count(F.lit(1)).over(window) > 0, local)
+    local = _over(op, F.col("_v"), window)
     parts = [F.col("_carry"), F.col("_here")] if first is None else [first, F.col("_carry"), F.col("_here")]
     placed = rows.withColumn("_here", local).join(F.broadcast(carries), F.col("_block") == F.col("_of"))
     return placed.withColumn(out, _joined(join, *parts)).drop("_v", "_here", "_of", "_carry", "_block")
