@@ -164,18 +164,19 @@ def shortest_tour(spark: SparkSession, distance: list[list[int]]) -> DataFrame:
     return paths.select((F.col("cost") + table[F.col("last")][0]).alias("cost"), "path").orderBy("cost", "path").limit(1)
 
 
-def greedy_coloring(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, color: in rounds, every uncolored node whose uncolored neighbours all have larger numbers takes the smallest color its neighbours lack."""
+def greedy_coloring(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
+    """node, color: in rounds, every uncolored node whose rank, a seeded hash, is the smallest among its uncolored neighbours
+    takes the smallest color its neighbours lack. Hashed ranks keep the rounds few."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c), F.col(c))
     colored = cut(nodes.select("node").distinct().withColumn("color", F.lit(None).cast("int")))
     while not colored.where("color is null").isEmpty():
         of = colored.select(F.col("node").alias("dst"), F.col("color").alias("dst_color"))
-        near = both.join(of, "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.when(F.col("dst_color").isNull(), F.col("dst"))).alias("open"), F.collect_set("dst_color").alias("used"))
+        near = both.join(of, "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.when(F.col("dst_color").isNull(), rank("dst"))).alias("open"), F.collect_set("dst_color").alias("used"))
         used = F.coalesce("used", F.array().cast("array<int>"))
         free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        now = colored.join(near, "node", "left")
-        turn = F.col("color").isNull() & (F.col("open").isNull() | (F.col("node") < F.col("open")))
-        colored = cut(now.select("node", F.when(turn, free).otherwise(F.col("color")).alias("color")))
+        turn = F.col("color").isNull() & (F.col("open").isNull() | (rank("node") < F.col("open")))
+        colored = cut(colored.join(near, "node", "left").select("node", F.when(turn, free).otherwise(F.col("color")).alias("color")))
     return colored
 
 
