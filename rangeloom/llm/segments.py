@@ -127,7 +127,7 @@ def lattice(units: pa.Array, vocab: Vocabulary, alpha: float) -> Lattice:
         if not len(at):
             break
     first = np.concatenate([[0], np.cumsum(degree)])
-    ids, lengths = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    ids, lengths = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
     for start, piece, size, rank in found:
         place = first[start] + rank
         ids[place], lengths[place] = piece, size
@@ -156,7 +156,7 @@ def lattice(units: pa.Array, vocab: Vocabulary, alpha: float) -> Lattice:
     total = np.cumsum(np.exp(chance))
     upto = total - np.concatenate([[0.0], total])[first[starts]]
     upto[first[1:] - 1] = 2.0
-    return Lattice(first, lengths, ids, chance, upto, unit_start, unit_end, np.where(ids >= 0, 1, n_bytes[starts]), byte_at[starts], raw.data)
+    return Lattice(first, lengths, ids, chance, upto, unit_start, unit_end, np.where(ids >= 0, 1, n_bytes[starts]).astype(np.int8), byte_at[starts].astype(np.int32), raw.data)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -165,14 +165,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) fixed by row key, stream and position."""
-    x = _mixed(np.atleast_1d(key) + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    x = _mixed(x ^ (at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+def seeds(keys: np.ndarray, stream: int) -> np.ndarray:
+    """The generators' states of row keys for a stream of draws."""
+    return _mixed(np.atleast_1d(keys) + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) fixed by state and position."""
+    x = _mixed(seed ^ (at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, at: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled edges from each node to its unit's end, walk by walk, and their numbers. at: the node's position in its row, which picks the numbers drawn."""
     edges, walks, active = [], [], np.flatnonzero(node < end)
     node, at = node[active], at[active]
@@ -180,7 +184,7 @@ def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, at: n
     while len(active):
         edge = lat.first[node]
         several = np.flatnonzero(lat.first[node + 1] - edge > 1)
-        draw = uniform(key[active[several]], stream, at[several])
+        draw = uniform(seed[active[several]], at[several])
         on = several
         while len(on):
             past = lat.upto[edge[on]] <= draw
@@ -194,7 +198,7 @@ def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, key: np.ndarray, at: n
         left = node < end[active]
         active, node, at = active[left], node[left], at[left]
     first = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), np.int64)
+    out = np.zeros(int(counts.sum()), np.int32)
     for i, (e, w) in enumerate(zip(edges, walks, strict=True)):
         out[first[w] + i] = e
     return out, counts
@@ -213,20 +217,33 @@ class Sample(NamedTuple):
     log_inclusion: float
 
 
+#: No draw of 53 bits lifts a Gumbel variable further above its log mass.
+REACH = 38.0
+
+
 class _Path:
-    """A completed segmentation: its edges, the log probability before each, and the perturbed value of the cell at each node."""
-
-    def __init__(self, edges, chance, value, bound, key, stream, start):
-        self.edges, self.value = edges, value
-        ends = np.cumsum(chance)
-        self.log_prob = float(ends[-1]) if len(ends) else 0.0
-        self.before = ends - chance
-        self.cells = np.full(len(edges), -np.inf)
+    """A completed segmentation: its edges, its log probability, and for its first nodes the log probability before
+    each and the perturbed value of the cell there. Cells further on are left out once their mass cannot
+    bring them among the path's `most` best, and no more than these are ever popped."""
+
+    def __init__(self, edges, chance, value, bound, seed, start, most):
+        self.edges, self.value, self.log_prob = edges, value, float(chance.sum())
         self.taken: dict[int, list[int]] = {}
-        if start < len(edges):
-            with np.errstate(divide="ignore"):
-                mass = self.before[start:] + np.log(-np.expm1(chance[start:]))
-            self.cells[start:] = _truncated(mass, bound, uniform(key, 2 * stream + 1, np.arange(start, len(edges))))
+        size, n = 160, len(edges)
+        while True:
+            part = chance[:size]
+            self.before = np.cumsum(part) - part
+            self.cells = np.full(len(part), -np.inf)
+            if start < len(part):
+                with np.errstate(divide="ignore"):
+                    mass = self.before[start:] + np.log(-np.expm1(part[start:]))
+                self.cells[start:] = _truncated(mass, bound, uniform(seed, np.arange(start, len(part))))
+            if len(part) == n:
+                return
+            best = np.partition(self.cells, -most)[-most] if len(part) >= most else -np.inf
+            if self.before[-1] + part[-1] + REACH < best:
+                return
+            size *= 4
 
     def best(self) -> tuple[float, int]:
         if not len(self.cells):
@@ -275,70 +292,66 @@ def sample(units: Units, keys: np.ndarray, k: int) -> list[list[Sample]]:
     lat, n = units.lat, len(units.rows)
     row_of = np.repeat(np.arange(n), units.rows)
     starts, ends = lat.unit_start[units.codes], lat.unit_end[units.codes]
-    edges, counts = walk(lat, starts, ends, keys[row_of], units.at, 0)
+    edges, counts = walk(lat, starts, ends, seeds(keys, 0)[row_of], units.at)
     row_ends = np.cumsum(np.bincount(row_of, counts, n)).astype(np.int64)
-    first = np.concatenate([[0], row_ends[:-1]])
-    chance = lat.chance[edges]
-    roots = -np.log(-np.log(uniform(keys, 1_000_003, np.zeros(n, np.int64))))
-    paths = [[_Path(edges[a:b], chance[a:b], roots[i], roots[i], keys[i], 0, 0)] for i, (a, b) in enumerate(zip(first.tolist(), row_ends.tolist(), strict=True))]
-    unit_first = np.cumsum(units.rows) - units.rows
-    for draw in range(1, k + 1):
-        jobs = []
-        for i in range(n):
-            value, at, path = max(((*p.best(), j) for j, p in enumerate(paths[i])), key=lambda x: x[0], default=(-np.inf, -1, 0))
-            if draw == k or value == -np.inf:  # the next value is the threshold of the inclusion scores
-                paths[i].append(value) if draw == k else None
-                continue
-            if len(paths[i]) == draw:
-                jobs.append((i, value, at, path))
-        if draw == k:
-            break
-        _complete(units, keys, paths, jobs, draw, unit_first)
+    chance, cell_seeds = lat.chance[edges], seeds(keys, 1)
+    roots = -np.log(-np.log(uniform(seeds(keys, 1_000_003), np.zeros(n, np.int64))))
+    bounds = [0, *row_ends.tolist()]
+    paths = [[_Path(edges[a:b], chance[a:b], roots[i], roots[i], cell_seeds[i], 0, k + 1)] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    best = lambda row: max(((*p.best(), j) for j, p in enumerate(row)), key=lambda x: x[0])
+    for draw in range(1, k):
+        jobs = [(i, *best(row)) for i, row in enumerate(paths) if len(row) == draw]
+        _complete(units, starts, ends, keys, paths, [x for x in jobs if x[1] > -np.inf], draw, k + 1)
     out = []
-    for i in range(n):
-        bound = paths[i].pop()
-        out.append([Sample(p.edges, p.log_prob, float(p.value), _log_inclusion(p.log_prob - bound)) for p in paths[i]])
+    for row in paths:
+        bound = best(row)[0]  # the next value is the threshold of the inclusion scores
+        out.append([Sample(p.edges, p.log_prob, float(p.value), _log_inclusion(p.log_prob - bound)) for p in row])
     return out
 
 
-def _complete(units: Units, keys: np.ndarray, paths: list[list[_Path]], jobs: list[tuple], draw: int, unit_first: np.ndarray) -> None:
+def _complete(units: Units, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, paths: list[list[_Path]], jobs: list[tuple], draw: int, most: int) -> None:
     """Pop each job's cell: complete its best segmentation and put what is left of the cell back."""
+    if not jobs:
+        return
     lat = units.lat
-    heads, nodes, stops, rows, ats = [], [], [], [], []
+    last_unit = np.cumsum(units.rows)
+    picks, rests, cells = seeds(keys, 2 * draw), seeds(keys, 3_000_017 + draw), seeds(keys, 2 * draw + 1)
+    heads, nodes, stops, ats, sizes = [], [], [], [], []
     for i, value, at, j in jobs:
         path = paths[i][j]
         taken = path.taken.setdefault(at, [int(path.edges[at])])
         place = int(lat.length[path.edges[:at]].sum())
-        first, last = unit_first[i], unit_first[i] + units.rows[i]
+        last = int(last_unit[i])
+        first = last - int(units.rows[i])
         unit = first + int(np.searchsorted(units.at[first:last], place, "right")) - 1
-        code = units.codes[unit]
-        node = int(lat.unit_start[code]) + place - int(units.at[unit])
+        node = int(starts[unit]) + place - int(units.at[unit])
         options = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in taken]
         chances = np.exp(lat.chance[options])
-        pick = options[min(int(np.searchsorted(np.cumsum(chances), uniform(keys[i : i + 1], 2 * draw, np.array([place]))[0] * chances.sum(), "right")), len(options) - 1)]
+        drawn = uniform(picks[i : i + 1], np.array([place]))[0] * chances.sum()
+        pick = options[min(int(np.searchsorted(np.cumsum(chances), drawn, "right")), len(options) - 1)]
         taken.append(pick)
         rest = float(np.exp(lat.chance[[e for e in options if e != pick]]).sum())
         mass = np.array([path.before[at] + math.log(rest) if rest > 0 else -np.inf])
-        path.cells[at] = _truncated(mass, value, uniform(keys[i : i + 1], 3_000_017 + draw, np.array([at])))[0]
+        path.cells[at] = _truncated(mass, value, uniform(rests[i : i + 1], np.array([at])))[0]
         heads.append((i, value, at, path, pick))
         step = int(lat.length[pick])
-        after = np.arange(unit + 1, last)
-        nodes.append(np.concatenate([[node + step], lat.unit_start[units.codes[after]]]))
-        stops.append(np.concatenate([[lat.unit_end[code]], lat.unit_end[units.codes[after]]]))
-        ats.append(np.concatenate([[place + step], units.at[after]]))
-        rows.append(np.full(len(nodes[-1]), i))
-    if not jobs:
-        return
-    edges, counts = walk(lat, np.concatenate(nodes), np.concatenate(stops), keys[np.concatenate(rows)], np.concatenate(ats), 2 * draw)
-    ends = np.cumsum(np.add.reduceat(counts, np.cumsum([0, *(len(x) for x in nodes[:-1])])))
-    for (i, value, at, path, pick), a, b in zip(heads, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        whole = np.concatenate([path.edges[:at], [pick], edges[a:b]])
-        paths[i].append(_Path(whole, lat.chance[whole], value, value, keys[i], draw, at + 1))
+        nodes += [[node + step], starts[unit + 1 : last]]
+        stops += [[ends[unit]], ends[unit + 1 : last]]
+        ats += [[place + step], units.at[unit + 1 : last]]
+        sizes.append(last - unit)
+    of = np.repeat([h[0] for h in heads], sizes)
+    edges, counts = walk(lat, np.concatenate(nodes), np.concatenate(stops), picks[of], np.concatenate(ats))
+    chance = lat.chance[edges]
+    bounds = [0, *np.cumsum(np.add.reduceat(counts, np.cumsum([0, *sizes[:-1]]))).tolist()]
+    for (i, value, at, path, pick), a, b in zip(heads, bounds[:-1], bounds[1:], strict=True):
+        kept = path.edges[:at]
+        whole = np.concatenate([kept, [pick], edges[a:b]])
+        paths[i].append(_Path(whole, np.concatenate([lat.chance[kept], lat.chance[[pick]], chance[a:b]]), value, value, cells[i], at + 1, most))
 
 
 def piece_ids(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the edges, and how many each has; a character without a piece becomes its bytes."""
-    ids, width = lat.id[edges], lat.width[edges]
+    ids, width = lat.id[edges], lat.width[edges].astype(np.int64)
     wide = np.flatnonzero(ids < 0)
     out = np.repeat(ids, width)
     first = (np.cumsum(width) - width)[wide]
