@@ -117,3 +117,19 @@ class DataPipeline(Pipeline):
                     if have.get(f.name) != f.dataType:
                         raise TypeError(f"{f.name}: a stage takes {f.dataType}, the one before gives {have.get(f.name)}")
         super().__init__(lines, *pipes)
+
+
+def deferred_order(tokens: DataFrame, waits: DataFrame) -> DataFrame:
+    """The tokens with pos, the order in which a serial stage may take them when some are deferred until others are done.
+
+    waits: token, on. Tokens are taken by the longest chain of deferrals before them, then by number; deferrals in a cycle are an
+    error, those on tokens that are not there are ignored.
+    """
+    from rangeloom.operators.scan import with_position
+    from rangeloom.plans.workloads import longest_paths
+
+    nodes = tokens.select(F.col("token").alias("node"))
+    edges = waits.select(F.col("on").alias("src"), F.col("token").alias("dst")).distinct()
+    edges = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    level = longest_paths(nodes, edges).select(F.col("node").alias("token"), F.col("value").alias("level"))
+    return with_position(tokens.join(level, "token"), ["level", "token"]).drop("level")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.plans import dag
 from rangeloom.sources import traces
-from rangeloom.streaming.pipeline import PARALLEL, SERIAL, DataPipeline, Pipe, Pipeline, data_pipe
+from rangeloom.streaming.pipeline import PARALLEL, SERIAL, DataPipeline, Pipe, Pipeline, data_pipe, deferred_order
 
 
 def test_order_and_join():
@@ -136,3 +136,10 @@ def test_table_round_trip(spark, tmp_path):
     df = spark.sql("SELECT true AS a, array(1, 2) AS b, map('k', 1.5D) AS c, CAST(18446744073709551615 AS DECIMAL(20,0)) AS d, named_struct('x', 1, 'y', 'z') AS e, TIMESTAMP_NTZ '2020-01-01 00:00:00' AS f")
     traces.serialize(df, str(tmp_path / "t"))
     assert traces.deserialize(spark, str(tmp_path / "t"), schema).collect() == df.collect()
+
+
+def test_deferred_tokens_come_after_what_they_wait_for(spark):
+    tokens = spark.range(1, 8).withColumnRenamed("id", "token")
+    waits = spark.createDataFrame([(1, 3), (3, 5), (2, 99), (6, 1)], "token long, on long")
+    got = [r.token for r in deferred_order(tokens, waits).orderBy("pos").collect()]
+    assert got == [2, 4, 5, 7, 3, 1, 6]
