@@ -33,7 +33,7 @@ MARK, BYTE = "▁", "<0x{:02X}>"
 LITERAL = 0x110000
 #: Log weight of a byte piece below that of the last piece.
 BYTE_PENALTY = 4.0
-CHUNK = 2 << 20
+CHUNK = 3 << 19
 
 
 class Vocabulary(NamedTuple):
@@ -131,6 +131,7 @@ def lattice(units: pa.Array, vocab: Vocabulary, alpha: float) -> Lattice:
     for start, piece, size, rank in found:
         place = first[start] + rank
         ids[place], lengths[place] = piece, size
+    del found, at, node
     starts = np.repeat(np.arange(n), degree)
     to = starts + lengths
     weight = np.where(ids >= 0, (alpha * vocab.weight)[ids], alpha * vocab.byte_weight * n_bytes[starts])
