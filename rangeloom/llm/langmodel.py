@@ -1,17 +1,21 @@
-"""Language-model scores from a weighted backoff automaton of word n-grams.
-
-Words of all training documents are counted exactly. An n-gram seen at least total / STATES
-times becomes an arc and, below the highest order, a state: there are at most STATES of each order,
-whatever the corpus, so the automaton may be broadcast. Longer n-grams are counted order by order, only where their
-prefix and suffix were kept, which loses none that will be kept. Weights are absolutely discounted;
-what a state lacks goes through its failure arc with the mass that is left. One traversal from left to
-right carries the state and adds log-probabilities. Words that are no arc of the root lead there, and their
-exact unigram weight is joined from the table of counts.
+"""Language-model scores from a backoff model of all word n-grams, looked up shard by shard.
+
+Texts are cut into chunks. A chunk sends each of its distinct n-grams (of words to order 3) once to the shard that
+owns the n-gram's 64-bit key, with its training count; the shard adds the counts of all chunks and sends the
+totals back. Weights are absolutely discounted: an n-gram seen at least `least` times, a number that does not
+depend on the corpus, has an arc from its prefix; what a prefix lacks goes through its failure arc, to
+the suffix, with the mass that is left. The sums over a prefix's arcs are gathered the same way: one chunk that
+holds an arc's n-gram adds it, and shards add the chunks' sums. No table is broadcast or collected, and a frequent
+n-gram costs its shard one entry a chunk.
 """
 
 from __future__ import annotations
 
+import gc
 import math
+import pickle
+import time
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -20,164 +24,158 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Table, chunks, saved, text_bytes, words_of
+from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
 
-#: Order of the model; n-grams of an order that are kept, at most; discount of counts of n-grams longer than a word.
-ORDER, STATES, DISCOUNT = 3, 1 << 18, 0.75
-#: Tokens that one lane of the traversal scores; lanes start ORDER - 1 tokens earlier, which fixes their state.
-LANE = 256
-#: The end token's id; texts begin in its state. Rare words have none.
-END, RARE = 0, -1
+#: Order of the model; n-grams counted less often have no arc (1: all have one); discount of counts of n-grams longer than a word.
+ORDER, LEAST, DISCOUNT = 3, 1, 0.75
+#: Text of a chunk, in units of 32 KB; chunks' worth of text whose n-grams a shard owns.
+LANE, SHARE = 128, 1
+#: The end token's index among a chunk's words; texts begin after it.
+END = 0
+#: Rows between chunks and shards. Of a chunk's own state, shard is STATE; of a shard's figures, chunk is.
+_MAIL, STATE = "chunk long, shard int, a binary", -1
+_MAIL_ARROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("a", pa.binary())])
 
 
-class Tokens(NamedTuple):
-    """Rows as tokens: each row is the end token before it, its words and its end token. begins and ends are of the rows' own tokens."""
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8 or fewer bytes a value, their bytes by place and compressed."""
+    codec = pa.Codec("zstd", compression_level=1)
+    return pickle.dumps([(a.dtype.str, a.nbytes, codec.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), asbytes=True)) for a in arrays])
 
-    ids: np.ndarray
-    begins: np.ndarray
-    ends: np.ndarray
 
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    codec, out = pa.Codec("zstd"), []
+    for kind, size, data in pickle.loads(blob):
+        wide = np.dtype(kind).itemsize
+        flat = np.frombuffer(codec.decompress(data, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(flat.reshape(wide, size // wide).T).reshape(-1).view(kind))
+    return out
 
-def tokens_of(found, known: dict[bytes, int]) -> Tokens:
-    """known: ids of the words that have one."""
-    ids = np.array([known.get(w, RARE) for w in found.distinct.to_pylist()], np.int64)
-    ends = np.cumsum(found.rows + 2)
-    begins = ends - found.rows - 1
-    out = np.full(int(ends[-1]) if len(ends) else 0, END, np.int64)
-    if len(found.codes):
-        at = np.arange(len(found.codes)) + np.repeat(begins - (np.cumsum(found.rows) - found.rows), found.rows)
-        out[at] = ids[found.codes]
-    return Tokens(out, begins, ends)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose bits all depend on all bits."""
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
+    return x ^ (x >> np.uint64(31))
 
-class Grams(NamedTuple):
-    """Kept n-grams by order: keys of order k are (position of the prefix among order k - 1) * width + last word's id, sorted; counts beside them."""
 
-    width: int
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    tables: list[Table]
+def _hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
-    def ending(self, tokens: Tokens, order: int) -> np.ndarray:
-        """Position among the kept order-grams of the one that ends at each token, -1 for none."""
-        inside = np.ones(len(tokens.ids), bool)
-        inside[tokens.begins - 1] = False
-        found = tokens.ids.copy()
-        for k in range(2, order + 1):
-            before = np.concatenate([[-1], found[:-1]])
-            ok = (before >= 0) & (tokens.ids >= 0) & inside
-            found = np.full(len(tokens.ids), -1, np.int64)
-            found[ok] = self.tables[k - 1].find(before[ok] * self.width + tokens.ids[ok])
-        return found
 
-    def candidates(self, tokens: Tokens) -> np.ndarray:
-        """Keys of the next order at each place where prefix and suffix are kept."""
-        found = self.ending(tokens, len(self.keys))
-        before = np.concatenate([[-1], found[:-1]])
-        inside = np.ones(len(tokens.ids), bool)
-        inside[tokens.begins - 1] = False
-        ok = (before >= 0) & (found >= 0) & inside & (tokens.ids >= 0)
-        return before[ok] * self.width + tokens.ids[ok]
+def _level(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(3)).astype(np.int64)
+
 
+class Shape(NamedTuple):
+    """A chunk's n-grams. keys: by order, then sorted, the order in the lowest two bits; prefix and suffix: their positions among keys, -1 for words; at[k - 1]: position of the k-gram that ends at each token, -1 for none."""
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    keys: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+    at: list[np.ndarray]
+    row: np.ndarray
+    own: np.ndarray  # tokens that are not the end token before a row
 
+    @classmethod
+    def of(cls, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, order: int) -> Shape:
+        """ids: of each row the end token before it, its words and its end token, lengths of them in all."""
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        depth = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        raw, keys, prefix, suffix, at, base = hashes[ids], [], [], [], [], 0
+        for k in range(1, order + 1):
+            if k > 1:
+                raw = _mixed(np.concatenate([raw[:1], raw[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids])
+            places = np.flatnonzero(depth >= k - 1)
+            found, inverse = np.unique((raw[places] & ~np.uint64(3)) | np.uint64(k), return_inverse=True)
+            here = np.full(len(ids), -1, np.int32)
+            here[places] = inverse + base
+            before, after = np.full(len(found), -1, np.int32), np.full(len(found), -1, np.int32)
+            if k > 1:
+                before[inverse], after[inverse] = at[-1][places - 1], at[-1][places]
+            keys.append(found)
+            prefix.append(before)
+            suffix.append(after)
+            at.append(here)
+            base += len(found)
+        return cls(np.concatenate(keys), np.concatenate(prefix), np.concatenate(suffix), at, row, depth > 0)
 
-#: Entries that a task counts before it hands them on.
-HELD = 500_000
 
+def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """Positions of the keys that each shard owns; shards are ranges of keys."""
+    owner = (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    cuts = [0, *(np.flatnonzero(np.diff(owner[order])) + 1), len(keys)]
+    return [(int(owner[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
-def _count_words(batches):
-    words: dict[bytes, int] = {}
 
-    def emit():
-        keys, n = list(words), list(words.values())
-        words.clear()
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_pydict({"word": pa.array(keys[i : i + 50_000], pa.binary()), "n": pa.array(n[i : i + 50_000], pa.int64())})
+def _mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    chunk, shard, a = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.Table.from_arrays([pa.array(chunk, pa.int64()), pa.array(shard, pa.int32()), pa.array(a, pa.binary())], schema=_MAIL_ARROW)
 
-    for whole in batches:
-        for batch in chunks(whole, 0):
-            found = words_of(text_bytes(batch.column(0)), NOT_SPACE)
-            for word, n in zip(found.distinct.to_pylist(), np.bincount(found.codes, minlength=len(found.distinct)).tolist(), strict=True):
-                words[word] = words.get(word, 0) + n
-            if len(words) > HELD:
-                yield from emit()
-    yield from emit()
 
+def _states(limit: int):
+    """Each chunk's state: tokens, word hashes, rows."""
 
-def _count_grams(known, grams):
     def run(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        chunk = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for batch in chunks(whole, 2, limit):
+                found = words_of(text_bytes(batch.column(2)), NOT_SPACE)
+                hashes = np.array([_hash(b"\n"), *map(_hash, found.distinct.to_pylist())], np.uint64)
+                lengths = found.rows + 2
+                ids = np.full(int(lengths.sum()), END, np.int32)
+                ids[np.arange(len(found.codes)) + np.repeat(2 * np.arange(batch.num_rows) + 1, found.rows)] = found.codes + 1
+                held = np.array(batch.column(1).to_pylist(), bool)
+                valid = np.array(batch.column(0).is_valid().to_pylist(), bool)
+                docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield from _mail([(chunk, STATE, _packed(ids, hashes, lengths.astype(np.int64), held, valid, docs))]).to_batches()
+                chunk += 1
 
-        def emit():
-            keys, n = _merged(parts)
-            parts.clear()
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(keys[i : i + 50_000]), "n": pa.array(n[i : i + 50_000])})
+    return run
 
-        for whole in batches:
-            for batch in chunks(whole, 0):
-                found = words_of(text_bytes(batch.column(0)), NOT_SPACE)
-                parts.append(np.unique(grams.value.candidates(tokens_of(found, known.value)), return_counts=True))
-                if len(parts) > 8:
-                    parts[:] = [_merged(parts)]
-                if sum(len(p[0]) for p in parts) > HELD:
-                    yield from emit()
-        if parts:
-            yield from emit()
+
+def _ask(order: int, shards: int, all_wanted: bool):
+    """To each shard: a chunk's keys, training counts, and whether the sums over the n-gram's arcs may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk, a in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                ids, hashes, lengths, held, *_ = _unpacked(a.as_py())
+                shape = Shape.of(ids, hashes, lengths, order)
+                learnt = ~held[shape.row]
+                counts, wanted = np.zeros(len(shape.keys), np.int64), np.zeros(len(shape.keys), bool)
+                for at in shape.at:
+                    counts += np.bincount(at[shape.own & learnt & (at >= 0)], minlength=len(counts))
+                    wanted[at[(at >= 0) & (all_wanted | ~learnt)]] = True
+                rows = [(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in _by_shard(shape.keys, shards)]
+                yield from _mail(rows).to_batches(max_chunksize=200)
 
     return run
 
 
-class Automaton(NamedTuple):
-    """State 0 is the empty context; then the kept n-grams below the highest order, by order."""
-
-    width: int
-    arcs: Table
-    targets: np.ndarray
-    weights: np.ndarray  # log10
-    failure: np.ndarray
-    backoff: np.ndarray  # log10, of each state's failure arc
-    to_root: np.ndarray  # log10, of all failure arcs down to the root
-    start: int
-
-    def score(self, tokens: Tokens, order: int) -> np.ndarray:
-        """log10 probability of each row, rare words' own weights left out: one left-to-right pass of all lanes at once."""
-        sizes = tokens.ends - tokens.begins
-        lanes = -(-sizes // LANE)
-        row = np.repeat(np.arange(len(sizes)), lanes)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        first = tokens.begins[row] + nth * LANE
-        end = np.minimum(first + LANE, tokens.ends[row])
-        warm = np.where(nth > 0, order - 1, 0)
-        begin = first - warm
-        by = np.argsort(begin - end, kind="stable")  # longest first, so that lanes end from the back
-        row, begin, end, warm = row[by], begin[by], end[by], warm[by]
-        length, state, total = end - begin, np.where(warm > 0, 0, self.start), np.zeros(len(row))
-        active = len(row)
-        for step in range(int(length[0]) if len(length) else 0):
-            while length[active - 1] <= step:
-                active -= 1
-            here, token, gained = state[:active].copy(), tokens.ids[begin[:active] + step], np.zeros(active)
-            rare = token < 0
-            gained[rare] = self.to_root[here[rare]]
-            here[rare] = 0
-            on = np.flatnonzero(~rare)
-            while len(on):
-                arc = self.arcs.find(here[on] * self.width + token[on])
-                hit = arc >= 0
-                done, arc = on[hit], arc[hit]
-                gained[done] += self.weights[arc]
-                here[done] = self.targets[arc]
-                on = on[~hit]  # the root has an arc for each word with an id
-                gained[on] += self.backoff[here[on]]
-                here[on] = self.failure[here[on]]
-            state[:active] = here
-            total[:active] += np.where(step >= warm[:active], gained, 0.0)
-        return np.bincount(row, total, len(sizes))
+def _in_turn(table: pa.Table, by: str) -> list[tuple[int, bytes]]:
+    table = table.sort_by(by)
+    return list(zip(table[by].to_pylist(), table["a"].to_pylist(), strict=True))
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """A shard's answers: of each n-gram its count in all, whether this chunk is the one to add it to its prefix, and whether its own sums are wanted. And the shard's figures of words: tokens, kinds, kinds seen once and twice."""
+    shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
+    sent = [_unpacked(a) for _, a in mail]
+    keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
+    flagged = np.concatenate([s[1] for s in sent])
+    counts = np.bincount(inverse, flagged >> 1, len(keys)).astype(np.int64)
+    wanted = np.bincount(inverse, flagged & 1, len(keys)) > 0
+    seen, adds = np.flatnonzero(flagged > 1), np.zeros(len(flagged), np.int64)
+    adds[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
+    answer = counts[inverse] * 4 + adds * 2 + wanted[inverse]
+    ends = np.cumsum([len(s[0]) for s in sent])
+    rows = [(chunk, shard, _packed(answer[end - len(s[0]) : end])) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)]
+    words = counts[(_level(keys) == 1) & (keys != (np.uint64(_hash(b"\n")) & ~np.uint64(3) | np.uint64(1)))]
+    mine = counts[_level(keys) == 1]
+    rows.append((STATE, shard, _packed(np.array([mine.sum(), (mine > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64))))
+    return _mail(rows)
 
 
 class Unigram(NamedTuple):
@@ -187,150 +185,158 @@ class Unigram(NamedTuple):
     v: int
     discount: float
 
+    @property
+    def freed(self) -> float:
+        return self.discount * self.v / (self.v + 1) if self.v else 1.0
+
     def probability(self, count):
-        freed = self.discount * self.v / (self.v + 1) if self.v else 1.0
-        return (np.maximum(count - self.discount, 0) + freed) / max(self.n, 1)
-
-
-def build(grams: Grams, unigram: Unigram, discount: float = DISCOUNT) -> Automaton:
-    """The automaton of kept n-grams; states and arcs are numbered order by order."""
-    order, width = len(grams.keys), grams.width
-    base = [0, 1]  # the first state of each order, the empty context at 0
-    for keys in grams.keys[: order - 1]:
-        base.append(base[-1] + len(keys))
-    failure, backoff = np.zeros(base[order], np.int64), np.zeros(base[order])
-    lower = unigram.probability(grams.counts[0])
-    suffix = np.zeros(len(grams.keys[0]), np.int64)  # position of each k-gram's suffix among order k - 1
-    arcs, targets, weights = [grams.keys[0]], [base[1] + np.arange(len(grams.keys[0])) if order > 1 else np.zeros(len(grams.keys[0]), np.int64)], [np.log10(lower)]
-    for k in range(2, order + 1):
-        keys, counts = grams.keys[k - 1], grams.counts[k - 1]
-        prefix, last = keys // width, keys % width
-        suffix = last if k == 2 else grams.tables[k - 2].find(suffix[prefix] * width + last)
-        p = (counts - min(discount, 1)) / grams.counts[k - 2][prefix]
-        n = len(grams.keys[k - 2])
-        left = 1 - np.bincount(prefix, p, n)
-        below = 1 - np.bincount(prefix, lower[suffix], n)
-        context = base[k - 1] + np.arange(n)
-        backoff[context] = np.log10(np.maximum(left, 1e-9) / np.maximum(below, 1e-9))
-        if k < order:
-            failure[base[k] + np.arange(len(keys))] = base[k - 1] + suffix
-        arcs.append((base[k - 1] + prefix) * width + last)
-        targets.append((base[k] + np.arange(len(keys))) if k < order else base[k - 1] + suffix)
-        weights.append(np.log10(p))
-        lower = p
-    to_root = backoff.copy()
-    for k in range(2, order):
-        of = slice(base[k], base[k + 1])
-        to_root[of] += to_root[failure[of]]
-    start = base[1] + END if order > 1 else 0
-    return Automaton(width, Table.of(np.concatenate(arcs)), np.concatenate(targets), np.concatenate(weights), failure, backoff, to_root, start)
-
-
-def _kept(counts: DataFrame, key: str, least: int) -> tuple[list, np.ndarray]:
-    """Keys, sorted, and counts of at least `least`: at most total / least rows."""
-    found = counts.where(F.col("n") >= least).select(key, "n").toArrow().combine_chunks().sort_by(key)
-    return found[key], found["n"].to_numpy()
-
-
-SCORED_COLUMNS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, times long"
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("times", pa.int64())])
-
-
-def _score(known, counts, automaton, order: int):
-    """A row per document, and one per document and rare word."""
+        return (np.maximum(count - self.discount, 0) + self.freed) / max(self.n, 1)
+
+
+class Known(NamedTuple):
+    """A chunk with its n-grams' counts in all; p: probabilities of those that have an arc, and of all words."""
+
+    shape: Shape
+    state: list[np.ndarray]
+    counts: np.ndarray
+    adds: np.ndarray
+    wanted: np.ndarray
+    arc: np.ndarray
+    p: np.ndarray
+
+    @classmethod
+    def of(cls, state: bytes, answers: list[bytes], order: int, shards: int, unigram: Unigram, least: int) -> Known:
+        state = _unpacked(state)
+        shape = Shape.of(*state[:3], order)
+        answer = np.empty(len(shape.keys), np.int64)
+        for (_, of), a in zip(_by_shard(shape.keys, shards), answers, strict=True):
+            answer[of] = _unpacked(a)[0]
+        counts, level = answer >> 2, _level(shape.keys)
+        arc = (level > 1) & (counts >= least)
+        p = np.where(level == 1, unigram.probability(counts), 0.0)
+        p[arc] = (counts[arc] - min(DISCOUNT, 1)) / counts[shape.prefix[arc]]
+        return cls(shape, state, counts, (answer & 2) > 0, (answer & 1) > 0, arc, p)
+
+    def asking(self) -> np.ndarray:
+        """Positions of the n-grams that this chunk adds arcs of, or may need the sums of: both only where some chunk may need them."""
+        at = np.zeros(len(self.counts), bool)
+        at[self.shape.prefix[self.arc & self.adds]] = True
+        used = np.zeros(len(self.counts), bool)
+        used[self.shape.prefix[(self.shape.prefix >= 0) & ~self.arc]] = True
+        return np.flatnonzero(self.wanted & (at | used))
+
+
+def _add_arcs(order: int, shards: int, unigram: Unigram, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        chunk, mail = table["chunk"][0].as_py(), _in_turn(table, "shard")
+        known = Known.of(mail[0][1], [a for _, a in mail[1:]], order, shards, unigram, least)
+        shape, mine = known.shape, known.arc & known.adds
+        prefix, n = shape.prefix[mine], len(shape.keys)
+        sums = [np.bincount(prefix, minlength=n), np.bincount(prefix, known.counts[mine], n).astype(np.int64), np.bincount(prefix, known.counts[shape.suffix[mine]], n).astype(np.int64)]
+        ask = known.asking()
+        keys, sums = shape.keys[ask], [s[ask] for s in sums]
+        return _mail([(chunk, shard, _packed(np.diff(keys[of], prepend=np.uint64(0)), *(s[of] for s in sums))) for shard, of in _by_shard(keys, shards)])
 
-    def run(batches):
-        row = TaskContext.get().partitionId() << 36
-        weight = np.log10(counts.value + 0.5)
-        for whole in batches:
-            for batch in chunks(whole, 2):
-                n = batch.num_rows
-                found = words_of(text_bytes(batch.column(2)), NOT_SPACE)
-                tokens = tokens_of(found, known.value)
-                scores = automaton.value.score(tokens, order)
-                of = np.repeat(np.arange(n), found.rows + 2)
-                own = np.ones(len(of), bool)
-                own[tokens.begins - 1] = False
-                common = own & (tokens.ids >= 0) & (counts.value[np.maximum(tokens.ids, 0)] > 0)
-                base = np.bincount(of[common], weight[tokens.ids[common]], n)
-                ids = np.arange(row, row + n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), batch.column(0), batch.column(1), pa.array(found.rows + 1, pa.int64()), pa.array(np.bincount(of[common], minlength=n), pa.int64()), pa.array(base), pa.array(scores), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())],
-                    schema=_SCORED,
-                )
-                words = tokens.ids[own]
-                ends = np.zeros(len(words), bool)
-                ends[np.cumsum(found.rows + 1) - 1] = True
-                rare = (words < 0)[~ends]
-                pairs, times = np.unique((np.repeat(np.arange(n), found.rows)[rare] << 32) | found.codes[rare], return_counts=True)
-                for i in range(0, len(pairs), 50_000):
-                    part = slice(i, i + 50_000)
-                    k = len(pairs[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[pairs[part] >> 32]), *(pa.nulls(k, f.type) for f in list(_SCORED)[1:7]), found.distinct.take(pa.array(pairs[part] & 0xFFFFFFFF)).cast(pa.binary()), pa.array(times[part], pa.int64())],
-                        schema=_SCORED,
-                    )
-                row += n
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """A shard's answers: over all chunks, each prefix's arcs, their counts and their suffixes' counts."""
+    shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
+    sent = [_unpacked(a) for _, a in mail]
+    keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
+    sums = [np.bincount(inverse, np.concatenate([s[i] for s in sent]), len(keys)).astype(np.int64)[inverse] for i in (1, 2, 3)]
+    ends = np.cumsum([len(s[0]) for s in sent])
+    return _mail([(chunk, shard, _packed(*(x[end - len(s[0]) : end] for x in sums))) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)])
+
+
+SCORED_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(order: int, shards: int, unigram: Unigram, least: int):
+    """Weights of a chunk's n-grams, order by order, and the sums over its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        # answers of the second round have shards from 2^30
+        mail = _in_turn(table, "shard")
+        known = Known.of(mail[0][1], [a for s, a in mail[1:] if s < _SECOND], order, shards, unigram, least)
+        shape, (_, _, lengths, held, valid, docs) = known.shape, known.state
+        ask, backoff = known.asking(), np.zeros(len(shape.keys))
+        if len(ask):
+            arcs, n, lower = (np.empty(len(ask), np.int64) for _ in range(3))
+            for (_, of), a in zip(_by_shard(shape.keys[ask], shards), [a for s, a in mail if s >= _SECOND], strict=True):
+                arcs[of], n[of], lower[of] = _unpacked(a)
+            some = arcs > 0
+            ask, arcs, n, lower = ask[some], arcs[some], n[some], lower[some]
+            left = 1 - (n - min(DISCOUNT, 1) * arcs) / known.counts[ask]
+            # the suffixes of a prefix's arcs are words, or n-grams of one prefix themselves
+            of_words = (lower + (unigram.freed - unigram.discount) * arcs) / max(unigram.n, 1)
+            below = 1 - np.where(shape.suffix[ask] < 0, of_words, (lower - min(DISCOUNT, 1) * arcs) / np.maximum(known.counts[shape.suffix[ask]], 1))
+            backoff[ask] = np.log10(np.maximum(left, 1e-9) / np.maximum(below, 1e-9))
+        level, weight = _level(shape.keys), np.zeros(len(shape.keys))
+        direct = (level == 1) | known.arc
+        weight[direct] = np.log10(known.p[direct])
+        for k in range(2, order + 1):
+            fails = np.flatnonzero((level == k) & ~known.arc)
+            weight[fails] = backoff[shape.prefix[fails]] + weight[shape.suffix[fails]]
+        longest = shape.at[0]
+        for at in shape.at[1:]:
+            longest = np.where(at >= 0, at, longest)
+        own, rows = shape.own, len(lengths)
+        row, words = shape.row[own], known.counts[shape.at[0][own]]
+        base = np.bincount(row, np.log10(words + 0.5), rows) - (lengths - 1) * math.log10(unigram.n + 0.5 * (unigram.v + 1))
+        return pa.Table.from_pydict({
+            "doc_id": pa.array(docs, pa.int64(), mask=~valid),
+            "held_out": pa.array(held),
+            "n_tokens": pa.array(lengths - 1, pa.int64()),
+            "n_known": pa.array(np.bincount(row, words > 0, rows).astype(np.int64)),
+            "train_tokens": pa.array(np.full(rows, unigram.n, np.int64)),
+            "base_score": pa.array(base),
+            "score": pa.array(np.bincount(row, weight[longest[own]], rows)),
+        })
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, states: int = STATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Added to the shards of the second round's answers.
+_SECOND = 1 << 30
+
+
+def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, states: int | None = None, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Train on the documents that aren't held out and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    N-grams counted at least `least` times have arcs; with `states`, at most so many of each order (those counted
+    tokens / states times), whatever the corpus. Order: 3 at most.
     Null texts are empty: one end token. A null doc_id, or a null held_out, is a training document. Without
     training documents every token is unknown. Rows that repeat are each scored and each learnt from.
     """
+    if not 1 <= order <= 3:
+        raise ValueError("order is 1 to 3")
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    learnt = rows.where(~F.col("held_out"))
-    words = saved(learnt.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    ends = learnt.count()  # one end token each
-    zero = F.lit(0)
-    n, v, once, twice = words.agg(F.coalesce(F.sum("n"), zero), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    n, v = n + ends, v + (ends > 0)
+    limit = LANE << 15
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(4, -(-size // (SHARE * limit)))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = saved(df, name)
+        for _ in range(2):  # Spark removes shuffle files when the driver has collected their plans, which takes two passes
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+        return out
+
+    state = kept(rows.mapInArrow(_states(limit), _MAIL), "state")
+    counted = kept(state.mapInArrow(_ask(order, shards, states is not None or least > 1), _MAIL).groupBy("shard").applyInArrow(_counted, _MAIL), "counted")
+    figures = [_unpacked(bytes(r[0]))[0] for r in counted.where(F.col("chunk") == STATE).select("a").collect()]  # four numbers a shard
+    n, v, once, twice = (int(x) for x in np.sum(figures, axis=0)) if figures else (0, 0, 0, 0)
     unigram = Unigram(n, v, once / (once + 2 * twice) if once else 0.5)
-    least = max(1, -(-n // states))
-    kept, counts = _kept(words, "word", least)
-    known = share({w: i + 1 for i, w in enumerate(kept.to_pylist())})
-    counts = np.concatenate([[ends], counts])
-    grams = Grams(len(counts), [np.arange(len(counts))], [counts], [Table.of(np.arange(len(counts)))])
-    for k in range(2, order + 1):
-        found = learnt.select("text").mapInArrow(_count_grams(known, share(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        keys, of = _kept(found, "gram", max(least, 1))
-        keys = keys.to_numpy()
-        grams = Grams(grams.width, [*grams.keys, keys], [*grams.counts, of], [*grams.tables, Table.of(keys)])
-    model = share(build(grams, unigram))
-    scored = saved(rows.mapInArrow(_score(known, share(counts), model, order), SCORED_COLUMNS), "scored")
-    rare = words.where(F.col("n") < least).withColumnRenamed("n", "c")
-    c = F.coalesce("c", zero)
-    freed = unigram.discount * v / (v + 1) if v else 1.0
-    weight = F.log10((F.greatest(c - F.lit(unigram.discount), F.lit(0.0)) + F.lit(freed)) / F.lit(max(n, 1)))
-    more = (
-        scored.where("times is not null").select("row", "word", "times")
-        .join(rare, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(c + F.lit(0.5))).alias("more_base"),
-            F.sum(F.col("times") * weight).alias("more_score"),
-            F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
-        )
-    )
-    nothing = F.lit(0.0)
-    of_none = math.log10(0.5) if not ends else 0.0  # the end token itself is unknown then
-    return (
-        scored.where("times is null").drop("word", "times").join(more, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("more_base", nothing) + of_none - F.col("n_tokens") * F.lit(math.log10(n + 0.5 * (v + 1)))).alias("base_score"),
-            (F.col("score") + F.coalesce("more_score", nothing)).alias("score"),
-        )
-    )
+    if states is not None:
+        least = max(least, -(-n // states))
+    counts = state.unionByName(counted.where(F.col("chunk") >= 0))
+    arcs = counts.groupBy("chunk").applyInArrow(_add_arcs(order, shards, unigram, least), _MAIL)
+    added = kept(arcs.groupBy("shard").applyInArrow(_added, _MAIL).withColumn("shard", (F.col("shard") + _SECOND).cast("int")), "added")
+    return counts.unionByName(added).groupBy("chunk").applyInArrow(_score(order, shards, unigram, least), SCORED_COLUMNS)
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:

@@ -158,6 +158,20 @@ def test_language_model(spark, monkeypatch):
         assert r.score == pytest.approx(sum(math.log10(chance(padded[max(0, j - 2) : j], padded[j])) for j in range(1, len(padded))), rel=1e-6)
 
 
+def test_language_model_keeps_what_is_seen_once(spark):
+    """More training tokens than any bound on the n-grams of an order; the threshold doesn't follow them."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(vocab, k=1000))) for i in range(300)]
+    held = " ".join([*docs[7][1].split()[10:16], "new", *docs[8][1].split()[500:503], *rng.choices(vocab, k=4)])
+    rows = {r.doc_id: r for r in langmodel.score_documents(spark.createDataFrame([*docs, (300, held)], "doc_id long, text string"), F.col("doc_id") == 300).collect()}
+    _, n, _, chance = brute_model([t for _, t in docs], 1, langmodel.ORDER)
+    assert n == 300_300 > 1 << 18
+    for i, t in ((300, held), docs[0]):
+        padded = ["\n", *tokens(t)]
+        assert rows[i].score == pytest.approx(sum(math.log10(chance(padded[max(0, j - 2) : j], padded[j])) for j in range(1, len(padded))), rel=1e-6)
+
+
 def test_language_model_without_rows_or_training(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert langmodel.score_corpus(df.limit(0)).count() == 0
