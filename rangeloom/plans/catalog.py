@@ -84,15 +84,19 @@ def q_reduce_by_key(spark, sf_dir):
 
 @_query(f"SELECT count(*) AS n, CAST(sum(v % 97) AS BIGINT) AS s FROM {EVENTS}")
 def q_reduce_custom(spark, sf_dir):
+    import numpy as np
     import pandas as pd
 
     def local(frames):
-        n = s = 0
+        """Remainders have the sign of the value, as in SQL; nulls are counted and add nothing, and the sum of none is null."""
+        n, s, some = 0, 0, False
         for f in frames:
-            n, s = n + len(f), s + int((f["v"] % 97).sum())
-        yield pd.DataFrame({"n": [n], "s": [s]})
+            n, s, some = n + len(f), s + int(np.fmod(f["v"], 97).sum()), some or bool(f["some"].any())
+        yield pd.DataFrame({"n": [n], "s": pd.array([s if some else None], "Int64")})
 
-    return reduce.reduce_custom(_events(spark, sf_dir).where("v >= 0"), local, "n long, s long", lambda d: d.agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
+    v = F.col("v")
+    rows = _events(spark, sf_dir).select(F.coalesce(v, F.lit(0)).alias("v"), v.isNotNull().alias("some"))
+    return reduce.reduce_custom(rows, local, "n long, s long", lambda d: d.agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
 
 
 @_query(f"SELECT min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM {EVENTS} WHERE v > 20000")

@@ -44,3 +44,13 @@ def test_entry_imports(spark):
     assert set(catalog.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1
+
+
+def test_reduce_custom_takes_negative_and_null_values(spark, duck, tmp_path):
+    sql = catalog.oracle_sql()["q_reduce_custom"]
+    for name, values in (("some", "CASE i % 4 WHEN 0 THEN NULL WHEN 1 THEN -i * 1.37 ELSE i * 2.11 END"), ("none", "CAST(NULL AS DOUBLE)")):
+        path = tmp_path / name / "events.parquet"
+        path.parent.mkdir()
+        duck.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, {values} AS value FROM (SELECT CAST(i AS BIGINT) AS i FROM range(200) t(i))) TO '{path}' (FORMAT parquet)")
+        got = catalog.queries()["q_reduce_custom"](spark, str(path.parent)).collect()
+        assert [tuple(r) for r in got] == duck.execute(sql.replace("FROM events", f"FROM '{path}'")).fetchall()
