@@ -45,7 +45,7 @@ def lpt_shards(rows: DataFrame, shards: int, size: str, group: Column, order: li
     total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     large = groups.where(F.col("_bytes") * (LARGE * shards) > F.lit(total)).select("_group").collect()  # fewer than LARGE * shards
     numbered = {bytes(r[0]): i for i, r in enumerate(sorted(large, key=lambda r: bytes(r[0])))}
-    bundle = F.pmod(F.coalesce(F.xxhash64("_group"), F.xxhash64(*order)), F.lit(BUNDLES))
+    bundle = F.pmod(F.when(F.col("_group").isNull(), F.xxhash64(*order)).otherwise(F.xxhash64("_group")), F.lit(BUNDLES))
     cell = F.pmod(F.xxhash64(*order), F.lit(CELLS))
     if numbered:
         names = spark.createDataFrame([(k, i) for k, i in ((bytearray(k), i) for k, i in numbered.items())], "_large binary, _no int")

@@ -274,3 +274,15 @@ def test_schedule_is_longest_first():
 def test_saved_tables_keep_their_schema(spark):
     df = spark.createDataFrame([(1, None)], "a long, b string")
     assert saved(df, "t").schema == df.schema and pa.__version__
+
+
+def test_sharding_spreads_null_texts(spark):
+    docs = [(i, None if i % 3 else f"text {i}") for i in range(3000)]
+    rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(3000))
+    sizes, nulls = [0] * 5, [0] * 5
+    for r in rows:
+        sizes[r.shard] += r.size
+        nulls[r.shard] += r.doc_id % 3 > 0
+    assert max(sizes) - min(sizes) <= 100 and max(nulls) < 2 * 2000 / 5
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(5))
