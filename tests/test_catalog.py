@@ -1,6 +1,9 @@
 """Every catalog query against its SQL oracle on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -46,6 +49,19 @@ def test_entry_imports(spark):
     assert entry.entry(spark).count() == 1
 
 
+@pytest.mark.parametrize("gone", [["rangeloom/llm"], ["rangeloom/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_works_without_optional_parts(tmp_path, gone):
+    home, copy = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), tmp_path / "copy"
+    shutil.copytree(home, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", "*.md"))
+    for name in gone:
+        path = copy / name
+        shutil.rmtree(path, ignore_errors=True) if path.is_dir() else path.unlink(missing_ok=True)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
+    names = set(said.split())
+    assert set(catalog.queries()) <= names and "pipeline" not in names
+    assert any(n.startswith("op1_") for n in names) == ("rangeloom/llm" not in gone and (copy / "rangeloom/llm").is_dir())
+
+
 def test_reduce_custom_takes_negative_and_null_values(spark, duck, tmp_path):
     sql = catalog.oracle_sql()["q_reduce_custom"]
     for name, values in (("some", "CASE i % 4 WHEN 0 THEN NULL WHEN 1 THEN -i * 1.37 ELSE i * 2.11 END"), ("none", "CAST(NULL AS DOUBLE)")):
