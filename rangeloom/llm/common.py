@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -74,6 +76,35 @@ def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iter
         first = last
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose bits all depend on all bits (public domain constants)."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers stay for the tasks that follow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of Arrow batches, its memory released when a task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 class Text(NamedTuple):
     """The bytes of a text column, null as empty: row i is data[offsets[i]:offsets[i + 1]]."""
 

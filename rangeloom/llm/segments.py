@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, Text, chunks, text_bytes
+from .common import Table, Text, chunks, list_array, mixed, text_bytes, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, and the form of byte pieces.
@@ -33,7 +33,8 @@ MARK, BYTE = "▁", "<0x{:02X}>"
 LITERAL = 0x110000
 #: Log weight of a byte piece below that of the last piece.
 BYTE_PENALTY = 4.0
-CHUNK = 3 << 19
+#: Bytes of text whose lattice is laid out at a time; a longer text is taken whole.
+CHUNK = 3 << 18
 
 
 class Vocabulary(NamedTuple):
@@ -80,7 +81,7 @@ def load(model: str = MODEL) -> Vocabulary:
 
 
 class Lattice(NamedTuple):
-    """Edges of all units by start, and normalised: edge e of node i leaves with probability chance[e]; the nodes of a unit follow one another."""
+    """Edges of all units by start, and normalised: edge e of node i leaves with probability chance[e]. The nodes of a unit follow one another, the last one without edges."""
 
     first: np.ndarray  # of each node: its first edge; one more at the end
     length: np.ndarray  # characters
@@ -89,8 +90,9 @@ class Lattice(NamedTuple):
     upto: np.ndarray  # cumulative chance within the node, at least 1 at its last edge
     unit_start: np.ndarray
     unit_end: np.ndarray
-    width: np.ndarray  # ids of the edge: one, or its character's bytes
-    byte_at: np.ndarray  # where in data these bytes begin
+    lone: np.ndarray  # the edges without a piece of their own, in order,
+    lone_at: np.ndarray  # where in data their bytes begin
+    lone_size: np.ndarray  # and how many these are
     data: np.ndarray
 
 
@@ -99,94 +101,96 @@ def lattice(units: pa.Array, vocab: Vocabulary, alpha: float) -> Lattice:
     raw = text_bytes(units)
     points = np.frombuffer(raw.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
     is_first = (raw.data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(is_first)])
-    bounds = before[raw.offsets]
-    n = len(points)
-    unit_start, unit_end = bounds[:-1], bounds[1:]
-    end_of = np.repeat(unit_end, unit_end - unit_start)
-    seen = np.where(points == ord(MARK), LITERAL, np.where(points == 32, ord(MARK), points))
-    byte_at = np.flatnonzero(is_first)
-    n_bytes = np.diff(np.append(byte_at, len(raw.data)))
-    # Pieces by walking the trie from every character at once, one character further each time.
-    found, degree = [], np.zeros(n, np.int64)
-    at, node = np.arange(n), np.zeros(n, np.int64)
+    byte_at = np.flatnonzero(is_first).astype(np.int32)
+    n_bytes = np.diff(np.append(byte_at, np.int32(len(raw.data))))
+    spans = np.diff(np.concatenate([[0], np.cumsum(is_first)])[raw.offsets])
+    points = np.where(points == ord(MARK), LITERAL, np.where(points == 32, ord(MARK), points))
+    # Nodes: one for each character, and one more at each unit's end.
+    unit_end = (np.cumsum(spans + 1) - 1).astype(np.int32)
+    unit_start = (unit_end - spans).astype(np.int32)
+    n = len(points) + len(spans)
+    node_of = np.arange(len(points), dtype=np.int32) + np.repeat(np.arange(len(spans), dtype=np.int32), spans)
+    seen = np.zeros(n, np.int64)
+    seen[node_of] = points
+    # Pieces by walking the trie from every character at once, one character further each time; an end stops it.
+    found, degree = [], np.zeros(n, np.int8)
+    at, node = node_of, np.zeros(len(points), np.int64)
     for size in range(1, vocab.longest + 1):
-        child = vocab.children.find((node << 21) | seen[at + size - 1])
+        child = vocab.children.find((node << 21) | seen[at + (size - 1)])
         ok = child >= 0
         at, node = at[ok], vocab.child[child[ok]]
         piece = vocab.piece[node]
         ends = piece >= 0
-        found.append((at[ends], piece[ends], size, degree[at[ends]]))
+        found.append((at[ends], piece[ends].astype(np.int32), size, degree[at[ends]]))
         degree[at[ends]] += 1
         if size == 1:  # characters that are no piece become bytes
-            lone = np.flatnonzero(degree == 0)
-            found.append((lone, np.full(len(lone), -1), 1, degree[lone]))
+            bare = np.flatnonzero(degree[node_of] == 0)
+            lone = node_of[bare]
+            found.append((lone, np.full(len(lone), -1, np.int32), 1, degree[lone]))
             degree[lone] += 1
-        more = at + size < end_of[at]
-        at, node = at[more], node[more]
         if not len(at):
             break
-    first = np.concatenate([[0], np.cumsum(degree)])
-    ids, lengths = np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+    first = np.zeros(n + 1, np.int32)
+    np.cumsum(degree, out=first[1:])
+    ids, lengths = np.empty(first[-1], np.int32), np.empty(first[-1], np.int8)
     for start, piece, size, rank in found:
         place = first[start] + rank
         ids[place], lengths[place] = piece, size
-    del found, at, node
-    starts = np.repeat(np.arange(n), degree)
-    to = starts + lengths
-    weight = np.where(ids >= 0, (alpha * vocab.weight)[ids], alpha * vocab.byte_weight * n_bytes[starts])
-    # Backward masses, by distance to the unit's end, all units at once; a unit's end has mass 0.
-    mass, spans = np.zeros(n + 1), unit_end - unit_start
+    del found, at, node, seen
+    lone = first[lone]
+    weight = (alpha * vocab.weight)[ids]
+    weight[lone] = alpha * vocab.byte_weight * n_bytes[bare]
+    # Backward masses, by distance to the unit's end, all units at once. Sums are taken relative to the next character's mass.
+    mass = np.zeros(n)
     by_length = unit_end[np.argsort(-spans, kind="stable")]
     alive = len(spans) - np.searchsorted(np.sort(spans), np.arange(int(spans.max(initial=0)) + 1))
-    stop = to == np.repeat(end_of, degree)
     for distance in range(1, len(alive)):
         here = by_length[: alive[distance]] - distance
-        edge, left = first[here], degree[here]
-        total = weight[edge] + np.where(stop[edge], 0.0, mass[to[edge]])
-        on = np.flatnonzero(left > 1)
-        rank = 1
+        edge, left, beside = first[here], degree[here], mass[here + 1]
+        total = np.exp(np.minimum(weight[edge] + mass[here + lengths[edge]] - beside, 700.0))
+        on, rank = np.flatnonzero(left > 1), 1
         while len(on):
             e = edge[on] + rank
-            total[on] = np.logaddexp(total[on], weight[e] + np.where(stop[e], 0.0, mass[to[e]]))
+            total[on] += np.exp(np.minimum(weight[e] + mass[here[on] + lengths[e]] - beside[on], 700.0))
             rank += 1
             on = on[left[on] > rank]
-        mass[here] = total
-    chance = np.minimum(weight + np.where(stop, 0.0, mass[to]) - mass[starts], 0.0)
-    chance[(degree == 1)[starts]] = 0.0
-    total = np.cumsum(np.exp(chance))
-    upto = total - np.concatenate([[0.0], total])[first[starts]]
-    upto[first[1:] - 1] = 2.0
-    return Lattice(first, lengths, ids, chance, upto, unit_start, unit_end, np.where(ids >= 0, 1, n_bytes[starts]).astype(np.int8), byte_at[starts].astype(np.int32), raw.data)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        mass[here] = beside + np.log(total)
+    starts = np.repeat(np.arange(n, dtype=np.int32), degree)
+    weight += mass[starts + lengths]
+    weight -= mass[starts]
+    chance = np.minimum(weight, 0.0, out=weight)
+    chance[first[np.flatnonzero(degree == 1)]] = 0.0
+    upto = np.exp(chance)
+    on, rank = first[np.flatnonzero(degree > 1)], 1
+    left = degree[starts[on]]
+    while len(on):
+        upto[on + rank] += upto[on + rank - 1]
+        rank += 1
+        on, left = on[left > rank], left[left > rank]
+    upto[first[1:][degree > 0] - 1] = 2.0
+    return Lattice(first, lengths, ids, chance, upto, unit_start, unit_end, lone, byte_at[bare], n_bytes[bare], raw.data)
 
 
 def seeds(keys: np.ndarray, stream: int) -> np.ndarray:
     """The generators' states of row keys for a stream of draws."""
-    return _mixed(np.atleast_1d(keys) + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return mixed(np.atleast_1d(keys) + np.uint64(stream * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
 
 def uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) fixed by state and position."""
-    x = _mixed(seed ^ (at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+    x = mixed(seed ^ (at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sampled edges from each node to its unit's end, walk by walk, and their numbers. at: the node's position in its row, which picks the numbers drawn."""
-    edges, walks, active = [], [], np.flatnonzero(node < end)
+    edges, walks, active = [], [], np.flatnonzero(node < end).astype(np.int32)
     node, at = node[active], at[active]
-    counts = np.zeros(len(end), np.int64)
+    counts = np.zeros(len(end), np.int32)
     while len(active):
         edge = lat.first[node]
-        several = np.flatnonzero(lat.first[node + 1] - edge > 1)
-        draw = uniform(seed[active[several]], at[several])
-        on = several
+        on = np.flatnonzero(lat.first[node + 1] - edge > 1)
+        draw = uniform(seed[active[on]], at[on])
         while len(on):
             past = lat.upto[edge[on]] <= draw
             on, draw = on[past], draw[past]
@@ -205,68 +209,20 @@ def walk(lat: Lattice, node: np.ndarray, end: np.ndarray, seed: np.ndarray, at:
     return out, counts
 
 
-def _truncated(mass: np.ndarray, bound, draw: np.ndarray) -> np.ndarray:
+def _truncated(mass: np.ndarray, bound: np.ndarray, draw: np.ndarray) -> np.ndarray:
     """Gumbel variables at log mass, given that they are below the bound."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         return np.where(mass > -np.inf, mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) - np.log(draw)), -np.inf)
 
 
-class Sample(NamedTuple):
-    edges: np.ndarray
-    log_prob: float
-    value: float
-    log_inclusion: float
-
-
-#: No draw of 53 bits lifts a Gumbel variable further above its log mass.
-REACH = 38.0
-
-
-class _Path:
-    """A completed segmentation: its edges, its log probability, and for its first nodes the log probability before
-    each and the perturbed value of the cell there. Cells further on are left out once their mass cannot
-    bring them among the path's `most` best, and no more than these are ever popped."""
-
-    def __init__(self, edges, chance, value, bound, seed, start, most):
-        self.edges, self.value, self.log_prob = edges, value, float(chance.sum())
-        self.taken: dict[int, list[int]] = {}
-        size, n = 160, len(edges)
-        while True:
-            part = chance[:size]
-            self.before = np.cumsum(part) - part
-            self.cells = np.full(len(part), -np.inf)
-            if start < len(part):
-                with np.errstate(divide="ignore"):
-                    mass = self.before[start:] + np.log(-np.expm1(part[start:]))
-                self.cells[start:] = _truncated(mass, bound, uniform(seed, np.arange(start, len(part))))
-            if len(part) == n:
-                return
-            best = np.partition(self.cells, -most)[-most] if len(part) >= most else -np.inf
-            if self.before[-1] + part[-1] + REACH < best:
-                return
-            size *= 4
-
-    def best(self) -> tuple[float, int]:
-        if not len(self.cells):
-            return -np.inf, -1
-        i = int(self.cells.argmax())
-        return float(self.cells[i]), i
-
-
-def _log_inclusion(x: float) -> float:
-    """log(1 - exp(-exp(x))): a Gumbel variable of log mass x over the threshold exceeds it."""
-    if x > 30:
-        return 0.0
-    return x if x < -30 else math.log(-math.expm1(-math.exp(x)))
-
-
 class Units(NamedTuple):
-    """Rows as units: codes by row, with positions."""
+    """Rows as units: codes by row, with positions in characters."""
 
     lat: Lattice
     codes: np.ndarray
     rows: np.ndarray
-    at: np.ndarray  # of each unit in its row, in characters
+    place: np.ndarray  # of each unit among all characters
+    row_place: np.ndarray  # of each row's first character; one more at the end
 
 
 def units_of(text: Text, vocab: Vocabulary, alpha: float) -> Units:
@@ -280,84 +236,189 @@ def units_of(text: Text, vocab: Vocabulary, alpha: float) -> Units:
     at = np.append(np.flatnonzero(cut), n)
     found = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
     lat = lattice(found.dictionary, vocab, alpha)
-    codes = found.indices.to_numpy().astype(np.int64)
+    codes = found.indices.to_numpy()
     rows = np.diff(np.searchsorted(at[:-1], text.offsets))
-    size = (lat.unit_end - lat.unit_start)[codes]
-    ends = np.cumsum(size)
-    of_row = np.concatenate([[0], ends])[np.cumsum(rows) - rows]
-    return Units(lat, codes, rows, ends - size - np.repeat(of_row, rows))
+    ends = np.concatenate([[0], np.cumsum((lat.unit_end - lat.unit_start)[codes], dtype=np.int64)])
+    return Units(lat, codes, rows, ends[:-1], ends[np.concatenate([[0], np.cumsum(rows)])])
 
 
-def sample(units: Units, keys: np.ndarray, k: int) -> list[list[Sample]]:
-    """For each row up to k distinct segmentations, by perturbed value downwards: fewer only where the lattice has no more."""
-    lat, n = units.lat, len(units.rows)
-    row_of = np.repeat(np.arange(n), units.rows)
-    starts, ends = lat.unit_start[units.codes], lat.unit_end[units.codes]
-    edges, counts = walk(lat, starts, ends, seeds(keys, 0)[row_of], units.at)
-    row_ends = np.cumsum(np.bincount(row_of, counts, n)).astype(np.int64)
-    chance, cell_seeds = lat.chance[edges], seeds(keys, 1)
-    roots = -np.log(-np.log(uniform(seeds(keys, 1_000_003), np.zeros(n, np.int64))))
-    bounds = [0, *row_ends.tolist()]
-    paths = [[_Path(edges[a:b], chance[a:b], roots[i], roots[i], cell_seeds[i], 0, k + 1)] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    best = lambda row: max(((*p.best(), j) for j, p in enumerate(row)), key=lambda x: x[0])
-    for draw in range(1, k):
-        jobs = [(i, *best(row)) for i, row in enumerate(paths) if len(row) == draw]
-        _complete(units, starts, ends, keys, paths, [x for x in jobs if x[1] > -np.inf], draw, k + 1)
-    out = []
-    for row in paths:
-        bound = best(row)[0]  # the next value is the threshold of the inclusion scores
-        out.append([Sample(p.edges, p.log_prob, float(p.value), _log_inclusion(p.log_prob - bound)) for p in row])
+#: No draw of 53 bits lifts a Gumbel variable further above its log mass.
+REACH = 38.0
+#: Nodes of a path that are looked at first for its best cells.
+NEAR = 96
+
+
+class Cells(NamedTuple):
+    """The best cells of some paths, a row for each path: perturbed value (-inf for none), and the edges, log probability and characters before the cell."""
+
+    value: np.ndarray
+    at: np.ndarray
+    before: np.ndarray
+    place: np.ndarray
+
+
+def _cells(lat: Lattice, edges: np.ndarray, begin: np.ndarray, count: np.ndarray, start: Cells, seed: np.ndarray, most: int) -> Cells:
+    """The `most` best cells of the paths whose edges from `begin` on, `count` of them, may have cells. start: for each path
+    the bound of the values, and what is before the first of these edges. Edges are looked at until the mass that is
+    left cannot bring a cell among the best; no more than these are ever popped."""
+    m = len(begin)
+    out = Cells(np.full((m, most), -np.inf), np.zeros((m, most), np.int64), np.zeros((m, most)), np.zeros((m, most), np.int64))
+    rows, width = np.flatnonzero(count), NEAR
+    while len(rows):
+        near = np.arange(max(most, min(width, int(count[rows].max()))))
+        inside = near < count[rows, None]
+        e = edges[np.minimum(begin[rows, None] + near, len(edges) - 1)]
+        chance = np.where(inside, lat.chance[e], 0.0)
+        run = np.cumsum(chance, axis=1)
+        before = start.before[rows, None] + run - chance
+        with np.errstate(divide="ignore"):
+            mass = before + np.log(-np.expm1(chance))
+        index = start.at[rows, None] + near
+        value = _truncated(mass, start.value[rows, None], uniform(seed[rows, None], index))
+        steps = np.where(inside, lat.length[e], 0)
+        place = start.place[rows, None] + np.cumsum(steps, axis=1) - steps
+        best = np.argpartition(-value, most - 1, axis=1)[:, :most]
+        for held, found in zip(out, (value, index, before, place), strict=True):
+            held[rows] = np.take_along_axis(found, best, axis=1)
+        more = (count[rows] > len(near)) & (start.before[rows] + run[:, -1] + REACH >= out.value[rows].min(axis=1))
+        rows, width = rows[more], 4 * width
     return out
 
 
-def _complete(units: Units, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, paths: list[list[_Path]], jobs: list[tuple], draw: int, most: int) -> None:
-    """Pop each job's cell: complete its best segmentation and put what is left of the cell back."""
-    if not jobs:
-        return
-    lat = units.lat
+class Draw(NamedTuple):
+    """One segmentation of each of some rows, by perturbed value the same in number from the top."""
+
+    rows: np.ndarray
+    edges: np.ndarray
+    counts: np.ndarray  # edges of each row
+    log_prob: np.ndarray
+    value: np.ndarray
+    log_inclusion: np.ndarray
+
+
+def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1 and so on, counts[i] of them, for each i."""
+    return np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of counts[i] values; 0 of none."""
+    out, some = np.zeros(len(counts), values.dtype), np.flatnonzero(counts)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some])
+    return out
+
+
+def draws(units: Units, keys: np.ndarray, k: int) -> list[Draw]:
+    """Up to k distinct segmentations of each row, by perturbed value downwards: fewer only where the lattice has no more."""
+    lat, n, most = units.lat, len(units.rows), k + 1
+    starts, ends = lat.unit_start[units.codes], lat.unit_end[units.codes]
     last_unit = np.cumsum(units.rows)
-    picks, rests, cells = seeds(keys, 2 * draw), seeds(keys, 3_000_017 + draw), seeds(keys, 2 * draw + 1)
-    heads, nodes, stops, ats, sizes = [], [], [], [], []
-    for i, value, at, j in jobs:
-        path = paths[i][j]
-        taken = path.taken.setdefault(at, [int(path.edges[at])])
-        place = int(lat.length[path.edges[:at]].sum())
-        last = int(last_unit[i])
-        first = last - int(units.rows[i])
-        unit = first + int(np.searchsorted(units.at[first:last], place, "right")) - 1
-        node = int(starts[unit]) + place - int(units.at[unit])
-        options = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in taken]
-        chances = np.exp(lat.chance[options])
-        drawn = uniform(picks[i : i + 1], np.array([place]))[0] * chances.sum()
-        pick = options[min(int(np.searchsorted(np.cumsum(chances), drawn, "right")), len(options) - 1)]
-        taken.append(pick)
-        rest = float(np.exp(lat.chance[[e for e in options if e != pick]]).sum())
-        mass = np.array([path.before[at] + math.log(rest) if rest > 0 else -np.inf])
-        path.cells[at] = _truncated(mass, value, uniform(rests[i : i + 1], np.array([at])))[0]
-        heads.append((i, value, at, path, pick))
-        step = int(lat.length[pick])
-        nodes += [[node + step], starts[unit + 1 : last]]
-        stops += [[ends[unit]], ends[unit + 1 : last]]
-        ats += [[place + step], units.at[unit + 1 : last]]
-        sizes.append(last - unit)
-    of = np.repeat([h[0] for h in heads], sizes)
-    edges, counts = walk(lat, np.concatenate(nodes), np.concatenate(stops), picks[of], np.concatenate(ats))
-    chance = lat.chance[edges]
-    bounds = [0, *np.cumsum(np.add.reduceat(counts, np.cumsum([0, *sizes[:-1]]))).tolist()]
-    for (i, value, at, path, pick), a, b in zip(heads, bounds[:-1], bounds[1:], strict=True):
-        kept = path.edges[:at]
-        whole = np.concatenate([kept, [pick], edges[a:b]])
-        paths[i].append(_Path(whole, np.concatenate([lat.chance[kept], lat.chance[[pick]], chance[a:b]]), value, value, cells[i], at + 1, most))
+    cell_seeds = seeds(keys, 1)
+    agenda = Cells(np.full((n, k, most), -np.inf), np.zeros((n, k, most), np.int64), np.zeros((n, k, most)), np.zeros((n, k, most), np.int64))
+    taken = np.full((n, k, most, k), -1, np.int64)  # edges excluded from each cell beside its path's own
+    pool, at_pool, found = np.zeros(0, np.int32), np.zeros((k, n), np.int64), []  # all paths' edges, and where each row's begin
+    for draw in range(k):
+        if draw == 0:
+            rows, bound = np.arange(n), -np.log(-np.log(uniform(seeds(keys, 1_000_003), np.zeros(n, np.int64))))
+            row_of = np.repeat(rows, units.rows)
+            edges, counts = walk(lat, starts, ends, seeds(keys, 0)[row_of], units.place - units.row_place[row_of])
+            counts = np.bincount(row_of, counts, n).astype(np.int64)
+            zero = np.zeros(n, np.int64)
+            begin, rest, start, cell_seed = np.cumsum(counts) - counts, counts, Cells(bound, zero, np.zeros(n), zero), cell_seeds
+        else:
+            top = agenda.value.reshape(n, -1).argmax(axis=1)
+            bound = agenda.value.reshape(n, -1)[np.arange(n), top]
+            rows = np.flatnonzero(bound > -np.inf)
+            if not len(rows):
+                break
+            edges, counts, begin, rest, start = _popped(units, starts, ends, last_unit, keys, agenda, taken, pool, at_pool, rows, *divmod(top[rows], most), draw)
+            bound, cell_seed = bound[rows], seeds(keys, 2 * draw + 1)[rows]
+        for held, best in zip(agenda, _cells(lat, edges, begin, rest, start, cell_seed, most), strict=True):
+            held[rows, draw] = best
+        at_pool[draw, rows] = len(pool) + np.cumsum(counts) - counts
+        pool = np.concatenate([pool, edges])
+        found.append((rows, edges, counts, _sums(lat.chance[edges], counts), bound))
+    threshold = agenda.value.reshape(n, -1).max(axis=1)  # the next value is the threshold of the inclusion scores
+    return [Draw(*x, _log_inclusion(x[3] - threshold[x[0]])) for x in found]
+
+
+def _log_inclusion(x: np.ndarray) -> np.ndarray:
+    """log(1 - exp(-exp(x))): a Gumbel variable of log mass x over the threshold exceeds it."""
+    middle = np.log(-np.expm1(-np.exp(np.clip(x, -30.0, 30.0))))
+    return np.where(x > 30, 0.0, np.where(x < -30, x, middle))
+
+
+def _popped(units: Units, starts, ends, last_unit, keys, agenda: Cells, taken, pool, at_pool, rows, path, slot, draw: int):
+    """Pop a cell of each of the rows: complete its best segmentation and put what is left of the cell back.
+
+    Returns the new paths' edges with their numbers, where the new cells begin in them, how many edges they have
+    from there, and what is before these."""
+    lat = units.lat
+    here = (rows, path, slot)
+    value, at, before, place = (x[here] for x in agenda)
+    picks, rests = seeds(keys, 2 * draw)[rows], seeds(keys, 3_000_017 + draw)[rows]
+    unit = np.searchsorted(units.place, units.row_place[rows] + place, "right") - 1
+    node = starts[unit] + (units.row_place[rows] + place - units.place[unit])
+    parent = at_pool[path, rows]
+    excluded = np.concatenate([pool[parent + at][:, None], taken[here]], axis=1)
+    degree = lat.first[node + 1] - lat.first[node]
+    nth = np.arange(int(degree.max()))
+    options = lat.first[node][:, None] + nth
+    free = (nth < degree[:, None]) & (options[:, :, None] != excluded[:, None, :]).all(axis=2)
+    chance = np.where(free, np.exp(lat.chance[np.minimum(options, len(lat.chance) - 1)]), 0.0)
+    upto = np.cumsum(chance, axis=1)
+    drawn = uniform(picks, place) * upto[:, -1]
+    index = np.minimum((upto <= drawn[:, None]).sum(axis=1), len(nth) - 1 - free[:, ::-1].argmax(axis=1))
+    pick = options[np.arange(len(rows)), index]
+    left = np.cumsum(np.where(nth == index[:, None], 0.0, chance), axis=1)[:, -1]
+    with np.errstate(divide="ignore"):
+        agenda.value[here] = _truncated(before + np.log(left), value, uniform(rests, at))
+    taken[(*here, (excluded >= 0).sum(axis=1) - 1)] = pick
+    # The units from the cell's on are walked anew, the first from the node behind the picked edge.
+    step, sizes = lat.length[pick], last_unit[rows] - unit
+    walked, heads = _ragged(unit, sizes), np.cumsum(sizes) - sizes
+    node_from, position = starts[walked], units.place[walked] - np.repeat(units.row_place[rows], sizes)
+    node_from[heads], position[heads] = node + step, place + step
+    tail, counts = walk(lat, node_from, ends[walked], np.repeat(picks, sizes), position)
+    rest = np.add.reduceat(counts, heads).astype(np.int64)
+    total = at + 1 + rest
+    begin = np.cumsum(total) - total
+    edges = np.empty(int(total.sum()), np.int32)
+    edges[_ragged(begin, at)] = pool[_ragged(parent, at)]
+    edges[begin + at] = pick
+    edges[_ragged(begin + at + 1, rest)] = tail
+    return edges, total, begin + at + 1, rest, Cells(value, at + 1, before + lat.chance[pick], place + step)
+
+
+class Sample(NamedTuple):
+    edges: np.ndarray
+    log_prob: float
+    value: float
+    log_inclusion: float
+
+
+def sample(units: Units, keys: np.ndarray, k: int) -> list[list[Sample]]:
+    """The draws row by row."""
+    out: list[list[Sample]] = [[] for _ in units.rows]
+    for d in draws(units, keys, k):
+        for row, edges, *rest in zip(d.rows.tolist(), np.split(d.edges, np.cumsum(d.counts)[:-1]), d.log_prob.tolist(), d.value.tolist(), d.log_inclusion.tolist(), strict=True):
+            out[row].append(Sample(edges, *rest))
+    return out
 
 
 def piece_ids(lat: Lattice, edges: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the edges, and how many each has; a character without a piece becomes its bytes."""
-    ids, width = lat.id[edges], lat.width[edges].astype(np.int64)
+    ids, width = lat.id[edges], np.ones(len(edges), np.int64)
     wide = np.flatnonzero(ids < 0)
+    if not len(wide):
+        return ids, width
+    of = np.searchsorted(lat.lone, edges[wide])
+    size = lat.lone_size[of].astype(np.int64)
+    width[wide] = size
     out = np.repeat(ids, width)
     first = (np.cumsum(width) - width)[wide]
-    nth = np.arange(int(width[wide].sum())) - np.repeat(np.cumsum(width[wide]) - width[wide], width[wide])
-    out[np.repeat(first, width[wide]) + nth] = vocab.byte_ids[lat.data[np.repeat(lat.byte_at[edges[wide]], width[wide]) + nth]]
+    out[_ragged(first, size)] = vocab.byte_ids[lat.data[_ragged(lat.lone_at[of], size)]]
     return out, width
 
 
@@ -380,23 +441,13 @@ def _sampled(vocab, k: int, alpha: float, key: str):
         for whole in batches:
             for batch in chunks(whole, 1, CHUNK):
                 units = units_of(text_bytes(prefixed(batch.column(1))), vocab.value, alpha)
-                found = sample(units, batch.column(2).to_numpy().view(np.uint64), k)
-                flat = [s for row in found for s in row]
-                ids, width = piece_ids(units.lat, np.concatenate([s.edges for s in flat]), vocab.value)
-                bounds = np.concatenate([[0], np.cumsum(width)])[np.cumsum([0, *(len(s.edges) for s in flat)])]
-                of = np.repeat(np.arange(len(found)), [len(row) for row in found])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(of)),
-                        pa.array([i + 1 for row in found for i in range(len(row))], pa.int32()),
-                        pa.array(np.diff(bounds), pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
-                        pa.array([s.log_prob for s in flat], pa.float64()),
-                        pa.array([s.value for s in flat], pa.float64()),
-                        pa.array([s.log_inclusion for s in flat], pa.float64()),
-                    ],
-                    names=[key, "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion"],
-                )
+                for n, d in enumerate(draws(units, batch.column(2).to_numpy().view(np.uint64), k)):
+                    ids, width = piece_ids(units.lat, d.edges, vocab.value)
+                    sizes = _sums(width, d.counts)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(d.rows)), pa.array(np.full(len(d.rows), n + 1, np.int32)), pa.array(sizes.astype(np.int32)), list_array(pa.array(ids), sizes), *map(pa.array, (d.log_prob, d.value, d.log_inclusion))],
+                        names=[key, "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion"],
+                    )
 
     return run
 
@@ -407,8 +458,9 @@ def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 0.5, seed:
 
     Draws depend on seed and key alone, so rows that repeat are sampled alike; null keys are one key. A null or
     empty text has one segmentation of no pieces. Every sample decodes to the whole text.
+    A text is one row in and k rows out, so the longest must fit in a task, with about 60 bytes for each of its own.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: of fixed size
     rows = docs.select(F.col(key), F.col(text), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_key"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_sampled(vocab, k, alpha, key), f"`{key}` {kind}, {SAMPLE_COLUMNS}")
+    return rows.mapInArrow(tidy(_sampled(vocab, k, alpha, key)), f"`{key}` {kind}, {SAMPLE_COLUMNS}")
