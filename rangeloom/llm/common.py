@@ -62,6 +62,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that none clashes with a column that an operator adds; toDF(*df.columns) names them back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def number_of(df: DataFrame, column: str) -> str:
+    """The column's name in numbered(df)."""
+    return f"c{[c.lower() for c in df.columns].index(column.lower())}"
+
+
+def without(columns: list[str], added) -> list[str]:
+    """The columns that none of the added ones replaces."""
+    gone = {c.lower() for c in added}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about limit bytes of text, one row at least."""
     if not batch.num_rows:

@@ -1,23 +1,26 @@
 """Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
-The items are the stated query set: their size is measured first, they are read in
-blocks of bounded size, and each block's automaton is broadcast to one narrow pass over
-the documents. Training tokens stream through the automaton; the longest match that ends
-at each word is tracked, and words inside matched windows become spans.
+The items are the stated query set. Their text is dealt into blocks of bounded size, long items
+cut into overlapping pieces, and each block's automaton is broadcast to one narrow pass over the documents and
+taken back before the next block's is built. Training tokens stream through the automaton; the longest match that ends
+at each word is tracked, and words inside matched windows become spans. With several blocks, each pass saves
+the spans of the texts in which it found some, by the text's digest, and their union is joined back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, chunks, list_array, passed_through, text_bytes, words_of
+from .common import ALNUM, Words, chunks, list_array, number_of, numbered, passed_through, saved, text_bytes, tidy, without, words_of
 
-#: Bytes of item text in one automaton; this bounds what is broadcast.
+#: Bytes of item text in one automaton, about; this bounds what is broadcast.
 BLOCK_BYTES = 1 << 20
 
 
@@ -174,57 +177,126 @@ def _found_in(automaton: ItemAutomaton, words: Words) -> Iterator[tuple[int, lis
         yield row, spans, items
 
 
-SPAN_COLUMNS = "_dc_words long, _dc_spans array<int>, _dc_items array<string>"
+#: Columns that find_spans adds.
+SPANS = ["_dc_words", "_dc_spans", "_dc_items"]
+_FOUND = "words long, spans array<int>, items array<string>"
 
 
-def _pass(automaton, text_at: int, names: list[str]):
+def _pass(automaton, names: list[str], hits_only: bool):
+    """Of batches whose first column is a text: the columns `names` with the text's words, flat spans and items; with hits_only no other rows than those with spans."""
+
     def run(batches):
         for whole in batches:
-            for batch in chunks(whole, text_at):
-                words = words_of(text_bytes(batch.column(text_at)), ALNUM)
-                n = batch.num_rows
-                spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-                items: list[set[str]] = [set() for _ in range(n)]
-                if "_dc_spans" in batch.schema.names:  # of earlier blocks
-                    for i, (flat, of) in enumerate(zip(batch["_dc_spans"].to_pylist(), batch["_dc_items"].to_pylist(), strict=True)):
-                        spans[i], items[i] = list(zip(flat[::2], flat[1::2], strict=True)), set(of)
+            for batch in chunks(whole, 0):
+                words = words_of(text_bytes(batch.column(0)), ALNUM)
+                spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+                items: list[set[str]] = [set() for _ in range(batch.num_rows)]
                 for row, more, of in _found_in(automaton.value, words):
-                    spans[row] = _merged(spans[row] + more)
-                    items[row] |= of
+                    spans[row], items[row] = _merged(more), of
                 flat = [x for row in spans for span in row for x in span]
-                base = batch.select(names)
-                yield passed_through(
-                    base,
+                found = passed_through(
+                    batch.select(names),
                     {
-                        "_dc_words": pa.array(words.rows, pa.int64()),
-                        "_dc_spans": list_array(pa.array(flat, pa.int32()), np.array([2 * len(s) for s in spans])),
-                        "_dc_items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
+                        "words": pa.array(words.rows, pa.int64()),
+                        "spans": list_array(pa.array(flat, pa.int32()), np.array([2 * len(s) for s in spans])),
+                        "items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
                     },
                 )
+                yield found.filter(pa.array([bool(s) for s in spans])) if hits_only else found
 
     return run
 
 
+def _pieces(window: int, limit: int):
+    """Items in pieces of about limit bytes that overlap by a window less one word, so that each window is whole in one of them."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text is None or len(text) <= limit // 4:
+                    names.append(name)
+                    texts.append(text)
+                    continue
+                raw = text.encode()
+                words = words_of(text_bytes(pa.array([raw], pa.binary())), ALNUM)
+                first, n = 0, len(words.starts)
+                while first < n:
+                    last = max(min(n, first + window), int(np.searchsorted(words.ends, words.starts[first] + limit, "right")))
+                    names.append(name)
+                    texts.append(raw[words.starts[first] : words.ends[last - 1]].decode())
+                    first = n if last == n else last - window + 1
+            yield pa.RecordBatch.from_pydict({"item": pa.array(names, pa.string()), "text": pa.array(texts, pa.string())})
+
+    return run
+
+
+def _union(spans: F.Column) -> F.Column:
+    """Flat, disjoint, sorted spans of an array of flat spans."""
+    pairs = F.array_sort(F.flatten(F.transform(spans, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2, F.lit(2)), lambda i: F.struct(F.get(x, i).alias("first"), F.get(x, i + 1).alias("end"))))))
+
+    def put(done, span):
+        last = F.get(done, F.size(done) - 1)
+        apart = (F.size(done) == 0) | (last < span["first"])
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, span["end"])))
+        return F.when(apart, F.concat(done, F.array(span["first"], span["end"]))).otherwise(joined)
+
+    return F.aggregate(pairs, F.array().cast("array<int>"), put)
+
+
+def _blocks(items: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """The items' pieces with their block, and the number of blocks; a block has about BLOCK_BYTES of text."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
+    blocks = -(-total // BLOCK_BYTES) or 1
+    if blocks == 1:
+        return items.withColumn("block", F.lit(0)), 1
+    pieces = items.mapInArrow(_pieces(window, BLOCK_BYTES // 4), "item string, text string")
+    return saved(pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")), "items"), blocks
+
+
 def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with _dc_words (words of the text), _dc_spans (flat first, end word positions of hit runs) and _dc_items (ids, as strings, of items with occurring windows).
 
     Words are runs of 0-9, a-z and characters beyond ASCII after A-Z is lower-cased. A
     window is `window` consecutive item words; an item of fewer, but at least one, is one
     window. Null or empty texts have no words, items without words are ignored, an item
-    without an id never counts (its words do), repeated rows are each searched.
+    without an id never counts (its words do), repeated rows are each searched. Columns of the documents with the names of the added ones give way.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
-    blocks = -(-total // BLOCK_BYTES) or 1
-    out, names, text_at = docs, docs.columns, docs.columns.index(text)
-    of_names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = [(r["item"] or "", r["text"]) for r in part.collect()]  # a block of bounded size
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(sorted(rows, key=lambda r: (r[0], r[1] or "")), window))
-        out = out.mapInArrow(_pass(automaton, text_at, names), f"{of_names}, {SPAN_COLUMNS}")
-    return out.withColumn("_dc_items", F.array_remove("_dc_items", ""))
+    items, blocks = _blocks(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window)
+    rows, body = numbered(docs), number_of(docs, text)
+
+    def searched(of: DataFrame, block: int, names: list[str], hits_only: bool) -> tuple[DataFrame, Broadcast]:
+        """The columns `names` of the rows after one block's pass."""
+        part = [(r["item"] or "", r["text"]) for r in items.where(F.col("block") == block).collect()]  # a block of bounded size
+        automaton = spark.sparkContext.broadcast(ItemAutomaton(sorted(part, key=lambda r: (r[0], r[1] or "")), window))
+        kinds = dict(of.dtypes)
+        sent = of.select(body, *(c for c in names if c != body))
+        return sent.mapInArrow(tidy(_pass(automaton, names, hits_only)), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), _FOUND])), automaton
+
+    if blocks == 1:
+        out, _ = searched(rows, 0, rows.columns, False)
+    else:
+        keyed, hits = rows.withColumn("digest", F.md5(body)), []
+        for block in range(blocks):
+            found, automaton = searched(keyed, block, ["digest"], True)
+            hits.append(saved(found.dropDuplicates(["digest"]).select("digest", "spans", "items"), "hits"))
+            automaton.destroy()
+        whole = reduce(DataFrame.unionByName, hits).groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        joined = keyed.join(saved(whole.select("digest", _union(F.col("spans")).alias("spans"), "items"), "hits"), "digest", "left")
+        out = joined.withColumns({"words": word_count(F.col(body)), "spans": F.coalesce("spans", none("int")), "items": F.coalesce("items", none("string"))})
+    named = [F.col(number_of(docs, c)).alias(c) for c in without(docs.columns, SPANS)]
+    return out.select(*named, F.col("words").alias("_dc_words"), F.col("spans").alias("_dc_spans"), F.array_remove("items", "").alias("_dc_items"))
+
+
+#: Words as in common.ALNUM.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def word_count(text: F.Column) -> F.Column:
+    """Words of a text, a null one has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def span_words() -> F.Column:
@@ -234,14 +306,15 @@ def span_words() -> F.Column:
     )
 
 
-def _cut(text_at: int, longest: int):
+def _cut(longest: int):
+    """Batches of a text, its spans and other columns, with the spans cut out of the text."""
+
     def run(batches):
         for whole in batches:
-            for batch in chunks(whole, text_at):
-                text = text_bytes(batch.column(text_at))
-                column = batch.column(text_at).to_pylist()
-                all_spans = batch["_dc_spans"].to_pylist()
-                for row, flat in enumerate(all_spans):
+            for batch in chunks(whole, 0):
+                text = text_bytes(batch.column(0))
+                column = batch.column(0).to_pylist()
+                for row, flat in enumerate(batch.column(1).to_pylist()):
                     if not flat:
                         continue
                     raw = text.data[text.offsets[row] : text.offsets[row + 1]].tobytes()
@@ -252,17 +325,19 @@ def _cut(text_at: int, longest: int):
                             kept.append(raw[at : words.starts[first]])
                             at = int(words.ends[end - 1])
                     column[row] = b"".join([*kept, raw[at:]]).decode()
-                names = [n for n in batch.schema.names if not n.startswith("_dc_")]
-                yield batch.select(names).set_column(text_at, batch.schema.names[text_at], pa.array(column, pa.string()))
+                names = batch.schema.names
+                yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()), *batch.columns[2:]], names=[names[0], *names[2:]])
 
     return run
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 1, coverage: float = 0.5, text: str = "text", **columns: str) -> DataFrame:
     """The documents without test items: spans of at least `longest` hit words are cut out of the text, and documents with more than `coverage` of their words in hit spans are dropped. Other rows and columns stay as they are."""
-    found = find_spans(docs, items, window, text, **columns).where(span_words() <= F.lit(coverage) * F.col("_dc_words"))
-    of_names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return found.mapInArrow(_cut(docs.columns.index(text), longest), of_names)
+    rows, body = numbered(docs), number_of(docs, text)
+    found = find_spans(rows, items, window, body, **columns).where(span_words() <= F.lit(coverage) * F.col("_dc_words"))
+    others, of = [c for c in rows.columns if c != body], dict(rows.dtypes)
+    out = found.select(body, "_dc_spans", *others).mapInArrow(tidy(_cut(longest)), ", ".join(f"{c} {of[c] if c != body else 'string'}" for c in (body, *others)))
+    return out.select(*rows.columns).toDF(*docs.columns)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

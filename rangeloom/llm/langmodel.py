@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
+from .common import NOT_SPACE, chunks, mixed, saved, text_bytes, words_of
 
 #: Order of the model; n-grams counted less often have no arc (1: all have one); discount of counts of n-grams longer than a word.
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
@@ -52,13 +52,6 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values whose bits all depend on all bits."""
-    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(by)
-    return x ^ (x >> np.uint64(31))
-
-
 def _hash(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
 
@@ -85,7 +78,7 @@ class Shape(NamedTuple):
         raw, keys, prefix, suffix, at, base = hashes[ids], [], [], [], [], 0
         for k in range(1, order + 1):
             if k > 1:
-                raw = _mixed(np.concatenate([raw[:1], raw[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids])
+                raw = mixed(np.concatenate([raw[:1], raw[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids])
             places = np.flatnonzero(depth >= k - 1)
             found, inverse = np.unique((raw[places] & ~np.uint64(3)) | np.uint64(k), return_inverse=True)
             here = np.full(len(ids), -1, np.int32)

@@ -2,9 +2,9 @@
 
 State, all of it in the shared folder: postings (key, doc_id), one per line key of a document; refs
 (key, n, lo, hi), the exact reference count of each key with the smallest and
-largest document that hold it; and one cuckoo filter per shard. An insertion streams its
-keys through the shard's filter: keys the filter has not seen are new and skip the exact
-table; the others are counted exactly. A deletion recounts only the keys of the deleted
+largest document that hold it; and one cuckoo filter per shard. An insertion counts its keys, so that a
+line of every document is one row, and streams them through their shard's filter: keys the filter has not
+seen are new and skip the exact table; the others are looked up in it. A deletion recounts only the keys of the deleted
 documents and takes keys without references out of the filters, so it undoes the insertion.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, saved
+from .common import chunks, number_of, numbered, saved, tidy, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A null doc_id stands for one document after all others.
@@ -27,13 +28,19 @@ NO_ID = (1 << 63) - 1
 
 
 class CuckooFilter:
-    """Cuckoo filters of 16-bit fingerprints, four to a bucket, each twice the size of the one before it; a new one begins when the last is full."""
+    """Cuckoo filters of 16-bit fingerprints, four to a bucket, each twice the size of the one before it; a new one begins when the last is full.
+
+    Keys that look alike in a table (a fingerprint and its buckets) look alike in all smaller ones. A key goes into the first table that
+    holds one like it, and only without such a table into the last; so what one key takes out again, from the first table
+    too, is never the only entry of another. Where that table has no room, the key is kept whole, in `extra`.
+    """
 
     KICKS = 200
 
     def __init__(self, buckets: int = 1 << 10):
         self.tables = [array("H", bytes(8 * buckets))]
         self.counts = [0]
+        self.extra: list[int] = []
 
     @staticmethod
     def _mark(h: int) -> int:
@@ -43,70 +50,87 @@ class CuckooFilter:
     def _other(at: int, mark: int, mask: int) -> int:
         return at ^ (mark * 0x5BD1E995 & mask)
 
-    def __contains__(self, h: int) -> bool:
+    def holder(self, h: int) -> int:
+        """The first table with an entry like the key's, -1 for none."""
         mark = self._mark(h)
-        for table in self.tables:
+        for i, table in enumerate(self.tables):
             mask = len(table) // 4 - 1
             at = h & mask
             if mark in table[4 * at : 4 * at + 4]:
-                return True
+                return i
             at = self._other(at, mark, mask)
             if mark in table[4 * at : 4 * at + 4]:
-                return True
-        return False
+                return i
+        return -1
+
+    def __contains__(self, h: int) -> bool:
+        return self.holder(h) >= 0 or (bool(self.extra) and h in self.extra)
 
     def add(self, h: int) -> None:
-        table, mark = self.tables[-1], self._mark(h)
+        self.put(h, self.holder(h))
+
+    def put(self, h: int, holder: int) -> None:
+        """Add a key whose holder is known."""
+        if holder >= 0:
+            if not self._place(h, holder):
+                self.extra.append(h)
+            return
+        if self.counts[-1] >= len(self.tables[-1]) * 9 // 10 or not self._place(h, len(self.tables) - 1):
+            self.tables.append(array("H", bytes(4 * len(self.tables[-1]))))
+            self.counts.append(0)
+            self._place(h, len(self.tables) - 1)
+
+    def _place(self, h: int, i: int) -> bool:
+        """Put the fingerprint into table i, moving others out of its way; whether that worked."""
+        table, mark = self.tables[i], self._mark(h)
         mask = len(table) // 4 - 1
-        if self.counts[-1] >= len(table) * 9 // 10:
-            return self._grow(h)
         at, moved = h & mask, []
         for kick in range(self.KICKS):
             for place in (at, self._other(at, mark, mask)):
                 for slot in range(4 * place, 4 * place + 4):
                     if not table[slot]:
                         table[slot] = mark
-                        self.counts[-1] += 1
-                        return None
+                        self.counts[i] += 1
+                        return True
             slot = 4 * self._other(at, mark, mask) + (mark + kick) % 4
             moved.append(slot)
             mark, table[slot] = table[slot], mark
             at = slot // 4
         for slot in reversed(moved):  # full: put back what was moved
             mark, table[slot] = table[slot], mark
-        return self._grow(h)
-
-    def _grow(self, h: int) -> None:
-        self.tables.append(array("H", bytes(4 * len(self.tables[-1]))))
-        self.counts.append(0)
-        self.add(h)
+        return False
 
     def discard(self, h: int) -> bool:
         """Take out one entry; h must have been added."""
-        mark = self._mark(h)
-        for i, table in enumerate(self.tables):
-            mask = len(table) // 4 - 1
-            for at in (h & mask, self._other(h & mask, mark, mask)):
-                for slot in range(4 * at, 4 * at + 4):
-                    if table[slot] == mark:
-                        table[slot] = 0
-                        self.counts[i] -= 1
-                        return True
+        if h in self.extra:
+            self.extra.remove(h)
+            return True
+        i, mark = self.holder(h), self._mark(h)
+        if i < 0:
+            return False
+        table = self.tables[i]
+        mask = len(table) // 4 - 1
+        for at in (h & mask, self._other(h & mask, mark, mask)):
+            for slot in range(4 * at, 4 * at + 4):
+                if table[slot] == mark:
+                    table[slot] = 0
+                    self.counts[i] -= 1
+                    return True
         return False
 
     def __len__(self) -> int:
-        return sum(self.counts)
+        return sum(self.counts) + len(self.extra)
 
     def to_bytes(self) -> bytes:
-        head = np.array([len(self.tables), *(len(t) for t in self.tables), *self.counts], "<i8")
-        return head.tobytes() + b"".join(np.frombuffer(t, np.uint16).astype("<u2").tobytes() for t in self.tables)
+        head = np.array([len(self.tables), len(self.extra), *(len(t) for t in self.tables), *self.counts], "<i8")
+        return head.tobytes() + np.array(self.extra, "<u8").tobytes() + b"".join(np.frombuffer(t, np.uint16).astype("<u2").tobytes() for t in self.tables)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CuckooFilter:
-        n = int(np.frombuffer(data, "<i8", 1)[0])
-        sizes = np.frombuffer(data, "<i8", 2 * n, 8).tolist()
-        out, at = cls.__new__(cls), 8 + 16 * n
-        out.tables, out.counts = [], sizes[n:]
+        n, m = np.frombuffer(data, "<i8", 2).tolist()
+        sizes = np.frombuffer(data, "<i8", 2 * n, 16).tolist()
+        out, at = cls.__new__(cls), 16 + 16 * n + 8 * m
+        out.tables, out.counts, out.extra = [], sizes[n:], np.frombuffer(data, "<u8", m, 16 + 16 * n).tolist()
         for size in sizes[:n]:
             out.tables.append(array("H", np.frombuffer(data, "<u2", size, at).astype(np.uint16).tobytes()))
             at += 2 * size
@@ -140,129 +164,94 @@ def _postings(shortest: int):
     return run
 
 
-PART = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-PART_COLUMNS = "shard int, filter binary, key binary, n long, lo long, hi long"
-
-
-def _counted(shards: int):
-    """Count keys within each batch, so a key of many documents reaches its shard a few times only."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch]).group_by("key").aggregate([("doc_id", "count"), ("doc_id", "min"), ("doc_id", "max")])
-                keys = t["key"].combine_chunks()
-                shard = [int.from_bytes(k[8:12], "little") % shards for k in keys.to_pylist()]
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), pa.nulls(n, pa.binary()), keys, t["doc_id_count"].combine_chunks(), t["doc_id_min"].combine_chunks(), t["doc_id_max"].combine_chunks()], schema=PART
-                )
-
-    return run
 
 
 def _by_shard(batches) -> Iterator[tuple[int, bytes | None, list[tuple]]]:
-    """(shard, filter, key rows) of rows sorted by shard, the filter first."""
-    shard, state, rows = None, None, []
+    """Rows sorted by shard, the filter first, piece by piece: (shard, its filter, key rows); the last piece of a shard has no rows."""
+    shard, state = None, None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != shard:
+        columns = [c.to_pylist() for c in batch.columns]
+        shards, first = columns[0], 0
+        while first < batch.num_rows:
+            if shards[first] != shard:
                 if shard is not None:
-                    yield shard, state, rows
-                shard, state, rows = row[0], None, []
-            if row[1] is not None:
-                state = row[1]
-            else:
-                rows.append(row[2:])
+                    yield shard, state, []
+                shard, state = shards[first], None
+            last = bisect_right(shards, shard, first)
+            if columns[1][first] is not None:
+                state, first = columns[1][first], first + 1
+            if first < last:
+                yield shard, state, list(zip(*(c[first:last] for c in columns[2:]), strict=True))
+            first = last
     if shard is not None:
-        yield shard, state, rows
+        yield shard, state, []
 
 
 COUNTED_COLUMNS = "shard int, filter binary, key binary, n long, lo long, hi long, known boolean"
-_COUNTED = pa.schema([*PART, ("known", pa.bool_())])
+_COUNTED = pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("key", pa.binary()), ("n", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("known", pa.bool_())])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
 
 
-def _insert(batches):
-    """Each shard's new filter and its keys with counts. known: the filter held the key before, so the exact table may have it.
-
-    Keys that the filter answers "new" for once and that stay single are passed on as they are; only keys it claims to
-    have seen are counted in a table. A key that merely looked like another gets an entry of its own.
-    """
-    for shard, state, rows in _by_shard(batches):
-        old = CuckooFilter.from_bytes(state) if state else None
-        seen = CuckooFilter.from_bytes(state) if state else CuckooFilter()
-        hashes = [int.from_bytes(r[0][:8], "little") for r in rows]
-        claimed: set[bytes] = set()
-        added = bytearray(len(rows))
-        for i, h in enumerate(hashes):
-            if h in seen:
-                claimed.add(rows[i][0])
-            else:
-                seen.add(h)
-                added[i] = 1
-        exact: dict[bytes, list] = {}
-        out = []
-        for i, (key, n, lo, hi) in enumerate(rows):
-            if key not in claimed:
-                out.append((shard, None, key, n, lo, hi, False))
-            elif key in exact:
-                total = exact[key]
-                total[0], total[1], total[2], total[4] = total[0] + n, min(total[1], lo), max(total[2], hi), total[4] or added[i]
-            else:
-                exact[key] = [n, lo, hi, hashes[i], added[i]]
-        for key, (n, lo, hi, h, own) in exact.items():
-            known = not own and old is not None and h in old
-            if not own and not known:
-                seen.add(h)
-            out.append((shard, None, key, n, lo, hi, known))
-        yield _emit([(shard, seen.to_bytes(), None, None, None, None, None)])
-        yield from (_emit(out[i : i + 20_000]) for i in range(0, len(out), 20_000))
-
-
 def _change(add: bool):
-    """Each shard's filter with the keys put in or taken out."""
+    """Each shard's filter with the keys put in or taken out. A key put in comes back with known: the filter held one like it, so the exact table may have it."""
 
     def run(batches):
+        kept = None
         for shard, state, rows in _by_shard(batches):
-            kept = CuckooFilter.from_bytes(state) if state else CuckooFilter()
-            for row in rows:
-                (kept.add if add else kept.discard)(int.from_bytes(row[0][:8], "little"))
-            yield _emit([(shard, kept.to_bytes(), None, None, None, None, None)])
+            if kept is None:
+                kept = CuckooFilter.from_bytes(state) if state else CuckooFilter()
+            hashes = [int.from_bytes(r[0][:8], "little") for r in rows]
+            if not rows:
+                yield _emit([(shard, kept.to_bytes(), None, None, None, None, None)])
+                kept = None
+            elif add:
+                out = []
+                for row, h in zip(rows, hashes, strict=True):
+                    holder = kept.holder(h)
+                    known = holder >= 0 or h in kept
+                    if not known or row[1] == 0:  # rows of no count are put in whatever is there
+                        kept.put(h, holder)
+                    out.append((shard, None, *row, known))
+                yield _emit(out)
+            else:
+                for h in hashes:
+                    kept.discard(h)
 
     return run
 
 
 def _drop(shortest: int):
     def run(batches):
-        for batch, texts in _texts(batches, 1):
+        for batch, texts in _texts(batches, 0):
             out, n_lines, n_dropped = [], [], []
-            for text, keys in zip(texts, batch["_drop"].to_pylist(), strict=True):
+            for text, keys in zip(texts, batch.column(1).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 n_lines.append(len(lines))
                 if keys:
                     keys = set(keys)
                     lines = [x for x in lines if line_key(x, shortest) not in keys]
-                    out.append(b"\n".join(lines))
-                else:
-                    out.append(text)
+                    text = b"\n".join(lines)
+                out.append(text)
                 n_dropped.append(n_lines[-1] - len(lines))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.binary()).cast(pa.string()), *batch.columns[3:], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=[batch.schema.names[0], batch.schema.names[1], *batch.schema.names[3:], "_n_lines", "_n_dropped"],
+                [pa.array(out, pa.binary()).cast(pa.string()), *batch.columns[2:], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["text", *batch.schema.names[2:], *COUNTS]
             )
 
     return run
 
 
+#: Columns of what was done to a document.
+COUNTS = ["_n_lines", "_n_dropped"]
+
+
 class LineIndex:
     """The state of the lines of the documents inserted so far. Lines with keys of at least `shortest` code points count.
 
-    Every table has a fixed number of shards, set on creation: about one for each `ROWS` expected keys, as a
-    shard's filter and batch of keys are in one task's memory.
+    Shards: about one for each `ROWS` keys, as a shard's filter is in one task's memory; an insertion that brings more
+    than twice as many lays the filters out anew, from the exact table. Keys stream past the filters, each once.
     """
 
     ROWS = 500_000
@@ -272,40 +261,47 @@ class LineIndex:
         self.postings = spark.createDataFrame([], "key binary, doc_id long")
         self.refs = spark.createDataFrame([], "key binary, n long, lo long, hi long")
         self.filters = spark.createDataFrame([], "shard int, filter binary")
+        self.keys = 0
 
-    def _parts(self, postings: DataFrame) -> DataFrame:
-        return postings.mapInArrow(_counted(self.shards), PART_COLUMNS)
-
-    def _sharded(self, parts: DataFrame, f) -> DataFrame:
-        held = self.filters.select("shard", "filter", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "binary"), ("n", "long"), ("lo", "long"), ("hi", "long"))))
+    def _sharded(self, keys: DataFrame, add: bool, filters: DataFrame) -> DataFrame:
+        """The keys' shards with new filters, and the keys put in. keys: key, n, lo, hi."""
+        last = F.conv(F.hex(F.substring("key", 9, 4)), 16, 10).cast("long")
+        parts = keys.select(F.pmod(last, F.lit(self.shards)).cast("int").alias("shard"), F.lit(None).cast("binary").alias("filter"), "key", "n", "lo", "hi")
+        held = filters.select("shard", "filter", *(F.lit(None).cast(t).alias(c) for c, t in (("key", "binary"), ("n", "long"), ("lo", "long"), ("hi", "long"))))
         rows = parts.unionByName(held).repartition(self.shards, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
-        return saved(rows.mapInArrow(f, COUNTED_COLUMNS), "shards")
+        return saved(rows.mapInArrow(tidy(_change(add)), COUNTED_COLUMNS), "shards")
 
-    def _of_keys(self, keys: DataFrame) -> DataFrame:
-        shard = F.lit(0).cast("int")
-        for i in range(4):  # bytes 8 to 11 of the key, little-endian, as unsigned
-            shard = F.pmod(shard + F.conv(F.hex(F.substring("key", 12 - i, 1)), 16, 10).cast("long") * F.lit(pow(256, 3 - i) % self.shards), F.lit(self.shards))
-        return keys.select(shard.cast("int").alias("shard"), F.lit(None).cast("binary").alias("filter"), "key", *(F.lit(0).cast("long").alias(c) for c in ("n", "lo", "hi")))
+    def _changed(self, keys: DataFrame, add: bool, filters: DataFrame) -> DataFrame:
+        """The filters once the keys are put in or taken out."""
+        bare = keys.select("key", *(F.lit(0).cast("long").alias(c) for c in ("n", "lo", "hi")))
+        return self._sharded(bare, add, filters).where("filter is not null").select("shard", "filter")
 
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
         """Add documents. A document may be inserted once; rows that repeat an id within the batch are the same document."""
-        found = saved(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_postings(self.shortest), "key binary, doc_id long"), "postings")
+        found = saved(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tidy(_postings(self.shortest)), "key binary, doc_id long"), "postings")
+        size = found.count()
+        empty, self.keys = not self.keys, self.keys + size
         if self.shards is None:
-            self.shards = max(2 * self.spark.sparkContext.defaultParallelism, -(-found.count() // self.ROWS))
-        counted = self._sharded(self._parts(found), _insert)
+            self.shards = max(2 * self.spark.sparkContext.defaultParallelism, -(-size // self.ROWS))
+        elif self.keys > 2 * self.shards * self.ROWS:
+            self.shards = -(-self.keys // self.ROWS)
+            self.filters = self._changed(self.refs, True, self.filters.limit(0))
+        # One row a key: combined before the shuffle, so a line of every document is a row of each task.
+        counted = found.groupBy("key").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        counted = self._sharded(counted, True, self.filters)
         self.filters = counted.where("filter is not null").select("shard", "filter")
         keys = counted.where("key is not null")
         refs = ["key", "n", "lo", "hi"]
         claimed = keys.where("known").select(*refs)
-        if claimed.isEmpty():
-            self.refs = self.refs.unionByName(keys.select(*refs))
+        missing = claimed if empty else claimed.join(self.refs, "key", "left_anti")
+        missing = saved(missing.select("key"), "missing")
+        if not missing.isEmpty():  # these only looked like others
+            self.filters = self._changed(missing, True, self.filters)
+        if empty:
+            self.refs = keys.select(*refs)
         else:
-            missing = saved(claimed.join(self.refs, "key", "left_anti").select("key"), "missing")
-            if not missing.isEmpty():
-                changed = self._sharded(self._of_keys(missing), _change(add=True))
-                self.filters = changed.where("filter is not null").select("shard", "filter")
             both = self.refs.unionByName(keys.select(*refs)).groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            self.refs = saved(both, "refs")
+            self.refs = self.refs.unionByName(keys.select(*refs)) if claimed.isEmpty() else saved(both, "refs")
         self.postings = self.postings.unionByName(found)
         return self
 
@@ -318,30 +314,32 @@ class LineIndex:
             self.postings.join(touched, "key", "left_semi").groupBy("key").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "recount"
         )
         self.refs = saved(self.refs.join(touched, "key", "left_anti").select("key", "n", "lo", "hi").unionByName(again), "refs")
-        gone = touched.join(again, "key", "left_anti").select("key")
-        changed = self._sharded(self._of_keys(gone), _change(add=False))
-        self.filters = changed.where("filter is not null").select("shard", "filter")
+        self.filters = self._changed(touched.join(again, "key", "left_anti"), False, self.filters)
         return self
 
-    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """The documents without the lines whose keys a smaller document holds too, with _n_lines and _n_dropped; other columns stay.
+    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+        """The documents without the lines whose keys a smaller document holds too; other columns stay. With `counts` also
+        _n_lines and _n_dropped, for which columns of these names give way. A null text is returned as an empty one.
 
         A hot line's postings are many rows of one key: both sides of the first join are read from tables, so the skew join can split it.
         """
         repeated = self.refs.where("lo < hi").select("key", "lo")
         pairs = self.postings.join(repeated, "key").where("doc_id > lo").select("doc_id", "key")
-        drops = pairs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("key").alias("_drop"))
-        others = [c for c in docs.columns if c not in (doc_id, text)]
-        rows = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)) == drops["_id"], "left").select(doc_id, text, "_drop", *others)
-        of = dict(docs.dtypes)
-        columns = ", ".join(f"`{c}` {of[c]}" for c in (doc_id, text, *others))
-        out = rows.mapInArrow(_drop(self.shortest), f"{columns}, _n_lines long, _n_dropped long")
-        return out.select(*docs.columns, "_n_lines", "_n_dropped")
-
-
-def dedup_lines(docs: DataFrame, shortest: int = 10) -> DataFrame:
+        drops = pairs.groupBy(F.col("doc_id").alias("held")).agg(F.collect_set("key").alias("drop"))
+        rows, body = numbered(docs), number_of(docs, text)
+        others = [c for c in rows.columns if c != body]
+        joined = rows.join(drops, F.coalesce(F.col(number_of(docs, doc_id)).cast("long"), F.lit(NO_ID)) == F.col("held"), "left")
+        of = dict(rows.dtypes)
+        columns = ", ".join(["text string", *(f"{c} {of[c]}" for c in others), *(f"{c} long" for c in COUNTS)])
+        out = joined.select(body, "drop", *others).mapInArrow(tidy(_drop(self.shortest)), columns).withColumnRenamed("text", body)
+        if not counts:
+            return out.select(*rows.columns).toDF(*docs.columns)
+        return out.select(*(F.col(number_of(docs, c)).alias(c) for c in without(docs.columns, COUNTS)), *COUNTS)
+
+
+def dedup_lines(docs: DataFrame, shortest: int = 10, counts: bool = True) -> DataFrame:
     """Documents whose repeated lines stay only in the smallest doc_id that holds them. A null or empty text is one empty line; all texts stay rows."""
-    return LineIndex(docs.sparkSession, shortest).insert(docs).apply(docs)
+    return LineIndex(docs.sparkSession, shortest).insert(docs).apply(docs, counts=counts)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

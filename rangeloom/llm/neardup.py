@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, saved, text_bytes, words_of
+from .common import NOT_SPACE, chunks, mixed, number_of, numbered, saved, text_bytes, tidy, words_of
 
 #: Bands and coordinates in each. At a similarity of 0.8 two sets share no band with probability (1 - 0.8^6)^42 = 3e-6.
 BANDS, WIDTH = 42, 6
@@ -33,13 +33,6 @@ BITS = 4
 PACKED = -(-SIZE * BITS // 64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (public domain constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit keys of each text's k-word shingles; fewer words are one shingle, none give an empty set."""
     words = words_of(text_bytes(column), NOT_SPACE)
@@ -50,7 +43,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     def keys(size: int, first: np.ndarray | slice) -> np.ndarray:
         x = np.full(1, size, np.uint64)
         for j in range(size):
-            x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + (hashes[j : j + n] if isinstance(first, slice) else hashes[first + j]))
+            x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + (hashes[j : j + n] if isinstance(first, slice) else hashes[first + j]))
         return x
 
     whole = keys(k, slice(None)) if n else hashes[:0]
@@ -68,7 +61,7 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 @cache
 def _seeds() -> np.ndarray:
-    return _mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -78,21 +71,21 @@ def sketch(items: np.ndarray) -> np.ndarray:
     at, step, low = 0, max(1, min(SIZE, math.ceil(1600 / len(items)))), np.uint64(0xFFFFFFFF)
     while at < SIZE:
         rounds = np.arange(at, min(at + step, SIZE))
-        h = _mixed(items[None, :] ^ _seeds()[rounds][:, None])
+        h = mixed(items[None, :] ^ _seeds()[rounds][:, None])
         bins = ((h >> np.uint64(32)) * np.uint64(SIZE) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(out, bins.ravel(), ((h & low) + (rounds.astype(np.uint64) << np.uint64(32))[:, None]).ravel())
         if not (out == empty).any():
             return out
         at += step
     for bin_ in np.flatnonzero(out == empty):
-        out[bin_] = (_mixed(items ^ _seeds()[SIZE + bin_]) & low).min() + (np.uint64(SIZE + int(bin_)) << np.uint64(32))
+        out[bin_] = (mixed(items ^ _seeds()[SIZE + bin_]) & low).min() + (np.uint64(SIZE + int(bin_)) << np.uint64(32))
     return out
 
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
     x = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in coordinates.reshape(BANDS, WIDTH).T:
-        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + column)
+        x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + column)
     return x.view(np.int64)
 
 
@@ -146,7 +139,7 @@ PARITY, WHOLE = 16, 512
 
 def parity_sketch(items: np.ndarray, level: int) -> np.ndarray:
     """The parity, bit by bit, of the set's elements in a sample of one in 2^level. Two sketches never differ in more bits than the sampled sets differ in elements."""
-    h = _mixed(items ^ np.uint64(0xA0761D6478BD642F))
+    h = mixed(items ^ np.uint64(0xA0761D6478BD642F))
     h = h[(h & np.uint64((1 << level) - 1)) == 0] >> np.uint64(40)
     counts = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
@@ -236,7 +229,7 @@ class NearDuplicates:
         left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         both = left.join(right, "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_confirmed(self.k, self.percent), "a long, b long")
+        return both.mapInArrow(tidy(_confirmed(self.k, self.percent)), "a long, b long")
 
     def _merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """Labels after further links; links are between nodes."""
@@ -262,7 +255,7 @@ class NearDuplicates:
     def find(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept (doc_id = component_id)."""
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        features = saved(rows.mapInArrow(_features(self.k), FEATURE_COLUMNS), "features")
+        features = saved(rows.mapInArrow(tidy(_features(self.k)), FEATURE_COLUMNS), "features")
         named = features.where("n > 0 and doc_id is not null")
         nodes = saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
         banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
@@ -309,7 +302,7 @@ class NearDuplicates:
         lead = inside.where("node = leader").select("band", F.col("component").alias("lead"))
         step = math.log(100 / self.percent)
         inside = saved(inside, "mixed-members")
-        parities = texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_parities(self.k), f"node long, own_level int, level int, {', '.join(f'{w} long' for w in PARITY_WORDS)}")
+        parities = texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(tidy(_parities(self.k)), f"node long, own_level int, level int, {', '.join(f'{w} long' for w in PARITY_WORDS)}")
         signed = inside.join(saved(parities.dropDuplicates(["node", "level"]), "parities"), "node")
         inside = saved(signed.join(lead, "band").withColumn("size_class", F.floor(F.log("n") / step).cast("int")), "inside")
         minor = inside.where("component <> lead").select("band", F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1)))).alias("size_class"), F.col("node").alias("x"), F.col("component").alias("x_of"), F.col("estimate").alias("x_est"), F.col("n").alias("x_n"), "level", *(F.col(c).alias(f"x_{c}") for c in ("own_level", *PARITY_WORDS)))
@@ -330,6 +323,7 @@ class NearDuplicates:
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of each group, the smallest doc_id; columns stay."""
-    gone = NearDuplicates(k, percent).find(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(saved(gone, "gone"), docs[doc_id].cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The documents with one of each group, the smallest doc_id; columns stay. Rows that repeat that doc_id stay too."""
+    gone = NearDuplicates(k, percent).find(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    rows = numbered(docs)
+    return rows.join(saved(gone, "gone"), F.col(number_of(docs, doc_id)).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import number_of, numbered, saved, without
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -43,27 +43,34 @@ def _repeat_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(_let(keys, covered))
 
 
+RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def document_rules(docs: DataFrame, text: str = "text", window: int = 8, keep_text: bool = False) -> DataFrame:
     """The documents' other columns (with `keep_text` the text too) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed.
 
-    A null text has no words and fails; repeated rows are judged each for itself.
+    A null text has no words and fails; repeated rows are judged each for itself; an empty table gives an empty one.
+    Columns of the documents with the names of the added ones give way to these.
     """
-    others = [c for c in docs.columns if keep_text or c != text]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    others = without([c for c in docs.columns if keep_text or c != text], RULES)
+    rows, of = numbered(docs), lambda c: F.col(number_of(docs, c))
+    whole = F.coalesce(of(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    found = docs.select(
-        *others,
-        F.array_remove(F.split(whole, SPACE), "").alias("_words"),
+    found = rows.select(
+        *(number_of(docs, c) for c in others),
+        F.array_remove(F.split(whole, SPACE), "").alias("words"),
         F.length(F.regexp_replace(whole, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(whole, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    ruled = found.select(*others, F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", _repeat_words(F.col("_words"), window).cast("long").alias("n_repeat_words"))
+    ruled = found.select(
+        *(of(c).alias(c) for c in others), F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", _repeat_words(F.col("words"), window).cast("long").alias("n_repeat_words")
+    )
     return ruled.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed", most: float = 0.5) -> DataFrame:
-    """One row per host: n, n_failed, shrunk_rate and host_rejected.
+    """One row per host: n, n_failed, shrunk_rate and host_rejected; none for an empty table.
 
     The beta prior has the mean and variance of the hosts' own rates (method of moments,
     strength 1 to 1,000,000); a host is rejected where its shrunken rate exceeds `most`.
@@ -79,11 +86,17 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
 
 
 def quality_verdicts(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5) -> DataFrame:
-    """The rules of each document and kept: false if its own rules fail or its host is rejected."""
-    judged = saved(document_rules(docs, text).withColumn("_row", F.monotonically_increasing_id()), "rules")
-    rejected = host_verdicts(judged, host, most=most).where("host_rejected").select("_host")
-    joined = judged.join(rejected.withColumn("_rejected", F.lit(True)), judged[host] == rejected["_host"], "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull()).drop("_host", "_rejected", "_row")
+    """The rules of each document and kept: false if its own rules fail or its host is rejected.
+
+    As in document_rules, columns with the names of the added ones give way; a host column of such a name still counts as it was.
+    """
+    rows, of = numbered(docs), number_of(docs, host)
+    judged = saved(document_rules(rows, number_of(docs, text)), "rules")
+    rejected = host_verdicts(judged, of, most=most).where("host_rejected").select("_host")
+    joined = judged.join(rejected, F.col(of) == F.col("_host"), "left")
+    others = without([c for c in docs.columns if c != text], [*RULES, "kept"])
+    kept = ~F.col("base_failed") & F.col("_host").isNull()
+    return joined.select(*(F.col(number_of(docs, c)).alias(c) for c in others), *RULES, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", most: float = 0.5) -> DataFrame:
@@ -91,6 +104,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", most: f
 
     The judged documents are written once, so that the rules are computed once for verdicts and filter.
     """
-    judged = saved(document_rules(docs, text, keep_text=True).select(*docs.columns, F.col("base_failed").alias("_failed")), "judged")
-    rejected = host_verdicts(judged, host, "_failed", most).where("host_rejected").select("_host")
-    return judged.where(~F.col("_failed")).join(rejected, judged[host] == rejected["_host"], "left_anti").select(*docs.columns)
+    rows, of = numbered(docs), number_of(docs, host)
+    judged = saved(document_rules(rows, number_of(docs, text), keep_text=True).select(*rows.columns, "base_failed"), "judged")
+    rejected = host_verdicts(judged, of, most=most).where("host_rejected").select("_host")
+    return judged.where(~F.col("base_failed")).join(rejected, F.col(of) == F.col("_host"), "left_anti").select(*rows.columns).toDF(*docs.columns)

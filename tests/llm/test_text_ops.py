@@ -286,3 +286,111 @@ def test_sharding_spreads_null_texts(spark):
         nulls[r.shard] += r.doc_id % 3 > 0
     assert max(sizes) - min(sizes) <= 100 and max(nulls) < 2 * 2000 / 5
     assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(5))
+
+
+#: Names that the operators use inside, or add.
+CLASHING = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept _host _words _failed _rejected _row words c0 c1 held drop key shard _n_lines _n_dropped _drop _id _dc_words _dc_spans _dc_items spans items digest gone _gone component node n bands sig".split()
+
+
+def clashing(df):
+    return df.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHING))
+
+
+def test_stages_keep_clashing_columns(spark):
+    good = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    item = " ".join(f"item{j}" for j in range(12))
+    rows = [(i, good(i), f"h{i % 3}") for i in range(6)] + [(6, good(2), "h1"), (7, "short", "h1"), (8, f"{good(8)} {item}", "h0"), (9, None, None), (10, f"{good(10)}\n{good(3)}", "h0")]
+    docs = clashing(documents(spark, rows))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    stages = {
+        "quality": (quality.keep_good(docs), {7, 9}),
+        "lines": (linededup.dedup_lines(docs, counts=False), set()),
+        "near": (neardup.drop_near_duplicates(docs), {6}),
+        "decontamination": (decontam.decontaminate(docs, bench), set()),
+    }
+    for name, (out, gone) in stages.items():
+        assert out.dtypes == docs.dtypes, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == set(range(11)) - gone, name
+        assert all(r[c] == f"{c}-{i}" for i, r in got.items() for c in CLASHING), name
+    assert {r.doc_id: r.text for r in stages["decontamination"][0].collect()}[8] == f"{good(8)} "
+    assert {r.doc_id: r.text for r in stages["lines"][0].collect()}[10] == good(10)
+
+
+def test_operators_replace_clashing_columns(spark):
+    docs = clashing(documents(spark, [(1, "a b c " * 10, "h"), (2, None, "h"), (2, None, "h")]))
+    verdicts = quality.quality_verdicts(docs).collect()
+    assert sorted(r.n_words for r in verdicts) == [0, 0, 30] and all(r.base_failed and not r.kept and r["_row"] == f"_row-{r.doc_id}" for r in verdicts)
+    assert all(r["_n_lines"] == 1 and r["_drop"] == f"_drop-{r.doc_id}" for r in linededup.dedup_lines(docs).collect())
+    spans = decontam.find_spans(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"), window=2).collect()
+    assert sorted(r["_dc_words"] for r in spans) == [0, 0, 30] and all(r.spans == f"spans-{r.doc_id}" for r in spans)
+
+
+def test_quality_of_a_host_column_that_gives_way(spark):
+    rows = [(i, "bad", "x") for i in range(40)] + [(40, " ".join(f"w{i}" for i in range(30)), "x")] + [(50 + i, " ".join(f"v{i}{j}" for j in range(30)), f"y{i}") for i in range(30)]
+    docs = documents(spark, rows).withColumnRenamed("source", "kept")
+    assert {r.doc_id for r in quality.quality_verdicts(docs, host="kept").collect() if r.kept} == set(range(50, 80))
+
+
+def test_long_texts_and_repeated_rows(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(5000)) for _ in range(300_000))
+    lines = "\n".join(long[i : i + 60] for i in range(0, len(long), 60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, lines, "b"), (3, lines, "b"), (4, "x" * 3_000_000, "c"), (5, "word " * 30, "c"), (5, "word " * 30, "c")]
+    df = documents(spark, rows)
+    got = sorted(tuple(r) for r in quality.quality_verdicts(df).select("doc_id", *quality.RULES).collect())
+    assert got == sorted((i, *brute_rules(t)) for i, t, _ in rows)
+    kept = sorted((r.doc_id, r._n_lines, r._n_dropped) for r in linededup.dedup_lines(df).collect())
+    n = lines.count("\n") + 1
+    assert [k[:2] for k in kept] == [(1, 1), (1, 1), (2, n), (3, n), (4, 1), (5, 1), (5, 1)] and kept[3][2] >= n - 1 and all(k[2] == 0 for k in kept if k[0] != 3)
+    item = " ".join(long.split()[1000:1020])
+    spans = {r.doc_id: r for r in decontam.contamination_report(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert spans[1].n_words == 300_000 and spans[1].n_hit == 20 and spans[4].n_words == 1 and not spans[5].contaminated
+    near = sorted((r.doc_id, r.component_id, r.n_shingles) for r in neardup.NearDuplicates(4, 80).find(df).collect())
+    assert [x[:2] for x in near] == [(1, 1), (1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (5, 5)] and near[0][2] == len(shingles(long, 4))
+    sizes = sorted((r.doc_id, r["size"]) for r in sharding.shard_documents(df, 4).collect())
+    assert sizes == sorted((i, len(t) + 8) for i, t, _ in rows)
+
+
+def test_benchmark_of_many_blocks(spark, monkeypatch):
+    """Items in many blocks, one of them longer than a block."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 20, 40])))) for i in range(60)] + [(99, " ".join(word() for _ in range(2500)))]
+    docs = [(i, " ".join([word(), word(), *rng.choice(items)[1].split()[rng.randrange(3) :][:30], word()])) for i in range(50)]
+    huge = items[-1][1].split()
+    docs += [(60 + i, " ".join(huge[i * 100 : i * 100 + 60])) for i in range(20)] + [(90, None), (91, docs[0][1]), (91, docs[0][1])]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.contamination_report(df, bench).collect())
+    assert got == sorted((i, *brute_hits(t, items, 10)) for i, t in docs)
+
+
+def test_cuckoo_filter_takes_out_look_alikes():
+    for seed in range(4):
+        rng, f, held = random.Random(seed), linededup.CuckooFilter(4), set()
+        for step in range(4000):
+            if held and rng.random() < 0.45:
+                k = rng.choice(sorted(held))
+                assert f.discard(k)
+                held.remove(k)
+            else:  # few fingerprints in few buckets
+                k = (rng.randrange(1, 1 + 3 ** (seed + 1)) << 48) | (rng.getrandbits(30) << 16) | rng.randrange(256)
+                if k not in held:
+                    f.add(k)
+                    held.add(k)
+            if step % 500 == 0:
+                f = linededup.CuckooFilter.from_bytes(f.to_bytes())
+                assert all(k in f for k in held) and len(f) == len(held)
+
+
+def test_line_index_is_laid_out_anew(spark, monkeypatch):
+    monkeypatch.setattr(linededup.LineIndex, "ROWS", 20)
+    docs = [(i, "\n".join(f"line of text number {j}" for j in range(i, i + 12))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = linededup.LineIndex(spark, shards=1).insert(df.where("doc_id < 2"))
+    before = state(index)[0]
+    index.insert(df.where("doc_id >= 2"))
+    assert index.shards > 10 and {r.doc_id: r.text for r in index.apply(df).collect()} == {i: "\n".join(x) for i, x in brute_lines(docs).items()}
+    index.delete(df.where("doc_id >= 2"))
+    assert state(index)[0] == before and sum(state(index)[1].values()) == len(before)
