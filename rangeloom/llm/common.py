@@ -13,7 +13,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at a time; a single longer text is taken whole.
 CHUNK_BYTES = 2 << 20
@@ -58,6 +59,50 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Saved tables that go when they are no longer needed: all at the end of the block, one that takes another's place at once."""
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df, path in self.paths.values():
+            drop_path(df.sparkSession, path)
+        self.paths.clear()
+
+    def saved(self, df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+        """As saved; `instead` is a table of this scratch that df may read, and nothing after it."""
+        spark = df.sparkSession
+        path = new_path(spark, name)
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        if instead is not None and (old := self.paths.pop(id(instead), None)):
+            drop_path(spark, old[1])
+        return out
+
+
+#: Bits of the bitmaps by which rows are told apart before a join, in words of 64: a bitmap is 2^18 rows at most.
+BITMAP = 1 << 24
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows with maybe: false where the key is surely not in keys (one column); true where it may be.
+
+    A Bloom filter of one hash: its words are a table of bounded size, which is broadcast, so rows that have
+    no partner in a join need not be shuffled for it. With many more keys than bits all rows are true, and the join is as without it.
+    """
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BITMAP - 1))
+    word, place = F.shiftright("bit", 6), F.col("bit").bitwiseAND(F.lit(63)).cast("int")
+    held = keys.select(bit(F.col(keys.columns[0])).alias("bit")).groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+    found = rows.withColumn("bit", bit(key)).withColumn("at", word).join(F.broadcast(held), F.col("at") == F.col("word"), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("bits"), place).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return found.select(*rows.columns, maybe.alias("maybe"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -282,7 +282,7 @@ class LineIndex:
         size = found.count()
         empty, self.keys = not self.keys, self.keys + size
         if self.shards is None:
-            self.shards = max(2 * self.spark.sparkContext.defaultParallelism, -(-size // self.ROWS))
+            self.shards = max(8 * self.spark.sparkContext.defaultParallelism, -(-size // self.ROWS))
         elif self.keys > 2 * self.shards * self.ROWS:
             self.shards = -(-self.keys // self.ROWS)
             self.filters = self._changed(self.refs, True, self.filters.limit(0))

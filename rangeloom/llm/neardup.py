@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, mixed, number_of, numbered, saved, text_bytes, tidy, words_of
+from .common import NOT_SPACE, Scratch, chunks, marked, mixed, number_of, numbered, saved, text_bytes, tidy, words_of
 
 #: Bands and coordinates in each. At a similarity of 0.8 two sets share no band with probability (1 - 0.8^6)^42 = 3e-6.
 BANDS, WIDTH = 42, 6
@@ -195,17 +195,18 @@ def _confirmed(k: int, percent: int):
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of every node of the edges a, b: smallest labels of neighbours, then of labels, until nothing changes."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        down = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
-        # a label's own label of the last round is never larger
-        moved = saved(down.join(up, "new").select("node", F.least("new", "top").alias("component"), (F.least("new", "top") < F.col("old")).alias("changed")), "labels")
-        labels = moved.select("node", "component")
-        if moved.where("changed").isEmpty():
-            return labels
+    with Scratch() as scratch:
+        both = scratch.saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+        labels = scratch.saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+        while True:
+            near = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
+            down = labels.select("node", "component").join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+            up = labels.select(F.col("node").alias("new"), F.col("component").alias("top"))
+            # a label's own label of the last round is never larger
+            moved = down.join(up, "new").select("node", F.least("new", "top").alias("component"), (F.least("new", "top") < F.col("old")).alias("changed"))
+            labels = scratch.saved(moved, "labels", instead=labels)
+            if labels.where("changed").isEmpty():
+                return saved(labels.select("node", "component"), "components")
 
 
 class NearDuplicates:
@@ -231,7 +232,7 @@ class NearDuplicates:
         both = left.join(right, "b").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(tidy(_confirmed(self.k, self.percent)), "a long, b long")
 
-    def _merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    def _merged(self, scratch: Scratch, labels: DataFrame | None, links: DataFrame) -> DataFrame:
         """Labels after further links; links are between nodes."""
         if labels is None:
             return components(links)
@@ -239,11 +240,11 @@ class NearDuplicates:
         for c in ("a", "b"):
             of = labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
             ends = ends.join(of, c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
-        top = components(saved(ends.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).where("a <> b"), "links"))
+        top = components(scratch.saved(ends.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).where("a <> b"), "links"))
         over = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
         moved = labels.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         new = top.join(labels, "node", "left_anti")
-        return saved(moved.unionByName(new.select("node", "component")), "labels")
+        return scratch.saved(moved.unionByName(new.select("node", "component")), "labels")
 
     def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """The pairs whose ends are in different components."""
@@ -256,55 +257,59 @@ class NearDuplicates:
         """Per row: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept (doc_id = component_id)."""
         rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         features = saved(rows.mapInArrow(tidy(_features(self.k)), FEATURE_COLUMNS), "features")
-        named = features.where("n > 0 and doc_id is not null")
-        nodes = saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-        banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
-        leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
-        members = saved(banded.join(saved(leaders, "leaders"), "band").select("band", "node", "n", "leader"), "members")
-        labels = self._labels(rows, nodes.select("node", "n", "sig"), members)
-        classes = nodes.select("digest", "node")
-        if labels is not None:
-            classes = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-        else:
-            classes = classes.select("digest", F.col("node").alias("component_id"))
-        classes = saved(classes, "classes")
+        with Scratch() as scratch:
+            named = features.where("n > 0 and doc_id is not null")
+            nodes = scratch.saved(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+            banded = nodes.select(F.explode("bands").alias("band"), "node", "n")
+            leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
+            leaders = scratch.saved(leaders, "leaders")
+            members = scratch.saved(banded.join(leaders, "band").select("band", "node", "n", "leader"), "members", instead=leaders)
+            labels = self._labels(scratch, rows, nodes.select("node", "n", "sig"), members)
+            classes = nodes.select("digest", "node")
+            if labels is not None:
+                classes = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+            else:
+                classes = classes.select("digest", F.col("node").alias("component_id"))
+            classes = saved(classes, "classes")
         full = features.where("n > 0").select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", "component_id")
         empty = features.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
         return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
-    def _labels(self, rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame | None:
+    def _labels(self, scratch: Scratch, rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame | None:
         """node and component of the linked nodes; None without candidates."""
         star = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        star = saved(star, "star")
+        star = scratch.saved(star, "star")
         if star.isEmpty():
             return None
-        chosen = members.select("node").distinct()
-        texts = saved(rows.withColumnRenamed("doc_id", "node").join(chosen, "node", "left_semi").select("node", "text"), "texts")
+        # Texts of the candidates: most others are left out before the join that is sure of it.
+        chosen = scratch.saved(members.select("node").distinct(), "chosen")
+        likely = marked(rows.withColumnRenamed("doc_id", "node"), F.col("node"), chosen).where("maybe")
+        texts = scratch.saved(likely.join(chosen, "node", "left_semi").select("node", "text"), "texts")
         floor = self.percent / 100 - MARGIN
-        rated = saved(self._rated(star.select("a", "b"), nodes), "rated")
+        rated = scratch.saved(self._rated(star.select("a", "b"), nodes), "rated")
         near = rated.where(F.col("estimate") >= floor)
         # 1: every node with the best of its leaders.
         first = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-        links = saved(self._links(first, texts), "links")
-        labels = self._merged(None, links)
+        links = scratch.saved(self._links(first, texts), "links")
+        labels = self._merged(scratch, None, links)
         # 2: every other leader, where that would join components.
-        rest = saved(self._apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "rest")
+        rest = scratch.saved(self._apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), labels), "rest")
         if not rest.isEmpty():
-            labels = self._merged(labels, saved(self._links(rest, texts), "links"))
+            labels = self._merged(scratch, labels, scratch.saved(self._links(rest, texts), "links"))
         # 3: pairs across components within buckets. Distance is a metric: estimates to the leader that differ by more than
         # the largest distance, and twice the margin, exclude a link; so do parity sketches, within the join.
         of = labels.select("node", "component")
         placed = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        inside = placed.join(saved(mixed, "mixed"), "band", "left_semi")
+        inside = placed.join(scratch.saved(mixed, "mixed"), "band", "left_semi")
         to_leader = rated.select(F.col("a").alias("node"), F.col("b").alias("leader"), "estimate")
         inside = inside.join(to_leader, ["node", "leader"], "left").withColumn("estimate", F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.coalesce("estimate", F.lit(-1.0))))
         lead = inside.where("node = leader").select("band", F.col("component").alias("lead"))
         step = math.log(100 / self.percent)
-        inside = saved(inside, "mixed-members")
+        inside = scratch.saved(inside, "mixed-members")
         parities = texts.join(inside.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(tidy(_parities(self.k)), f"node long, own_level int, level int, {', '.join(f'{w} long' for w in PARITY_WORDS)}")
-        signed = inside.join(saved(parities.dropDuplicates(["node", "level"]), "parities"), "node")
-        inside = saved(signed.join(lead, "band").withColumn("size_class", F.floor(F.log("n") / step).cast("int")), "inside")
+        signed = inside.join(scratch.saved(parities.dropDuplicates(["node", "level"]), "parities"), "node")
+        inside = scratch.saved(signed.join(lead, "band").withColumn("size_class", F.floor(F.log("n") / step).cast("int")), "inside")
         minor = inside.where("component <> lead").select("band", F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1)))).alias("size_class"), F.col("node").alias("x"), F.col("component").alias("x_of"), F.col("estimate").alias("x_est"), F.col("n").alias("x_n"), "level", *(F.col(c).alias(f"x_{c}") for c in ("own_level", *PARITY_WORDS)))
         known = lambda c: F.col(c) >= 0
         reach = 1 - self.percent / 100 + 2 * MARGIN
@@ -316,14 +321,16 @@ class NearDuplicates:
             & ~(known("estimate") & known("x_est") & (F.abs(F.col("estimate") - F.col("x_est")) > reach))
             & may_link(self.percent)
         )
-        pairs = saved(apart.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), "pairs")
+        pairs = scratch.saved(apart.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             return labels
-        return self._merged(labels, saved(self._links(pairs, texts), "links"))
+        return self._merged(scratch, labels, scratch.saved(self._links(pairs, texts), "links"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each group, the smallest doc_id; columns stay. Rows that repeat that doc_id stay too."""
-    gone = NearDuplicates(k, percent).find(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    rows = numbered(docs)
-    return rows.join(saved(gone, "gone"), F.col(number_of(docs, doc_id)).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+    gone = saved(NearDuplicates(k, percent).find(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("gone")), "gone")
+    rows, id_ = numbered(docs), F.col(number_of(docs, doc_id)).cast("long")
+    told = marked(rows, id_, gone)
+    stay = told.where("maybe").join(gone, id_ == F.col("gone"), "left_anti").unionByName(told.where("not maybe"))
+    return stay.select(*rows.columns).toDF(*docs.columns)
