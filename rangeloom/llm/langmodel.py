@@ -30,6 +30,8 @@ from .common import NOT_SPACE, chunks, mixed, saved, text_bytes, words_of
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 #: Text of a chunk, in units of 32 KB; chunks' worth of text whose n-grams a shard owns.
 LANE, SHARE = 128, 1
+#: Bits of hash beyond those that number the corpus's n-grams.
+SPARE = 20
 #: The end token's index among a chunk's words; texts begin after it.
 END = 0
 #: Rows between chunks and shards. Of a chunk's own state, shard is STATE; of a shard's figures, chunk is.
@@ -60,6 +62,29 @@ def _level(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(3)).astype(np.int64)
 
 
+class Layout(NamedTuple):
+    """How n-grams are named and dealt: keys of `bits` bits of hash with the order in two bits below, shards that own ranges of keys."""
+
+    order: int
+    shards: int
+    bits: int
+
+    @classmethod
+    def of(cls, size: int, order: int) -> Layout:
+        """For texts of so many bytes. An n-gram shares its key with another with probability 2^-SPARE at most, whatever the size."""
+        return cls(order, max(4, -(-size // (SHARE * (LANE << 15)))), min(62, max(32, (order * max(size, 1)).bit_length() - 1 + SPARE)))
+
+    def keys(self, raw: np.ndarray, k: int) -> np.ndarray:
+        return ((raw >> np.uint64(64 - self.bits)) << np.uint64(2)) | np.uint64(k)
+
+    def by_shard(self, keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Positions of the keys that each shard owns."""
+        owner = (((keys >> np.uint64(self.bits - 30)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(owner, kind="stable").astype(np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff(owner[order])) + 1), len(keys)]
+        return [(int(owner[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
 class Shape(NamedTuple):
     """A chunk's n-grams. keys: by order, then sorted, the order in the lowest two bits; prefix and suffix: their positions among keys, -1 for words; at[k - 1]: position of the k-gram that ends at each token, -1 for none."""
 
@@ -71,16 +96,16 @@ class Shape(NamedTuple):
     own: np.ndarray  # tokens that are not the end token before a row
 
     @classmethod
-    def of(cls, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, order: int) -> Shape:
+    def of(cls, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, layout: Layout) -> Shape:
         """ids: of each row the end token before it, its words and its end token, lengths of them in all."""
         row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         depth = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         raw, keys, prefix, suffix, at, base = hashes[ids], [], [], [], [], 0
-        for k in range(1, order + 1):
+        for k in range(1, layout.order + 1):
             if k > 1:
                 raw = mixed(np.concatenate([raw[:1], raw[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids])
             places = np.flatnonzero(depth >= k - 1)
-            found, inverse = np.unique((raw[places] & ~np.uint64(3)) | np.uint64(k), return_inverse=True)
+            found, inverse = np.unique(layout.keys(raw[places], k), return_inverse=True)
             here = np.full(len(ids), -1, np.int32)
             here[places] = inverse + base
             before, after = np.full(len(found), -1, np.int32), np.full(len(found), -1, np.int32)
@@ -94,14 +119,6 @@ class Shape(NamedTuple):
         return cls(np.concatenate(keys), np.concatenate(prefix), np.concatenate(suffix), at, row, depth > 0)
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """Positions of the keys that each shard owns; shards are ranges of keys."""
-    owner = (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(owner, kind="stable").astype(np.int32)
-    cuts = [0, *(np.flatnonzero(np.diff(owner[order])) + 1), len(keys)]
-    return [(int(owner[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-
-
 def _mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     chunk, shard, a = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.Table.from_arrays([pa.array(chunk, pa.int64()), pa.array(shard, pa.int32()), pa.array(a, pa.binary())], schema=_MAIL_ARROW)
@@ -128,20 +145,20 @@ def _states(limit: int):
     return run
 
 
-def _ask(order: int, shards: int, all_wanted: bool):
+def _ask(layout: Layout, all_wanted: bool):
     """To each shard: a chunk's keys, training counts, and whether the sums over the n-gram's arcs may be wanted."""
 
     def run(batches):
         for batch in batches:
             for chunk, a in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 ids, hashes, lengths, held, *_ = _unpacked(a.as_py())
-                shape = Shape.of(ids, hashes, lengths, order)
+                shape = Shape.of(ids, hashes, lengths, layout)
                 learnt = ~held[shape.row]
                 counts, wanted = np.zeros(len(shape.keys), np.int64), np.zeros(len(shape.keys), bool)
                 for at in shape.at:
                     counts += np.bincount(at[shape.own & learnt & (at >= 0)], minlength=len(counts))
                     wanted[at[(at >= 0) & (all_wanted | ~learnt)]] = True
-                rows = [(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in _by_shard(shape.keys, shards)]
+                rows = [(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in layout.by_shard(shape.keys)]
                 yield from _mail(rows).to_batches(max_chunksize=200)
 
     return run
@@ -152,23 +169,27 @@ def _in_turn(table: pa.Table, by: str) -> list[tuple[int, bytes]]:
     return list(zip(table[by].to_pylist(), table["a"].to_pylist(), strict=True))
 
 
-def _counted(table: pa.Table) -> pa.Table:
+def _counted(layout: Layout):
     """A shard's answers: of each n-gram its count in all, whether this chunk is the one to add it to its prefix, and whether its own sums are wanted. And the shard's figures of words: tokens, kinds, kinds seen once and twice."""
-    shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
-    sent = [_unpacked(a) for _, a in mail]
-    keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
-    flagged = np.concatenate([s[1] for s in sent])
-    counts = np.bincount(inverse, flagged >> 1, len(keys)).astype(np.int64)
-    wanted = np.bincount(inverse, flagged & 1, len(keys)) > 0
-    seen, adds = np.flatnonzero(flagged > 1), np.zeros(len(flagged), np.int64)
-    adds[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
-    answer = counts[inverse] * 4 + adds * 2 + wanted[inverse]
-    ends = np.cumsum([len(s[0]) for s in sent])
-    rows = [(chunk, shard, _packed(answer[end - len(s[0]) : end])) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)]
-    words = counts[(_level(keys) == 1) & (keys != (np.uint64(_hash(b"\n")) & ~np.uint64(3) | np.uint64(1)))]
-    mine = counts[_level(keys) == 1]
-    rows.append((STATE, shard, _packed(np.array([mine.sum(), (mine > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64))))
-    return _mail(rows)
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
+        sent = [_unpacked(a) for _, a in mail]
+        keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
+        flagged = np.concatenate([s[1] for s in sent])
+        counts = np.bincount(inverse, flagged >> 1, len(keys)).astype(np.int64)
+        wanted = np.bincount(inverse, flagged & 1, len(keys)) > 0
+        seen, adds = np.flatnonzero(flagged > 1), np.zeros(len(flagged), np.int64)
+        adds[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
+        answer = counts[inverse] * 4 + adds * 2 + wanted[inverse]
+        ends = np.cumsum([len(s[0]) for s in sent])
+        rows = [(chunk, shard, _packed(answer[end - len(s[0]) : end])) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)]
+        words = counts[(_level(keys) == 1) & (keys != layout.keys(np.array([_hash(b"\n")], np.uint64), 1))]
+        mine = counts[_level(keys) == 1]
+        rows.append((STATE, shard, _packed(np.array([mine.sum(), (mine > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64))))
+        return _mail(rows)
+
+    return run
 
 
 class Unigram(NamedTuple):
@@ -198,11 +219,11 @@ class Known(NamedTuple):
     p: np.ndarray
 
     @classmethod
-    def of(cls, state: bytes, answers: list[bytes], order: int, shards: int, unigram: Unigram, least: int) -> Known:
+    def of(cls, state: bytes, answers: list[bytes], layout: Layout, unigram: Unigram, least: int) -> Known:
         state = _unpacked(state)
-        shape = Shape.of(*state[:3], order)
+        shape = Shape.of(*state[:3], layout)
         answer = np.empty(len(shape.keys), np.int64)
-        for (_, of), a in zip(_by_shard(shape.keys, shards), answers, strict=True):
+        for (_, of), a in zip(layout.by_shard(shape.keys), answers, strict=True):
             answer[of] = _unpacked(a)[0]
         counts, level = answer >> 2, _level(shape.keys)
         arc = (level > 1) & (counts >= least)
@@ -219,16 +240,16 @@ class Known(NamedTuple):
         return np.flatnonzero(self.wanted & (at | used))
 
 
-def _add_arcs(order: int, shards: int, unigram: Unigram, least: int):
+def _add_arcs(layout: Layout, unigram: Unigram, least: int):
     def run(table: pa.Table) -> pa.Table:
         chunk, mail = table["chunk"][0].as_py(), _in_turn(table, "shard")
-        known = Known.of(mail[0][1], [a for _, a in mail[1:]], order, shards, unigram, least)
+        known = Known.of(mail[0][1], [a for _, a in mail[1:]], layout, unigram, least)
         shape, mine = known.shape, known.arc & known.adds
         prefix, n = shape.prefix[mine], len(shape.keys)
         sums = [np.bincount(prefix, minlength=n), np.bincount(prefix, known.counts[mine], n).astype(np.int64), np.bincount(prefix, known.counts[shape.suffix[mine]], n).astype(np.int64)]
         ask = known.asking()
         keys, sums = shape.keys[ask], [s[ask] for s in sums]
-        return _mail([(chunk, shard, _packed(np.diff(keys[of], prepend=np.uint64(0)), *(s[of] for s in sums))) for shard, of in _by_shard(keys, shards)])
+        return _mail([(chunk, shard, _packed(np.diff(keys[of], prepend=np.uint64(0)), *(s[of] for s in sums))) for shard, of in layout.by_shard(keys)])
 
     return run
 
@@ -246,18 +267,18 @@ def _added(table: pa.Table) -> pa.Table:
 SCORED_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(order: int, shards: int, unigram: Unigram, least: int):
+def _score(layout: Layout, unigram: Unigram, least: int):
     """Weights of a chunk's n-grams, order by order, and the sums over its rows."""
 
     def run(table: pa.Table) -> pa.Table:
         # answers of the second round have shards from 2^30
         mail = _in_turn(table, "shard")
-        known = Known.of(mail[0][1], [a for s, a in mail[1:] if s < _SECOND], order, shards, unigram, least)
+        known = Known.of(mail[0][1], [a for s, a in mail[1:] if s < _SECOND], layout, unigram, least)
         shape, (_, _, lengths, held, valid, docs) = known.shape, known.state
         ask, backoff = known.asking(), np.zeros(len(shape.keys))
         if len(ask):
             arcs, n, lower = (np.empty(len(ask), np.int64) for _ in range(3))
-            for (_, of), a in zip(_by_shard(shape.keys[ask], shards), [a for s, a in mail if s >= _SECOND], strict=True):
+            for (_, of), a in zip(layout.by_shard(shape.keys[ask]), [a for s, a in mail if s >= _SECOND], strict=True):
                 arcs[of], n[of], lower[of] = _unpacked(a)
             some = arcs > 0
             ask, arcs, n, lower = ask[some], arcs[some], n[some], lower[some]
@@ -269,7 +290,7 @@ def _score(order: int, shards: int, unigram: Unigram, least: int):
         level, weight = _level(shape.keys), np.zeros(len(shape.keys))
         direct = (level == 1) | known.arc
         weight[direct] = np.log10(known.p[direct])
-        for k in range(2, order + 1):
+        for k in range(2, layout.order + 1):
             fails = np.flatnonzero((level == k) & ~known.arc)
             weight[fails] = backoff[shape.prefix[fails]] + weight[shape.suffix[fails]]
         longest = shape.at[0]
@@ -309,7 +330,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, sta
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     limit = LANE << 15
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(4, -(-size // (SHARE * limit)))
+    layout = Layout.of(size, order)
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         out = saved(df, name)
@@ -320,16 +341,16 @@ def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, sta
         return out
 
     state = kept(rows.mapInArrow(_states(limit), _MAIL), "state")
-    counted = kept(state.mapInArrow(_ask(order, shards, states is not None or least > 1), _MAIL).groupBy("shard").applyInArrow(_counted, _MAIL), "counted")
+    counted = kept(state.mapInArrow(_ask(layout, states is not None or least > 1), _MAIL).groupBy("shard").applyInArrow(_counted(layout), _MAIL), "counted")
     figures = [_unpacked(bytes(r[0]))[0] for r in counted.where(F.col("chunk") == STATE).select("a").collect()]  # four numbers a shard
     n, v, once, twice = (int(x) for x in np.sum(figures, axis=0)) if figures else (0, 0, 0, 0)
     unigram = Unigram(n, v, once / (once + 2 * twice) if once else 0.5)
     if states is not None:
         least = max(least, -(-n // states))
     counts = state.unionByName(counted.where(F.col("chunk") >= 0))
-    arcs = counts.groupBy("chunk").applyInArrow(_add_arcs(order, shards, unigram, least), _MAIL)
+    arcs = counts.groupBy("chunk").applyInArrow(_add_arcs(layout, unigram, least), _MAIL)
     added = kept(arcs.groupBy("shard").applyInArrow(_added, _MAIL).withColumn("shard", (F.col("shard") + _SECOND).cast("int")), "added")
-    return counts.unionByName(added).groupBy("chunk").applyInArrow(_score(order, shards, unigram, least), SCORED_COLUMNS)
+    return counts.unionByName(added).groupBy("chunk").applyInArrow(_score(layout, unigram, least), SCORED_COLUMNS)
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
