@@ -1,23 +1,21 @@
 """Sharding by longest-processing-time scheduling of groups that stay together.
 
-Groups larger than 1/64 of a shard's fair share are scheduled one by one: there are fewer
-than 64 times the shards of these, so the driver's heap has a bounded size. All other
-groups are bundled by a hash of their key into a fixed number of bundles, scheduled in
-the same heap. Slots come from the heap's running row counts and a rank inside each cell.
+All groups are sorted by size over range partitions. The driver's heap schedules them class by class: groups of one size are
+alike, so of each class it needs their number only, and says how many go to each shard. Distinct sizes sum up to the
+bytes of all groups at most, so there are no more than sqrt(2 * bytes) classes, however many groups. A group's rank among
+those of its size picks its shard; ranks and slots are counted within range partitions, so no size, group or shard is one task's.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
-
-#: Bundles of small groups; cells that a large group's rows are dealt into for ranking.
-BUNDLES, CELLS, LARGE = 1 << 16, 64, 64
+from .common import Scratch, numbered, saved
 
 
 def schedule(items: list[tuple[object, int]], shards: int) -> dict[object, int]:
@@ -31,49 +29,73 @@ def schedule(items: list[tuple[object, int]], shards: int) -> dict[object, int]:
     return out
 
 
+def deal(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of `count` items of one size each shard gets when each goes to the least-loaded one, the lowest number on ties."""
+    out = [0] * len(loads)
+    if size == 0:
+        out[loads.index(min(loads))] = count
+        return out
+    if count > 4 * len(loads):
+        # Shard i takes items at the loads L, L + size, ...: the `count` smallest of all these are taken. Those under a level at once:
+        low, high = min(loads), max(loads) + size * (count // len(loads) + 1)
+        under = lambda level: [max(0, -(-(level - x) // size)) for x in loads]
+        while low < high:
+            level = (low + high + 1) // 2
+            low, high = (level, high) if sum(under(level)) <= count else (low, level - 1)
+        out = under(low)
+    heap = [(x + n * size, i) for i, (x, n) in enumerate(zip(loads, out, strict=True))]
+    heapq.heapify(heap)
+    for _ in range(count - sum(out)):
+        load, i = heap[0]
+        out[i] += 1
+        heapq.heapreplace(heap, (load + size, i))
+    return out
+
+
+def _in_ranges(scratch: Scratch, df: DataFrame, order: list[Column], ties: list[str], name: str) -> DataFrame:
+    """df, sorted by order over range partitions and saved, with part: the number of its partition."""
+    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order, *ties)
+    return scratch.saved(spread.withColumn("part", F.spark_partition_id()), name)
+
+
 def lpt_shards(rows: DataFrame, shards: int, size: str, group: Column, order: list[str]) -> DataFrame:
-    """The rows with shard (0 to shards - 1) and slot (from 0 without gaps in each shard).
+    """The rows with shard (0 to shards - 1) and slot (from 0 without gaps in each shard, by the order columns).
 
-    `rows` is a table that rereads the same (see common.saved). Rows of equal, non-null
-    `group` (a binary or string key) stay together; a null group is bundled by its
-    order columns. Ties in size go by key, ties in order by every order column; equal rows
-    take neighbouring slots in any order. No rows give no rows.
+    Rows of equal, non-null `group` (a binary key) stay together; a row with a null group is a group of its own.
+    Groups of equal size are dealt by key, such rows by a hash of their order columns; equal rows
+    take neighbouring slots in any order. A size is a whole number of at least 0. No rows give no rows.
     """
-    spark = rows.sparkSession
-    keyed = rows.withColumn("_group", group)
-    groups = keyed.where(F.col("_group").isNotNull()).groupBy("_group").agg(F.sum(size).alias("_bytes"))
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    large = groups.where(F.col("_bytes") * (LARGE * shards) > F.lit(total)).select("_group").collect()  # fewer than LARGE * shards
-    numbered = {bytes(r[0]): i for i, r in enumerate(sorted(large, key=lambda r: bytes(r[0])))}
-    bundle = F.pmod(F.when(F.col("_group").isNull(), F.xxhash64(*order)).otherwise(F.xxhash64("_group")), F.lit(BUNDLES))
-    cell = F.pmod(F.xxhash64(*order), F.lit(CELLS))
-    if numbered:
-        names = spark.createDataFrame([(k, i) for k, i in ((bytearray(k), i) for k, i in numbered.items())], "_large binary, _no int")
-        keyed = keyed.join(F.broadcast(names), F.col("_group") == F.col("_large"), "left").drop("_large")
-    else:
-        keyed = keyed.withColumn("_no", F.lit(None).cast("int"))
-    placed = keyed.select(
-        *rows.columns,
-        F.coalesce(-1 - F.col("_no"), bundle).cast("int").alias("_item"),
-        F.when(F.col("_no").isNull(), F.lit(0)).otherwise(cell).cast("int").alias("_cell"),
-    )
-    cells = placed.groupBy("_item", "_cell").agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_n")).collect()  # BUNDLES + LARGE * shards * CELLS at most
-    sizes: dict[int, int] = {}
-    for r in cells:
-        sizes[r["_item"]] = sizes.get(r["_item"], 0) + r["_bytes"]
-    shard_of = schedule(list(sizes.items()), shards)
-    bases, next_slot = [], [0] * shards
-    for r in sorted(cells, key=lambda r: (shard_of[r["_item"]], r["_item"], r["_cell"])):
-        shard = shard_of[r["_item"]]
-        bases.append((r["_item"], r["_cell"], shard, next_slot[shard]))
-        next_slot[shard] += r["_n"]
-    bases = spark.createDataFrame(bases, "_item int, _cell int, shard int, _base long")
-    rank = F.row_number().over(Window.partitionBy("_item", "_cell").orderBy(*order))
-    return (
-        placed.withColumn("_rank", rank)
-        .join(F.broadcast(bases), ["_item", "_cell"])
-        .select(*rows.columns, "shard", (F.col("_base") + F.col("_rank") - 1).alias("slot"))
-    )
+    spark, columns = rows.sparkSession, rows.columns
+    own = F.concat(F.unhex(F.md5(F.to_json(F.struct(*order)))), F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")))
+    plain = rows.select(*(F.col(c).alias(n) for c, n in zip(columns, numbered(rows).columns, strict=True)), F.coalesce(group, own).alias("key"), F.col(size).cast("long").alias("size"))
+    ranks = [f"c{columns.index(c)}" for c in order]
+    with Scratch() as scratch:
+        keyed = scratch.saved(plain, "keyed")
+        groups = keyed.groupBy("key").agg(F.sum("size").alias("size"))
+        groups = _in_ranges(scratch, groups, [F.desc("size")], ["key"], "groups")
+        # One row for each size, and one more for each partition that goes on with a size.
+        pieces = groups.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["size", "part"], ascending=[False, True], ignore_index=True)
+        loads, upto = [0] * shards, []
+        for many in pieces.groupby("size", sort=False)["n"].sum().items():
+            given = deal(loads, int(many[0]), int(many[1]))
+            loads = [x + int(many[0]) * n for x, n in zip(loads, given, strict=True)]
+            upto.append(np.cumsum(given).tolist())
+        by_size = pieces.groupby("size", sort=False)
+        pieces["before"] = by_size["n"].cumsum() - pieces["n"]
+        pieces["upto"] = [upto[i] for i in by_size.ngroup()]
+        placed = spark.createDataFrame(pieces[["size", "part", "before", "upto"]] if len(pieces) else [], "size long, part int, before long, upto array<long>")
+        rank = F.row_number().over(Window.partitionBy("size", "part").orderBy("key")) - 1
+        ranked = groups.withColumn("rank", rank).join(placed, ["size", "part"])
+        shard = F.size(F.filter("upto", lambda x: x <= F.col("before") + F.col("rank")))
+        of = scratch.saved(ranked.select("key", shard.cast("int").alias("shard")), "shards")
+        spread = _in_ranges(scratch, keyed.join(of, "key").drop("key", "size").withColumn("at", F.monotonically_increasing_id()), [F.col("shard")], [*ranks, "at"], "spread")
+        counts = spread.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "part"], ignore_index=True)  # one for each shard and partition that goes on with one
+        counts["base"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
+        bases = spark.createDataFrame(counts[["shard", "part", "base"]] if len(counts) else [], "shard int, part int, base long")
+        slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*ranks, "at")) - 1
+        done = spread.withColumn("slot", slot).join(F.broadcast(bases), ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("base"))
+        out = saved(done.select(*(f"c{i}" for i in range(len(columns))), "shard", "slot"), "sharded")
+    return out.toDF(*columns, "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -86,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.unhex(F.md5(text)).alias("_digest"),
+        F.unhex(F.md5(text)).alias("digest"),
     )
-    out = lpt_shards(saved(features, "features"), shards, "size", F.col("_digest"), ["doc_id", "text_crc32", "size"])
+    out = lpt_shards(features, shards, "size", F.col("digest"), ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

@@ -394,3 +394,43 @@ def test_line_index_is_laid_out_anew(spark, monkeypatch):
     assert index.shards > 10 and {r.doc_id: r.text for r in index.apply(df).collect()} == {i: "\n".join(x) for i, x in brute_lines(docs).items()}
     index.delete(df.where("doc_id >= 2"))
     assert state(index)[0] == before and sum(state(index)[1].values()) == len(before)
+
+
+def test_deal_is_the_heap_step_by_step():
+    rng = random.Random(4)
+    for _ in range(300):
+        shards, loads = rng.randrange(1, 7), []
+        loads = [rng.randrange(40) for _ in range(shards)]
+        size, count = rng.randrange(0, 9), rng.randrange(0, 60)
+        want, now = [0] * shards, list(loads)
+        for _ in range(count):
+            i = now.index(min(now))
+            want[i], now[i] = want[i] + 1, now[i] + size
+        assert sharding.deal(loads, size, count) == want
+
+
+@pytest.mark.parametrize("seed,shards", [(1, 3), (2, 24), (3, 5)])
+def test_shards_are_those_of_the_heap_over_all_groups(spark, seed, shards):
+    rng = random.Random(seed)
+    texts = [rng.choice([None, "", "a" * rng.randrange(60), chr(97 + rng.randrange(26)) * rng.randrange(4), "é" * rng.randrange(9)]) for _ in range(400)]
+    texts += ["copies of one text"] * 150 + ["word " * rng.randrange(2000) for _ in range(10)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 5
+    rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), shards).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    groups, text_of = Counter(), dict(docs)
+    for n, (i, t) in enumerate(docs):
+        groups[(1, n) if t is None else (0, t)] += len((t or "").encode()) + 8
+    numbered = {g: i for i, g in enumerate(groups)}
+    at = sharding.schedule([(numbered[g], s) for g, s in groups.items()], shards)
+    want, got = Counter(), Counter()
+    for g, s in groups.items():
+        want[at[numbered[g]]] += s
+    where = defaultdict(set)
+    for r in rows:
+        got[r.shard] += r["size"]
+        where[text_of[r.doc_id]].add(r.shard)
+    assert got == want  # groups of one size are alike: the loads are those of the schedule
+    assert all(len(s) == 1 for t, s in where.items() if t is not None)
+    for s in range(shards):
+        mine = sorted((r.slot, r.doc_id) for r in rows if r.shard == s)
+        assert [m[0] for m in mine] == list(range(len(mine))) and [m[1] for m in mine] == sorted(m[1] for m in mine)
