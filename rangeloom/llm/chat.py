@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import Scratch, saved, tidy
 
 # The template's control strings.
 OPEN, CLOSE, ROLE, TEXT = "<s>", "</s>", "[INST]", "[/INST]"
@@ -65,23 +65,24 @@ def paths(nodes: DataFrame) -> DataFrame:
     """Root-to-leaf paths of the reply trees: leaf, node, up (the node's steps above the leaf).
 
     `nodes` is a table with unique node and its parent (null, or a node that isn't there:
-    a root). Rows on a cycle have no leaf below a root and are in no path.
+    a root). What replies to itself, around a cycle or from below one, has no root and is in no path.
     """
-    known = nodes.select("node", "parent")
-    alone = known.select(F.col("node").alias("parent"))
-    jump = saved(known.join(alone, "parent", "left_semi").select("node", "parent"), "jump")
-    leaves = known.join(known.select(F.col("parent").alias("node")), "node", "left_anti")
-    found = saved(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
-    step = 1
-    while not jump.isEmpty():
-        ahead = found.join(jump, "node").select("leaf", F.col("parent").alias("node"), (F.col("up") + step).alias("up"))
-        found = saved(found.unionByName(ahead), "paths")
-        far = jump.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
-        jump = saved(jump.join(far, "parent").select("node", F.col("far").alias("parent")), "jump")
-        step *= 2
-        if step > 1 << 40:
-            raise ValueError("the replies form a cycle")
-    return found
+    with Scratch() as scratch:
+        known = scratch.saved(nodes.select("node", "parent"), "nodes")
+        alone = known.select(F.col("node").alias("parent"))
+        jumps, most = [scratch.saved(known.join(alone, "parent", "left_semi").select("node", "parent"), "jump")], known.count()
+        while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= most:  # each row a node and its ancestor of 1, 2, 4, ... steps
+            last = jumps[-1]
+            far = last.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+            jumps.append(scratch.saved(last.join(far, "parent").select("node", F.col("far").alias("parent")), "jump"))
+        leaves = known.join(known.select(F.col("parent").alias("node")), "node", "left_anti")
+        if not jumps[-1].isEmpty():  # more steps than nodes
+            leaves = leaves.join(jumps[-1], "node", "left_anti")
+        found = scratch.saved(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "paths")
+        for i, jump in enumerate(jumps[:-1]):
+            ahead = found.join(jump, "node").select("leaf", F.col("parent").alias("node"), (F.col("up") + (1 << i)).alias("up"))
+            found = scratch.saved(found.unionByName(ahead), "paths", instead=found)
+        return saved(found, "paths")
 
 
 FORMATTED = pa.schema([("formatted", pa.string()), ("loss_mask", pa.list_(pa.int32()))])
@@ -103,18 +104,22 @@ def format_trees(nodes: DataFrame, branches: int | None = None, trained: str = "
     """One conversation per chosen path: tree, leaf, branch (rank from 1), score, formatted, loss_mask.
 
     nodes: tree, node (unique), parent, role, text, score (null: 0). Paths of a tree are ranked by mean score
-    downwards, then by leaf; `branches` keeps that many of each tree, all by default.
+    downwards, then by leaf; `branches` keeps that many of each tree, all by default. No nodes give no conversations.
     """
-    members = paths(nodes).join(nodes.select("node", "tree", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
-    whole = members.groupBy("leaf").agg(
-        F.first("tree").alias("tree"), F.avg("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns")
-    )
+    steps = paths(nodes)
+    scored = steps.join(nodes.select("node", "tree", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
+    whole = scored.groupBy("leaf").agg(F.first("tree").alias("tree"), F.avg("score").alias("score"))
     ranked = whole.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")).cast("int"))
     if branches:
         ranked = ranked.where(F.col("branch") <= branches)
+    ranked = saved(ranked.select("leaf", "tree", "score", "branch"), "branches")
+    # Texts come in last: once to their nodes' steps, once to their leaves.
+    chosen = steps.join(ranked.select("leaf"), "leaf", "left_semi") if branches else steps
+    turns = chosen.join(nodes.select("node", "role", "text"), "node").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
+    ranked = turns.join(ranked, "leaf")
     keys = ["tree", "leaf", "branch", "score"]
     of = dict(ranked.dtypes)
-    return ranked.mapInArrow(_formatted(keys, trained), ", ".join(f"{k} {of[k]}" for k in keys) + ", formatted string, loss_mask array<int>")
+    return ranked.mapInArrow(tidy(_formatted(keys, trained)), ", ".join(f"{k} {of[k]}" for k in keys) + ", formatted string, loss_mask array<int>")
 
 
 def as_trees(conversations: DataFrame) -> DataFrame:

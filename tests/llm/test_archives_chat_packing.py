@@ -107,9 +107,6 @@ def test_template_is_reversible(turns):
 def test_branches_of_a_tree(spark):
     nodes = [("t", "r", None, "user", "hi", 0.0), ("t", "a", "r", "assistant", "A", 3.0), ("t", "b", "r", "assistant", "B", 5.0), ("t", "c", "a", "user", "more", 9.0), ("u", "x", "gone", "user", "alone", None), ("v", "p", "q", "user", "cycle", 0.0), ("v", "q", "p", "user", "cycle", 0.0)]
     df = spark.createDataFrame(nodes, "tree string, node string, parent string, role string, text string, score double")
-    with pytest.raises(ValueError, match="cycle"):
-        chat.paths(df)
-    df = df.where("tree <> 'v'")
     got = {(r.tree, r.branch): (r.leaf, chat.parse_turns(r.formatted)) for r in chat.format_trees(df).collect()}
     assert got == {("t", 1): ("c", [("user", "hi"), ("assistant", "A"), ("user", "more")]), ("t", 2): ("b", [("user", "hi"), ("assistant", "B")]), ("u", 1): ("x", [("user", "alone")])}
     assert chat.format_trees(df, branches=1).count() == 2
@@ -163,3 +160,32 @@ def test_packing_is_lossless(spark):
             assert [x for _, p in sorted(parts[i]) for x in p] == want[i][0]
     assert sum(len(p) for x in parts.values() for _, p in x) == sum(len(x) for w in want.values() for x in w)
     assert packing.pack_documents(df.limit(0)).count() == 0 and pa.__version__
+
+
+def test_replies_in_a_cycle_are_in_no_path(spark):
+    nodes = [("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("below", "x"), ("self", "self"), ("lost", "gone")]
+    rows = [("t", n, p, "user", n, None) for n, p in nodes]
+    df = spark.createDataFrame(rows, "tree string, node string, parent string, role string, text string, score double")
+    assert sorted((r.leaf, r.node, r.up) for r in chat.paths(df).collect()) == [("b", "a", 1), ("b", "b", 0), ("b", "r", 2), ("lost", "lost", 0)]
+    assert {r.leaf: [t for _, t in chat.parse_turns(r.formatted)] for r in chat.format_trees(df).collect()} == {"b": ["r", "a", "b"], "lost": ["lost"]}
+    assert chat.format_trees(df.limit(0)).count() == 0
+
+
+def test_long_runs_are_packed_whole(spark):
+    """Runs of one kind of character that the pretoken pattern's matcher can't step back over."""
+    tokenizer = packing.Tokenizer(open(packing.RANKS, "rb").read())
+    rng = random.Random(1)
+    for _ in range(20):
+        text = "".join(rng.choice([" ", "\n", "\t", "　"]) * rng.choice([1, 2, 5000]) + rng.choice(["word", "", "9", "!?", "é"]) for _ in range(6))
+        assert tokenizer.ids(text).tolist() == tokenizer.words.encode_ordinary(text)
+        mixed = "".join(rng.choices(" \n\t ", k=6000)) + text
+        assert tokenizer.ids(mixed).tolist() == tokenizer.words.encode_ordinary(mixed)
+    docs = [("a", " " * 1_000_000 + "end"), ("b", "x" + "\n" * 1_000_000), ("c", "z" * 300_000), ("d", "?" * 300_000)]
+    parts = {}
+    for r in packing.pack_documents(spark.createDataFrame(docs, "doc_id string, text string")).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        for doc, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            parts.setdefault(doc, []).append((start, ids[a:b].tolist()))
+    for i, t in docs:
+        ids = [x for _, p in sorted(parts[i]) for x in p]
+        assert ids[-1] == packing.END_OF_TEXT and tokenizer.words.decode(ids[:-1]) == t
