@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, mixed, saved, text_bytes, words_of
+from .common import NOT_SPACE, chunks, mixed, release_memory, saved, text_bytes, words_of
 
 #: Order of the model; n-grams counted less often have no arc (1: all have one); discount of counts of n-grams longer than a word.
 ORDER, LEAST, DISCOUNT = 3, 1, 0.75
@@ -54,10 +54,6 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _hash(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-
-
 def _level(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(3)).astype(np.int64)
 
@@ -74,6 +70,13 @@ class Layout(NamedTuple):
         """For texts of so many bytes. An n-gram shares its key with another with probability 2^-SPARE at most, whatever the size."""
         return cls(order, max(4, -(-size // (SHARE * (LANE << 15)))), min(62, max(32, (order * max(size, 1)).bit_length() - 1 + SPARE)))
 
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """Of the words' hashes what keys can hold."""
+        return np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64) >> np.uint64(64 - self.bits)
+
+    def raw(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes << np.uint64(64 - self.bits)
+
     def keys(self, raw: np.ndarray, k: int) -> np.ndarray:
         return ((raw >> np.uint64(64 - self.bits)) << np.uint64(2)) | np.uint64(k)
 
@@ -100,6 +103,7 @@ class Shape(NamedTuple):
         """ids: of each row the end token before it, its words and its end token, lengths of them in all."""
         row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         depth = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        hashes = layout.raw(hashes)
         raw, keys, prefix, suffix, at, base = hashes[ids], [], [], [], [], 0
         for k in range(1, layout.order + 1):
             if k > 1:
@@ -124,22 +128,26 @@ def _mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(chunk, pa.int64()), pa.array(shard, pa.int32()), pa.array(a, pa.binary())], schema=_MAIL_ARROW)
 
 
-def _states(limit: int):
+def _states(limit: int, layout: Layout):
     """Each chunk's state: tokens, word hashes, rows."""
 
+    def state(batch: pa.RecordBatch) -> bytes:
+        found = words_of(text_bytes(batch.column(2)), NOT_SPACE)
+        hashes = layout.hashes([b"\n", *found.distinct.to_pylist()])
+        lengths = found.rows + 2
+        ids = np.full(int(lengths.sum()), END, np.int32)
+        ids[np.arange(len(found.codes)) + np.repeat(2 * np.arange(batch.num_rows) + 1, found.rows)] = found.codes + 1
+        held = np.array(batch.column(1).to_pylist(), bool)
+        valid = np.array(batch.column(0).is_valid().to_pylist(), bool)
+        docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return _packed(ids, hashes, lengths.astype(np.int64), held, valid, docs)
+
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in chunks(whole, 2, limit):
-                found = words_of(text_bytes(batch.column(2)), NOT_SPACE)
-                hashes = np.array([_hash(b"\n"), *map(_hash, found.distinct.to_pylist())], np.uint64)
-                lengths = found.rows + 2
-                ids = np.full(int(lengths.sum()), END, np.int32)
-                ids[np.arange(len(found.codes)) + np.repeat(2 * np.arange(batch.num_rows) + 1, found.rows)] = found.codes + 1
-                held = np.array(batch.column(1).to_pylist(), bool)
-                valid = np.array(batch.column(0).is_valid().to_pylist(), bool)
-                docs = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield from _mail([(chunk, STATE, _packed(ids, hashes, lengths.astype(np.int64), held, valid, docs))]).to_batches()
+                yield from _mail([(chunk, STATE, state(batch))]).to_batches()
+                release_memory()
                 chunk += 1
 
     return run
@@ -148,22 +156,36 @@ def _states(limit: int):
 def _ask(layout: Layout, all_wanted: bool):
     """To each shard: a chunk's keys, training counts, and whether the sums over the n-gram's arcs may be wanted."""
 
+    def asked(chunk: int, state: bytes) -> pa.Table:
+        ids, hashes, lengths, held, *_ = _unpacked(state)
+        shape = Shape.of(ids, hashes, lengths, layout)
+        learnt = ~held[shape.row]
+        counts, wanted = np.zeros(len(shape.keys), np.int64), np.zeros(len(shape.keys), bool)
+        for at in shape.at:
+            counts += np.bincount(at[shape.own & learnt & (at >= 0)], minlength=len(counts))
+            wanted[at[(at >= 0) & (all_wanted | ~learnt)]] = True
+        return _mail([(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in layout.by_shard(shape.keys)])
+
     def run(batches):
         for batch in batches:
-            for chunk, a in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                ids, hashes, lengths, held, *_ = _unpacked(a.as_py())
-                shape = Shape.of(ids, hashes, lengths, layout)
-                learnt = ~held[shape.row]
-                counts, wanted = np.zeros(len(shape.keys), np.int64), np.zeros(len(shape.keys), bool)
-                for at in shape.at:
-                    counts += np.bincount(at[shape.own & learnt & (at >= 0)], minlength=len(counts))
-                    wanted[at[(at >= 0) & (all_wanted | ~learnt)]] = True
-                rows = [(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in layout.by_shard(shape.keys)]
-                yield from _mail(rows).to_batches(max_chunksize=200)
+            for chunk, state in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                yield from asked(chunk, state.as_py()).to_batches(max_chunksize=200)
+                release_memory()
 
     return run
 
 
+def _freed(run):
+    """The function of a group's table, its memory released after each."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release_memory()
+        return out
+
+    return whole
+
+
 def _in_turn(table: pa.Table, by: str) -> list[tuple[int, bytes]]:
     table = table.sort_by(by)
     return list(zip(table[by].to_pylist(), table["a"].to_pylist(), strict=True))
@@ -184,12 +206,12 @@ def _counted(layout: Layout):
         answer = counts[inverse] * 4 + adds * 2 + wanted[inverse]
         ends = np.cumsum([len(s[0]) for s in sent])
         rows = [(chunk, shard, _packed(answer[end - len(s[0]) : end])) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)]
-        words = counts[(_level(keys) == 1) & (keys != layout.keys(np.array([_hash(b"\n")], np.uint64), 1))]
+        words = counts[(_level(keys) == 1) & (keys != layout.keys(layout.raw(layout.hashes([b"\n"])), 1))]
         mine = counts[_level(keys) == 1]
         rows.append((STATE, shard, _packed(np.array([mine.sum(), (mine > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64))))
         return _mail(rows)
 
-    return run
+    return _freed(run)
 
 
 class Unigram(NamedTuple):
@@ -251,7 +273,7 @@ def _add_arcs(layout: Layout, unigram: Unigram, least: int):
         keys, sums = shape.keys[ask], [s[ask] for s in sums]
         return _mail([(chunk, shard, _packed(np.diff(keys[of], prepend=np.uint64(0)), *(s[of] for s in sums))) for shard, of in layout.by_shard(keys)])
 
-    return run
+    return _freed(run)
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -309,7 +331,7 @@ def _score(layout: Layout, unigram: Unigram, least: int):
             "score": pa.array(np.bincount(row, weight[longest[own]], rows)),
         })
 
-    return run
+    return _freed(run)
 
 
 #: Added to the shards of the second round's answers.
@@ -340,7 +362,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, order: int = ORDER, sta
             time.sleep(0.3)
         return out
 
-    state = kept(rows.mapInArrow(_states(limit), _MAIL), "state")
+    state = kept(rows.mapInArrow(_states(limit, layout), _MAIL), "state")
     counted = kept(state.mapInArrow(_ask(layout, states is not None or least > 1), _MAIL).groupBy("shard").applyInArrow(_counted(layout), _MAIL), "counted")
     figures = [_unpacked(bytes(r[0]))[0] for r in counted.where(F.col("chunk") == STATE).select("a").collect()]  # four numbers a shard
     n, v, once, twice = (int(x) for x in np.sum(figures, axis=0)) if figures else (0, 0, 0, 0)
