@@ -34,6 +34,16 @@ def scal(x: DataFrame, alpha) -> DataFrame:
     return x.withColumn("v", F.col("v") * alpha)
 
 
+def vcopy(x: DataFrame) -> DataFrame:
+    """The vector itself: frames are values, so a copy is another name."""
+    return x.select("i", "v")
+
+
+def swap(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two vectors, each in the other's place."""
+    return y.select("i", "v"), x.select("i", "v")
+
+
 def dot(x: DataFrame, y: DataFrame) -> DataFrame:
     return x.join(y.select("i", F.col("v").alias("w")), "i").agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0)).alias("v"))
 

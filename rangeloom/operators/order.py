@@ -18,8 +18,8 @@ def sort_by(df: DataFrame, key: Column, ties: list[str], descending: bool = Fals
     return df.orderBy(key.desc() if descending else key.asc(), *ties)
 
 
-def sorted_positions(df: DataFrame, keys: list[str], ties: list[str]) -> DataFrame:
-    """The rows with their position pos in the sorted order."""
+def sorted_positions(df: DataFrame, keys: list, ties: list) -> DataFrame:
+    """The rows with their position pos in the sorted order; keys are names or sort expressions."""
     return with_position(df, [*keys, *ties])
 
 
@@ -33,16 +33,25 @@ def sort_array(column: Column, before) -> Column:
     return F.array_sort(column, lambda a, b: F.when(before(a, b), F.lit(-1)).when(before(b, a), F.lit(1)).otherwise(F.lit(0)))
 
 
-def merge(first: DataFrame, second: DataFrame, key: str, first_order: list[str], second_order: list[str]) -> DataFrame:
-    """Two ranges sorted by key as one: pos, key, src (1 or 2). Stable: equal keys of the first range come first, each side in its order."""
+def _keyed(key: str, descending: bool, rank) -> list[Column]:
+    """The sort expression of a key: itself, or what `rank` makes of it, either way round."""
+    by = rank(F.col(key)) if rank else F.col(key)
+    return [by.desc() if descending else by.asc()]
+
+
+def merge(first: DataFrame, second: DataFrame, key: str, first_order: list[str], second_order: list[str], descending: bool = False, rank=None) -> DataFrame:
+    """Two ranges sorted by key as one: pos, key, src (1 or 2). Stable: equal keys of the first range come first, each side in its order.
+
+    A comparator comes as `descending`, or as `rank`: keys are then ordered by what it makes of them, and those of one rank are equal.
+    """
     a, b = (
         df.select(F.col(key), F.lit(src).alias("src"), F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order))).alias("_order"))
         for src, df, order in ((1, first, first_order), (2, second, second_order))
     )
-    return with_position(a.unionByName(b), [key, "src", "_order"]).select("pos", key, "src")
+    return with_position(a.unionByName(b), [*_keyed(key, descending, rank), "src", "_order"]).select("pos", key, "src")
 
 
-def merge_by_key(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+def merge_by_key(first: DataFrame, second: DataFrame, key: str, value: str, descending: bool = False, rank=None) -> DataFrame:
     """As merge, values following their keys; each side's rows are ordered by key and value."""
     rows = first.select(key, value, F.lit(1).alias("src")).unionByName(second.select(key, value, F.lit(2).alias("src")))
-    return with_position(rows, [key, "src", value]).select("pos", key, value, "src")
+    return with_position(rows, [*_keyed(key, descending, rank), "src", value]).select("pos", key, value, "src")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rangeloom.functions import scalars
 from rangeloom.operators import linalg, order, ranges, reduce, scan
 from rangeloom.plans import dag, observe, workloads
+from rangeloom.plans.lineage import cut
 from rangeloom.sources import traces
 from rangeloom.streaming.pipeline import PARALLEL, SERIAL, DataPipeline, Pipe, Pipeline, ScalablePipeline, data_pipe
 
@@ -214,10 +215,10 @@ def q_sort_by_key(spark, sf_dir):
     return order.sort_by_key(_table(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderkey"])
 
 
-@_query("SELECT vec_id, list_sort([CAST(round(x * 1000) AS BIGINT) for x in embedding[1:8]], 'DESC') AS sorted FROM embeddings")
+@_query("SELECT vec_id, list_sort([CAST(round(x * 1000) AS BIGINT) for x in embedding], 'DESC') AS sorted FROM embeddings")
 def q_sort_comparator(spark, sf_dir):
-    head = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000).cast("long"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", order.sort_array(head, lambda a, b: a > b).alias("sorted"))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", order.sort_array(values, lambda a, b: a > b).alias("sorted"))
 
 
 _SIDES = "SELECT CAST(round(o_totalprice) AS BIGINT) AS k, 1 AS src, o_orderkey AS id FROM orders UNION ALL SELECT CAST(round(c_acctbal) AS BIGINT), 2, c_custkey FROM customer"
@@ -234,6 +235,17 @@ def q_merge(spark, sf_dir):
     return order.merge(*_merge_sides(spark, sf_dir), "k", ["id"], ["id"])
 
 
+@_query(f"SELECT row_number() OVER (ORDER BY k DESC, src, id) - 1 AS pos, k, src FROM ({_SIDES})")
+def q_merge_desc(spark, sf_dir):
+    return order.merge(*_merge_sides(spark, sf_dir), "k", ["id"], ["id"], descending=True)
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY floor(k / 1000), src, id) - 1 AS pos, k, src FROM ({_SIDES})")
+def q_merge_comparator(spark, sf_dir):
+    """Keys are compared by their thousands."""
+    return order.merge(*_merge_sides(spark, sf_dir), "k", ["id"], ["id"], rank=lambda k: F.floor(k / 1000))
+
+
 @_query(f"SELECT row_number() OVER (ORDER BY k, src, id) - 1 AS pos, k, id, src FROM ({_SIDES})")
 def q_merge_by_key(spark, sf_dir):
     return order.merge_by_key(*_merge_sides(spark, sf_dir), "k", "id")
@@ -453,23 +465,25 @@ def q_data_pipeline(spark, sf_dir):
     return pipeline.apply(tokens)
 
 
-EDGES = "(SELECT DISTINCT o_custkey % 97 AS src, 97 + o_orderkey % 89 AS dst FROM orders UNION SELECT DISTINCT 97 + o_orderkey % 89, 186 + o_custkey % 83 FROM orders)"
+#: Customers, orders and parts as one graph of whole ids: customer to order to part.
+_ORDER_AT, _PART_AT = 1 << 40, 1 << 41
+EDGES = f"(SELECT o_custkey AS src, {_ORDER_AT} + o_orderkey AS dst FROM orders UNION SELECT {_ORDER_AT} + l_orderkey, {_PART_AT} + l_partkey FROM lineitem)"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    cust, key = F.col("o_custkey"), F.col("o_orderkey")
-    first = orders.select((cust % 97).alias("src"), (97 + key % 89).alias("dst"))
-    second = orders.select((97 + key % 89).alias("src"), (186 + cust % 83).alias("dst"))
+    first = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("src"), (F.lit(_ORDER_AT) + F.col("o_orderkey")).alias("dst"))
+    second = _table(spark, sf_dir, "lineitem").select((F.lit(_ORDER_AT) + F.col("l_orderkey")).alias("src"), (F.lit(_PART_AT) + F.col("l_partkey")).alias("dst"))
     return first.union(second).distinct()
 
 
-_CHAIN = "(SELECT DISTINCT o_orderkey % 50 AS src, o_orderkey % 50 + 1 + o_custkey % 3 AS dst FROM orders)"
+#: Orders as a hierarchy of whole keys with short cuts: each follows those at a half and at a third of its key.
+_CHAIN = "(SELECT o_orderkey // 2 AS src, o_orderkey AS dst FROM orders WHERE o_orderkey > 0 UNION SELECT o_orderkey // 3, o_orderkey FROM orders WHERE o_orderkey > 0)"
 
 
 def _chain(spark, sf_dir):
-    src = F.col("o_orderkey") % 50
-    return _table(spark, sf_dir, "orders").select(src.alias("src"), (src + 1 + F.col("o_custkey") % 3).alias("dst")).distinct()
+    """Key 0 is the root and follows nothing."""
+    of = _table(spark, sf_dir, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").cast("long").alias("dst"))
+    return of.select(F.explode(F.array(*(F.floor(F.col("dst") / n) for n in (2, 3)))).alias("src"), "dst").distinct()
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -486,12 +500,12 @@ def q_bfs_levels(spark, sf_dir):
     return workloads.levels_from(_chain(spark, sf_dir), spark.range(1).withColumnRenamed("id", "node"))
 
 
-_REACH = f"WITH RECURSIVE t(node) AS (SELECT CAST(40 AS BIGINT) UNION SELECT dst FROM t JOIN {_CHAIN} e ON e.src = t.node) SELECT node FROM t"
+_REACH = f"WITH RECURSIVE t(node) AS (SELECT CAST(7 AS BIGINT) UNION SELECT dst FROM t JOIN {_CHAIN} e ON e.src = t.node) SELECT node FROM t"
 
 
 @_query(_REACH)
 def q_stale_targets(spark, sf_dir):
-    return workloads.stale_targets(_chain(spark, sf_dir), spark.range(40, 41).withColumnRenamed("id", "node"))
+    return workloads.stale_targets(_chain(spark, sf_dir), spark.range(7, 8).withColumnRenamed("id", "node"))
 
 
 @_query(f"WITH RECURSIVE t(node, level) AS (SELECT node, 0 FROM (SELECT src AS node FROM {EDGES} EXCEPT SELECT dst FROM {EDGES}) UNION SELECT dst, level + 1 FROM t JOIN {EDGES} e ON e.src = t.node) SELECT node, CAST(max(level) AS BIGINT) AS value FROM t GROUP BY node")
@@ -565,8 +579,102 @@ def q_symv(spark, sf_dir):
 
 @_query(None)
 def q_trsv(spark, sf_dir):
-    a = _matrix(spark, sf_dir).where("i < 20 and j <= i").withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(100_000.0)).otherwise(F.col("v").cast("double")))
-    return linalg.trsv(a, spark.range(20).select(F.col("id").alias("i"), F.lit(1.0).alias("v")))
+    """All cells below the diagonal, which is set so that the solution is stable. Beyond SQL; tested against forward substitution."""
+    below = _matrix(spark, sf_dir).where("j < i").select("i", "j", F.col("v").cast("double").alias("v"))
+    diagonal = spark.range(40).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1e9).alias("v"))
+    return linalg.trsv(below.unionByName(diagonal), spark.range(40).select(F.col("id").alias("i"), F.lit(1e9).alias("v")))
+
+
+_SQUARE = f"(SELECT i, k AS j, CAST(v AS BIGINT) AS v FROM {_M} WHERE i < 30)"
+_LOWER = f"(SELECT * FROM {_SQUARE} WHERE j <= i)"
+_FULL = f"(SELECT * FROM {_LOWER} UNION ALL SELECT j, i, v FROM {_LOWER} WHERE i <> j)"
+_ONES = "(SELECT CAST(i AS BIGINT) AS i, CAST(i + 1 AS BIGINT) AS x, CAST(31 - i AS BIGINT) AS y FROM range(30) t(i))"
+
+
+def _square(spark, sf_dir):
+    """The 30 x 30 part of the matrix: all its columns, and as many rows."""
+    return _matrix(spark, sf_dir).where("i < 30")
+
+
+def _xy(spark):
+    rows = spark.range(30).withColumnRenamed("id", "i")
+    return rows.select("i", (F.col("i") + 1).alias("v")), rows.select("i", (31 - F.col("i")).alias("v"))
+
+
+@_query(f"SELECT i, CAST(7 * x AS BIGINT) AS v FROM {_VX}")
+def q_scal(spark, sf_dir):
+    return linalg.scal(_vector(spark, sf_dir), 7)
+
+
+@_query(f"SELECT i, CAST(x AS BIGINT) AS first, CAST(i AS BIGINT) AS second FROM {_VX}")
+def q_swap(spark, sf_dir):
+    x = _vector(spark, sf_dir)
+    first, second = linalg.swap(linalg.vcopy(x.select("i", F.col("i").alias("v"))), x)
+    return first.withColumnRenamed("v", "first").join(second.withColumnRenamed("v", "second"), "i")
+
+
+@_query(f"SELECT a.i, CAST(sum(a.v * o.x) AS BIGINT) AS v FROM {_LOWER} a JOIN {_ONES} o ON a.j = o.i GROUP BY a.i")
+def q_trmv(spark, sf_dir):
+    return linalg.trmv(_square(spark, sf_dir), _xy(spark)[0])
+
+
+@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 3 * a.x * b.x FROM {_ONES} a, {_ONES} b) GROUP BY i, j")
+def q_syr(spark, sf_dir):
+    return linalg.syr(_square(spark, sf_dir), _xy(spark)[0], 3)
+
+
+@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 2 * (a.x * b.y + a.y * b.x) FROM {_ONES} a, {_ONES} b) GROUP BY i, j")
+def q_syr2(spark, sf_dir):
+    return linalg.syr2(_square(spark, sf_dir), *_xy(spark), 2)
+
+
+def _times(a: str, b: str, factor: int = 1) -> str:
+    return f"SELECT a.i, b.j, {factor} * a.v * b.v AS v FROM {a} a JOIN {b} b ON a.j = b.i"
+
+
+def _summed(*products: str) -> str:
+    return f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM ({' UNION ALL '.join(products)}) GROUP BY i, j"
+
+
+_TURNED = f"(SELECT j AS i, i AS j, v FROM {_SQUARE})"
+
+
+@_query(_summed(_times(_FULL, _SQUARE)))
+def q_symm(spark, sf_dir):
+    a = _square(spark, sf_dir)
+    return linalg.symm(a, a)
+
+
+@_query(_summed(_times(_SQUARE, _TURNED, 2)))
+def q_syrk(spark, sf_dir):
+    return linalg.syrk(_square(spark, sf_dir), 2)
+
+
+@_query(_summed(_times(_SQUARE, _SQUARE, 2), _times(_TURNED, _TURNED, 2)))
+def q_syr2k(spark, sf_dir):
+    a = _square(spark, sf_dir)
+    return linalg.syr2k(a, linalg.transpose(a), 2)
+
+
+@_query(_summed(_times(_SQUARE, _SQUARE, 3)))
+def q_syrkx(spark, sf_dir):
+    a = _square(spark, sf_dir)
+    return linalg.syrkx(a, linalg.transpose(a), 3)
+
+
+@_query(_summed(_times(_LOWER, _SQUARE)))
+def q_trmm(spark, sf_dir):
+    a = _square(spark, sf_dir)
+    return linalg.trmm(a, a)
+
+
+@_query(f"SELECT i, k AS j, CAST(v AS BIGINT) AS v FROM {_M} WHERE i < 30")
+def q_trsm(spark, sf_dir):
+    """A triangular product, solved for its right side again."""
+    a = _square(spark, sf_dir)
+    lower = linalg.triangle(a.where("i <> j")).select("i", "j", F.col("v").cast("double").alias("v"))
+    lower = lower.unionByName(spark.range(30).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1e6).alias("v")))
+    return linalg.trsm(lower, linalg.gemm(lower, a)).select("i", "j", F.round("v").cast("long").alias("v")).join(a.select("i", "j"), ["i", "j"])
 
 
 @_query(f"SELECT a.i % 2 AS g, a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {_M} a JOIN {_M} b ON a.k = b.k AND a.i % 2 = b.i % 2 GROUP BY a.i, b.i")
@@ -585,6 +693,25 @@ def q_kmeans_iter(spark, sf_dir):
     return workloads.kmeans_assign(points, centers).select("vec_id", "center")
 
 
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Rounds of nearest centers and means, one after another; centers: c, i, v."""
+    steps = [f"p AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), c0 AS (SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS c, i, v FROM p WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {k}))"]
+    for r in range(rounds):
+        steps.append(f"d{r} AS (SELECT vec_id, c, round(sum((p.v - c.v) * (p.v - c.v)), 6) AS d FROM p JOIN c{r} c ON p.i = c.i GROUP BY vec_id, c)")
+        steps.append(f"a{r} AS (SELECT vec_id, arg_min(c, (d, c)) AS c FROM d{r} GROUP BY vec_id)")
+        steps.append(f"m{r} AS (SELECT c, i, avg(v) AS v FROM p JOIN a{r} USING (vec_id) GROUP BY c, i)")
+        steps.append(f"c{r + 1} AS (SELECT o.c, o.i, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m ON o.c = m.c AND o.i = m.i)")
+    return f"WITH {', '.join(steps)} SELECT CAST(c AS INTEGER) AS center, CAST(i - 1 AS INTEGER) AS i, CAST(round(v * 100000) AS BIGINT) AS v FROM c{rounds}"
+
+
+@_query(_kmeans_sql(4, 3))
+def q_kmeans_rounds(spark, sf_dir):
+    points = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    centers = workloads.kmeans(points, 4, 3, "vec_id")
+    rows = [(c, i, v) for c, center in enumerate(centers) for i, v in enumerate(center)]  # the model
+    return spark.createDataFrame(rows, "center int, i int, v double").select("center", "i", F.round(F.col("v") * 100_000).cast("long").alias("v"))
+
+
 @_query("SELECT CAST(count(*) AS BIGINT) AS primes FROM (SELECT i FROM range(2, 5000) t(i) WHERE NOT EXISTS (SELECT 1 FROM range(2, 71) d(d) WHERE d * d <= i AND i % d = 0))")
 def q_primes(spark, sf_dir):
     return ranges.index_range(spark, 0, 5000).where(workloads.is_prime(F.col("i"), 5000)).agg(F.count(F.lit(1)).alias("primes"))
@@ -666,18 +793,31 @@ def q_wavefront(spark, sf_dir):
 _CITIES = [[0 if a == b else (a * 5 + b * 5 + a * b * 3) % 23 + 1 for b in range(7)] for a in range(7)]
 
 
-@_query(None)
+_LEGS = "(VALUES " + ", ".join(f"({a}, {b}, {d})" for a, row in enumerate(_CITIES) for b, d in enumerate(row)) + ") l(a, b, d)"
+
+
+@_query(f"""WITH RECURSIVE l(a, b, d) AS (SELECT * FROM {_LEGS}), p(path, last, cost) AS (SELECT [0], 0, 0 UNION ALL
+SELECT list_append(path, b), b, cost + d FROM p JOIN l ON l.a = p.last WHERE NOT list_contains(path, b))
+SELECT CAST(cost + d AS INTEGER) AS cost, path FROM p JOIN l ON l.a = p.last AND l.b = 0 WHERE len(path) = 7 ORDER BY cost + d, path LIMIT 1""")
 def q_tsp(spark, sf_dir):
     return workloads.shortest_tour(spark, _CITIES)
 
 
-@_query(None)
+@_query(f"SELECT (SELECT count(*) FROM (SELECT src FROM {_CHAIN} UNION SELECT dst FROM {_CHAIN})) AS nodes, CAST(0 AS BIGINT) AS clashes, true AS few")
 def q_graph_coloring(spark, sf_dir):
+    """Whether the coloring is one: its nodes, edges whose ends have one color, and that a node's color is at most its number of neighbours."""
     edges = _chain(spark, sf_dir)
-    return workloads.greedy_coloring(_nodes(edges), edges)
+    colors = cut(workloads.greedy_coloring(_nodes(edges), edges))
+    of = lambda c: colors.select(F.col("node").alias(c), F.col("color").alias(f"{c}_color"))
+    ends = edges.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst")
+    clashes = ends.agg(F.count_if(F.col("src_color") == F.col("dst_color")).alias("clashes"))
+    near = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    few = colors.join(near, "node", "left").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(F.col("color") <= F.coalesce("n", F.lit(0))).alias("few"))
+    return few.withColumn("k", F.lit(1)).join(clashes.withColumn("k", F.lit(1)), "k").select("nodes", "clashes", "few")
 
 
-@_query(None)
+@_query("""SELECT run, CAST(coalesce(min(i) FILTER (('0x' || substr(md5('42:' || run || ':' || i), 1, 1))::INTEGER % 2 = 1), 64) AS BIGINT) AS flips
+FROM range(1000) r(run), range(1, 65) t(i) GROUP BY run""")
 def q_coin_flips(spark, sf_dir):
     return workloads.coin_flips(spark, 1000, 42)
 

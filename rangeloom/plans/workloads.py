@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,23 +13,46 @@ from rangeloom.plans.lineage import cut
 
 
 def mode_char(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The most frequent character of each text, the smallest of equally frequent ones: key, ch, n."""
-    chars = docs.select(key, F.explode(F.split(text, "")).alias("ch")).where("ch <> ''")
-    counts = chars.groupBy(key, "ch").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("less"), "ch"))
-    return counts.groupBy(key).agg(best.alias("b")).select(key, F.col("b.ch").alias("ch"), (-F.col("b.less")).alias("n"))
+    """The most frequent character of each text, the smallest of equally frequent ones: key, ch, n. Texts without characters have no row.
+
+    Narrow: each distinct character of a text is counted by what its removal takes away.
+    """
+    body, kinds = F.col(text), F.array_remove(F.array_distinct(F.split(text, "")), "")
+    best = F.array_min(F.transform(kinds, lambda c: F.struct((F.length(F.replace(body, c, F.lit(""))) - F.length(body)).cast("long").alias("less"), c.alias("ch"))))
+    return docs.where(F.length(body) > 0).select(key, best.alias("b")).select(key, F.col("b.ch").alias("ch"), (-F.col("b.less")).alias("n"))
+
+
+#: Levels that one job expands while the frontier has at most so many nodes.
+SEVERAL, NARROW = 6, 1000
+#: Tables that the nodes seen so far are spread over at most.
+PARTS = 16
 
 
 def levels_from(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Breadth-first levels (node, level): a frontier loop; each round joins the edges on the frontier only and is checkpointed."""
-    seen = cut(start.select("node", F.lit(0).alias("level")).distinct())
-    frontier, level = seen.select("node"), 0
-    while not frontier.isEmpty():
-        level += 1
-        near = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        found = cut(near.join(seen, "node", "left_anti").select("node", F.lit(level).alias("level")))
-        seen, frontier = seen.unionByName(found), found.select("node")
-    return seen
+    """Breadth-first levels (node, level): a frontier loop over edges that are written once. A round joins them on the frontier
+    only; while that is small and grows slowly, a round expands several levels, of which each new node gets its lowest."""
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier = cut(start.select("node", F.lit(0).alias("level")).distinct())
+    parts, level, size, last = [frontier], 0, frontier.count(), 0
+    while size:
+        steps = SEVERAL if size <= NARROW and (not last or size <= 2 * last) else 1
+        reached, near = [], frontier.select("node")
+        for step in range(1, steps + 1):
+            near = edges.join(near.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+            reached.append(near.withColumn("level", F.lit(level + step)))
+        lowest = reduce(DataFrame.unionByName, reached)
+        if steps > 1:
+            lowest = lowest.groupBy("node").agg(F.min("level").alias("level"))
+        seen = reduce(DataFrame.unionByName, parts)
+        found = cut(lowest.join(seen, "node", "left_anti").select("node", "level"))
+        parts.append(found)
+        if len(parts) > PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+        level += steps
+        # what was found below the round's last level has been expanded
+        frontier, last = found.where(F.col("level") == level), size
+        size = frontier.count()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -36,6 +60,7 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: str | None = None)
 
     Rounds relax the nodes whose value changed until none does; a cycle would not end, so rounds are bounded by the number of nodes.
     """
+    edges = cut(edges.select("src", "dst"))
     own = nodes.select("node", (F.col(weight) if weight else F.lit(0)).cast("long").alias("own"))
     step = F.col("own") if weight else F.lit(1)
     value = cut(own.select("node", "own", F.col("own").alias("value")))
@@ -187,8 +212,7 @@ def wavefront(spark: SparkSession, cost: DataFrame, n: int) -> DataFrame:
     for d in range(1, 2 * n - 1):
         came = last.select((F.col("i") + 1).alias("i"), "j", "v").unionByName(last.select("i", (F.col("j") + 1).alias("j"), "v")).groupBy("i", "j").agg(F.min("v").alias("before"))
         last = cost.where(F.col("i") + F.col("j") == d).join(came, ["i", "j"]).select("i", "j", (F.col("v") + F.col("before")).alias("v"))
-        if d % 8 == 0:
-            last = cut(last)
+        last = cut(last)
         done = done.unionByName(last)
     return done
 
@@ -208,9 +232,9 @@ def cholesky(a: list[list[float]]) -> list[list[float]]:
 
 
 def coin_flips(spark: SparkSession, runs: int, seed: int) -> DataFrame:
-    """How many flips each of the runs needs for its first head: run, flips; seeded by run."""
-    bit = lambda i: F.pmod(F.xxhash64(F.lit(seed), "run", i), F.lit(2)) == 1
-    first = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: bit(i)), True)
+    """How many flips each of the runs needs for its first head, 64 at most: run, flips. Flip i is the lowest bit of a digest's first digit, of seed, run and i."""
+    head = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("run").cast("string"), i.cast("string"))), 1, 1), 16, 10).cast("int") % 2 == 1
+    first = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(64)), head), True)
     return spark.range(runs).withColumnRenamed("id", "run").select("run", F.when(first > 0, first).otherwise(64).alias("flips"))
 
 

@@ -131,3 +131,70 @@ def test_scalars(spark):
     assert [r.n for r in got] == [0, 1, 2, 4, 4, 8, 1024, 1024]
     assert [r.p for r in got] == [False, True, True, False, True, False, False, True]
     assert [scalars.coprime(n) for n in (1, 2, 3, 6, 10)] == [1, 1, 2, 5, 9]
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 7, 99])
+def test_scans_by_key_run_across_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    rows = [(None if k == 4 else "abcd"[k], i, rng.choice([None, *range(9)])) for i in range(300) for k in [0 if rng.random() < 0.6 else rng.randrange(5)]]
+    df = spark.createDataFrame(rows, "k string, i long, x long").repartition(4)
+    got = {r.i: (r.up, r.down) for r in scan.exclusive_scan(scan.inclusive_scan(df, "x", ["i"], out="up", by=["k"], blocks=blocks), "x", [F.desc("i")], 5, out="down", by=["k"], blocks=blocks).collect()}
+    for i, (k, _, _) in enumerate(rows):
+        up = [x for key, j, x in rows if key == k and j <= i and x is not None]
+        down = [x for key, j, x in rows if key == k and j > i and x is not None]
+        assert got[i] == (sum(up) if up else None, 5 + sum(down))
+
+
+def test_positions_of_tied_rows_spread_over_blocks(spark):
+    df = spark.createDataFrame([("same",)] * 400 + [("a",)] * 3, "k string").repartition(4)
+    rows = scan.with_position(df, ["k"], blocks=8)
+    assert sorted(r.pos for r in rows.collect()) == list(range(403)) and {r.pos for r in rows.where("k = 'a'").collect()} == {0, 1, 2}
+    blocks = scan.in_blocks(df, ["k"], 8).groupBy("_block").count().collect()
+    assert len(blocks) > 4 and max(r["count"] for r in blocks) < 200
+    down = scan.with_position(spark.range(50), [F.desc("id")], blocks=5).collect()
+    assert all(r.pos == 49 - r.id for r in down)
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_custom_scans_stream_through_blocks(spark, blocks):
+    df, values = frame(spark, 130, 3, seed=7)
+    got = {r.pos: r.x for r in scan.scan_custom(df, "x", ["pos"], lambda a, b: a * 10 % 97 + b, out="x", out_type="long", blocks=1).collect()}
+    assert got == dict(enumerate(itertools.accumulate(values, lambda a, b: a * 10 % 97 + b)))
+    high = {r.pos: r.scan for r in scan.scan_custom(df, "x", ["pos"], max, init=3, out_type="long", blocks=blocks).collect()}
+    assert high == dict(enumerate(list(itertools.accumulate([3, *values], max))[1:]))
+
+
+def test_merge_by_comparators(spark):
+    a, b = (spark.createDataFrame(x, "k long, i long") for x in ([(9, 0), (4, 1), (4, 2)], [(9, 0), (7, 1), (1, 2)]))
+    assert [(r.k, r.src) for r in order.merge(a, b, "k", ["i"], ["i"], descending=True).orderBy("pos").collect()] == [(9, 1), (9, 2), (7, 2), (4, 1), (4, 1), (1, 2)]
+    assert [(r.k, r.src) for r in order.merge(a, b, "k", ["i"], ["i"], rank=lambda k: k % 2).orderBy("pos").collect()] == [(4, 1), (4, 1), (9, 1), (9, 2), (7, 2), (1, 2)]
+
+
+def test_breadth_first_levels(spark):
+    rng = random.Random(2)
+    for edges in ([(i, i + 1) for i in range(40)] + [(40, 0)], [(rng.randrange(60), rng.randrange(60)) for _ in range(150)], [(0, i) for i in range(1, 30)]):
+        want, now, level = {0: 0}, {0}, 0
+        while now:
+            level += 1
+            now = {b for a, b in edges if a in now} - set(want)
+            want.update(dict.fromkeys(now, level))
+        found = workloads.levels_from(spark.createDataFrame(edges, "src long, dst long"), spark.range(1).withColumnRenamed("id", "node"))
+        assert {r.node: r.level for r in found.collect()} == want
+
+
+def test_triangular_solve_of_many_rows(spark):
+    rng = random.Random(1)
+    n = 40
+    a = [[rng.randrange(9) if j < i else 50.0 if i == j else 0 for j in range(n)] for i in range(n)]
+    b, x = [rng.randrange(100) for _ in range(n)], []
+    for i in range(n):
+        x.append((b[i] - sum(a[i][j] * x[j] for j in range(i))) / a[i][i])
+    cells = spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(a) for j, v in enumerate(row) if v], "i long, j long, v double")
+    got = {r.i: r.v for r in linalg.trsv(cells, spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, v double")).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(x)
+
+
+def test_mode_char(spark):
+    docs = [(1, "abbaé"), (2, ""), (3, None), (4, "日日x"), (5, "z" * 100_000)]
+    got = {r.i: (r.ch, r.n) for r in workloads.mode_char(spark.createDataFrame(docs, "i long, t string"), "i", "t").collect()}
+    assert got == {1: ("a", 2), 4: ("日", 2), 5: ("z", 100_000)}
