@@ -875,16 +875,19 @@ def q_condition_loop(spark, sf_dir):
 
 @_query("SELECT CAST(40 AS BIGINT) AS ran, true AS within")
 def q_semaphore(spark, sf_dir):
-    """Forty tasks of which at most three run at a time."""
+    """Forty tasks of which at most three run at a time, and three do: the first ones wait until all three are there."""
     import threading
 
-    graph, limit, lock = dag.TaskGraph(), dag.Semaphore(3), threading.Lock()
+    graph, limit, lock, full = dag.TaskGraph(), dag.Semaphore(3), threading.Lock(), threading.Event()
     now, most, ran = [0], [0], [0]
 
     def body() -> None:
         with lock:
             now[0] += 1
             most[0] = max(most[0], now[0])
+            if now[0] == 3:
+                full.set()
+        full.wait(30)
         with lock:
             now[0] -= 1
             ran[0] += 1
@@ -892,7 +895,7 @@ def q_semaphore(spark, sf_dir):
     for _ in range(40):
         graph.emplace(body).acquire(limit).release(limit)
     dag.Executor().run(graph).get()
-    return spark.createDataFrame([(ran[0], most[0] <= 3)], "ran long, within boolean")
+    return spark.createDataFrame([(ran[0], most[0] == 3)], "ran long, within boolean")
 
 
 @_query(f"SELECT CAST(sum(v) AS BIGINT) AS a, CAST(max(v) AS BIGINT) AS b FROM {EVENTS}")

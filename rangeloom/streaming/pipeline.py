@@ -1,7 +1,8 @@
 """Typed token pipelines over DataFrames: chained transforms for bounded inputs, foreachBatch for streams.
 
-A token is a row with columns token and line (token mod lines). PARALLEL stages are narrow maps; a SERIAL stage sees the
-tokens of its input in order. The first stage must be SERIAL.
+A token is a row with columns token and line (token mod lines). PARALLEL stages are narrow maps. A SERIAL stage gets its
+tokens by ranges: each partition holds a range of tokens in order, and the partitions follow one another, so a stage that works
+partition by partition sees a stretch of the stream; one that needs all tokens before a token uses the prefix scans. The first stage must be SERIAL.
 """
 
 from __future__ import annotations
@@ -64,11 +65,15 @@ class Pipeline:
         return len(self.pipes)
 
     def apply(self, tokens: DataFrame) -> DataFrame:
-        """All stages over a frame with a column token. Serial stages after a parallel one get their rows sorted by token within range partitions."""
-        df = tokens.withColumn("line", (F.col("token") % self.lines).cast("int"))
+        """All stages over a frame with a column token.
+
+        The tokens are dealt into ranges once, before the first stage, and sorted there; later serial stages sort their
+        partitions again, which are still ranges as long as the stages before are narrow. The lines bound nothing here: a token
+        is a row, and Spark pulls rows through the stages one batch at a time, which is the back-pressure of a bounded run."""
+        df = tokens.withColumn("line", (F.col("token") % self.lines).cast("int")).repartitionByRange("token")
         for i, pipe in enumerate(self.pipes):
             df = _checked(df, pipe.takes, f"input of pipe {i}")
-            if pipe.kind == SERIAL and i:
+            if pipe.kind == SERIAL and "token" in df.columns:
                 df = df.sortWithinPartitions("token")
             df = _checked(pipe.fn(df), pipe.gives, f"output of pipe {i}")
         return df
@@ -84,21 +89,37 @@ class Pipeline:
     def stream(self, source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, order: list[str] | None = None):
         """An unbounded run by micro-batches that follow one another; tokens go on from batch to batch, in `order` within each.
 
-        The token base is of this run of the query; a sink that must survive restarts should key on the batch id.
+        The first token of each batch is kept beside the query's checkpoint: a restarted query goes on where it was, and a
+        batch that is run again gets the tokens it had. At most one batch is in flight; readStream's maxFilesPerTrigger and the like bound it.
         """
         from rangeloom.operators.scan import with_position
 
-        base = {"tokens": self.num_tokens}
+        bases = f"{checkpoint.rstrip('/')}/token-bases"
 
         def batch(df: DataFrame, batch_id: int) -> None:
-            rows = with_position(df, order, "token").withColumn("token", F.col("token") + base["tokens"]) if order else df
+            spark = df.sparkSession
+            kept = _kept_bases(spark, bases)
+            base = kept.get(batch_id, self.num_tokens if batch_id == 0 else None)
+            if base is None:
+                raise ValueError(f"the first token of batch {batch_id} is not in {bases}")
+            rows = with_position(df, order, "token").withColumn("token", F.col("token") + base) if order else df
             sink(self.apply(rows), batch_id)
-            base["tokens"] += df.count()
-            self.num_tokens = base["tokens"]
+            self.num_tokens = base + df.count()
+            spark.createDataFrame([(batch_id + 1, self.num_tokens)], "batch long, base long").coalesce(1).write.mode("overwrite").parquet(f"{bases}/batch={batch_id + 1}")
 
         return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _kept_bases(spark, path: str) -> dict[int, int]:
+    """The first tokens of the batches begun so far, of the last two of them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return {}
+    numbers = sorted(int(x.getPath().getName().split("=")[1]) for x in files.listStatus(at))[-2:]
+    return {n: spark.read.schema("batch long, base long").parquet(f"{path}/batch={n}").first()["base"] for n in numbers}
+
+
 class ScalablePipeline(Pipeline):
     """A pipeline whose stages come as a list that may change between runs."""
 

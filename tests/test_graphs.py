@@ -143,3 +143,100 @@ def test_deferred_tokens_come_after_what_they_wait_for(spark):
     waits = spark.createDataFrame([(1, 3), (3, 5), (2, 99), (6, 1)], "token long, on long")
     got = [r.token for r in deferred_order(tokens, waits).orderBy("pos").collect()]
     assert got == [2, 4, 5, 7, 3, 1, 6]
+
+
+def test_workers_bound_the_threads():
+    executor, now, most, threads, lock = dag.Executor(workers=3), [0], [0], [0], threading.Lock()
+    before = threading.active_count()
+
+    def body():
+        with lock:
+            now[0] += 1
+            most[0], threads[0] = max(most[0], now[0]), max(threads[0], threading.active_count() - before)
+        time.sleep(0.0005)
+        with lock:
+            now[0] -= 1
+
+    graph = dag.TaskGraph()
+    for _ in range(1000):
+        graph.emplace(body)
+    executor.run(graph).get()
+    assert 2 <= most[0] <= 3 and threads[0] <= 16 and executor.num_waiting == 0
+    executor.wait_for_all()
+
+
+@pytest.mark.parametrize("workers", [1, 2])
+def test_waiting_tasks_give_their_place_away(workers):
+    executor, seen = dag.Executor(workers=workers), []
+    inner = dag.TaskGraph()
+    inner.emplace(*(lambda x=x: seen.append(x) for x in range(5)))
+    graph = dag.TaskGraph()
+    limit = dag.Semaphore(1)
+    for _ in range(4):
+        graph.runtime(lambda rt: (rt.async_(lambda: seen.append("child")).result(), rt.corun(inner))).acquire(limit).release(limit)
+        graph.composed_of(inner)
+    executor.run(graph).get(60)
+    assert len(seen) == 4 * (1 + 5) + 4 * 5
+    done = []
+    executor.async_(lambda: executor.corun_until(lambda: bool(done)))
+    executor.async_(lambda: done.append(1)).result(30)
+    executor.wait_for_all()
+
+
+def test_runtime_schedules_a_task_and_dependencies_go():
+    graph, seen = dag.TaskGraph(), []
+    a, c = graph.emplace(lambda: None), graph.condition(lambda: 7)
+    target = graph.emplace(lambda: seen.append("target"))
+    late = graph.emplace(lambda: seen.append("late"))
+    c.precede(target)  # never picked
+    a.precede(c)
+    target.precede(late)
+    run = graph.runtime(lambda rt: rt.schedule(target))
+    graph.remove_dependency(a, c)
+    assert a.num_successors == 0 and c.num_predecessors == 0
+    visited = []
+    target.for_each_successor(visited.append)
+    target.for_each_predecessor(visited.append)
+    assert visited == [late, c] and run.num_predecessors == 0
+    dag.Executor().run(graph).get(30)
+    assert seen == ["target", "late"]
+
+
+def test_recorded_runs_feed_the_analytics(spark):
+    from rangeloom.plans import observe
+
+    executor, graph = dag.Executor(workers=2), dag.TaskGraph()
+    seen = executor.observe(dag.Recorder(uid=5))
+    for i in range(6):
+        graph.emplace(lambda: time.sleep(0.003), name=f"task{i}")
+    executor.run(graph).get()
+    segments = seen.as_frame(spark)
+    assert seen.num_workers == 2 and {r.name for r in segments.collect()} == {f"task{i}" for i in range(6)}
+    assert observe.type_stats(segments).first().n == 6 and observe.wall_time(segments).first()[0] >= 9000
+    assert all(0 < r.utilization <= 100 for r in observe.utilization(segments).collect())
+
+
+def test_serial_stages_see_ranges_in_order(spark):
+    def watched(frames):
+        for f in frames:
+            yield f.assign(sorted_=f["token"].is_monotonic_increasing, lo=f["token"].min(), hi=f["token"].max())
+
+    stage = lambda d: d.select("token").mapInPandas(watched, "token long, sorted_ boolean, lo long, hi long")
+    tokens = spark.range(1000).select((F.lit(999) - F.col("id")).alias("token")).repartition(8)
+    for pipes in ([Pipe(SERIAL, stage)], [Pipe(SERIAL, lambda d: d), Pipe(PARALLEL, lambda d: d), Pipe(SERIAL, stage)]):
+        rows = Pipeline(4, *pipes).apply(tokens).collect()
+        assert len(rows) == 1000 and all(r.sorted_ for r in rows)
+        ranges = sorted({(r.lo, r.hi) for r in rows})
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def test_tokens_go_on_after_a_restart(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    out = []
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).withColumnRenamed("id", "v").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("v long").parquet(source)
+        p = Pipeline(3, Pipe(SERIAL, lambda d: d))  # a new process knows no tokens
+        p.stream(stream, lambda df, _: out.extend(df.collect()), check, ["v"]).awaitTermination(60)
+        assert p.num_tokens == 10 * (part + 1)
+    assert sorted((r.token, r.v) for r in out) == [(i, i) for i in range(30)]
