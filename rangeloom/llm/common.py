@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at a time; a single longer text is taken whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 @cache
@@ -25,6 +25,21 @@ def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="rangeloom-")
 
 
+#: The setting that bounds Arrow batches, its default, and what batches of whole texts are bounded to.
+_BATCH, _DEFAULT, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 15 << 18
+#: The setting of rows that a Parquet reader decodes at a time, its default, and what it is set to for whole texts.
+_ROWS, _DEFAULT_ROWS, _TEXTS = "spark.sql.parquet.columnarReaderBatchSize", 4096, 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of Arrow and of Parquet readers in this session unless it has bounds of its own: thousands of whole texts
+    would be held several times over, by the executor and by each Python worker."""
+    if int(str(spark.conf.get(_BATCH)).rstrip("b")) == _DEFAULT:
+        spark.conf.set(_BATCH, str(_BYTES))
+    if int(spark.conf.get(_ROWS)) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(_TEXTS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, local masters (tests) use a temporary folder; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -54,6 +69,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read from there: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -76,6 +92,7 @@ class Scratch:
     def saved(self, df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
         """As saved; `instead` is a table of this scratch that df may read, and nothing after it."""
         spark = df.sparkSession
+        small_batches(spark)
         path = new_path(spark, name)
         df.write.parquet(path)
         out = spark.read.schema(df.schema).parquet(path)
@@ -104,6 +121,7 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

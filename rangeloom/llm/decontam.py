@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, chunks, list_array, number_of, numbered, passed_through, saved, text_bytes, tidy, without, words_of
+from .common import ALNUM, Words, chunks, list_array, number_of, numbered, passed_through, saved, small_batches, text_bytes, tidy, without, words_of
 
 #: Bytes of item text in one automaton, about; this bounds what is broadcast.
 BLOCK_BYTES = 1 << 20
@@ -254,6 +254,38 @@ def _blocks(items: DataFrame, window: int) -> tuple[DataFrame, int]:
     return saved(pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")), "items"), blocks
 
 
+class _Search:
+    """A search of documents for items. Rows have numbered columns, `body` is the text's."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, window: int, text: str, item_id: str, item_text: str):
+        small_batches(docs.sparkSession)
+        self.spark, self.window, self.rows, self.body = docs.sparkSession, window, numbered(docs), number_of(docs, text)
+        self.items, self.blocks = _blocks(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window)
+
+    def automaton(self, block: int) -> Broadcast:
+        part = [(r["item"] or "", r["text"]) for r in self.items.where(F.col("block") == block).collect()]  # a block of bounded size
+        return self.spark.sparkContext.broadcast(ItemAutomaton(sorted(part, key=lambda r: (r[0], r[1] or "")), self.window))
+
+    def passed(self, of: DataFrame, automaton: Broadcast, names: list[str], hits_only: bool) -> DataFrame:
+        """The columns `names` of the rows, with words, spans and items, after one block's pass."""
+        kinds = dict(of.dtypes)
+        sent = of.select(self.body, *(c for c in names if c != self.body))
+        return sent.mapInArrow(tidy(_pass(automaton, names, hits_only)), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), _FOUND]))
+
+    def joined(self) -> DataFrame:
+        """The rows with the spans and items of all blocks: block by block, each automaton taken back before the next."""
+        keyed, hits = self.rows.withColumn("digest", F.md5(self.body)), []
+        for block in range(self.blocks):
+            automaton = self.automaton(block)
+            found = self.passed(keyed, automaton, ["digest"], True)
+            hits.append(saved(found.dropDuplicates(["digest"]).select("digest", "spans", "items"), "hits"))
+            automaton.destroy()
+        whole = reduce(DataFrame.unionByName, hits).groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        out = keyed.join(saved(whole.select("digest", _union(F.col("spans")).alias("spans"), "items"), "hits"), "digest", "left")
+        return out.withColumns({"words": word_count(F.col(self.body)), "spans": F.coalesce("spans", none("int")), "items": F.coalesce("items", none("string"))})
+
+
 def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents with _dc_words (words of the text), _dc_spans (flat first, end word positions of hit runs) and _dc_items (ids, as strings, of items with occurring windows).
 
@@ -262,30 +294,8 @@ def find_spans(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     window. Null or empty texts have no words, items without words are ignored, an item
     without an id never counts (its words do), repeated rows are each searched. Columns of the documents with the names of the added ones give way.
     """
-    spark = docs.sparkSession
-    items, blocks = _blocks(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")), window)
-    rows, body = numbered(docs), number_of(docs, text)
-
-    def searched(of: DataFrame, block: int, names: list[str], hits_only: bool) -> tuple[DataFrame, Broadcast]:
-        """The columns `names` of the rows after one block's pass."""
-        part = [(r["item"] or "", r["text"]) for r in items.where(F.col("block") == block).collect()]  # a block of bounded size
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(sorted(part, key=lambda r: (r[0], r[1] or "")), window))
-        kinds = dict(of.dtypes)
-        sent = of.select(body, *(c for c in names if c != body))
-        return sent.mapInArrow(tidy(_pass(automaton, names, hits_only)), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), _FOUND])), automaton
-
-    if blocks == 1:
-        out, _ = searched(rows, 0, rows.columns, False)
-    else:
-        keyed, hits = rows.withColumn("digest", F.md5(body)), []
-        for block in range(blocks):
-            found, automaton = searched(keyed, block, ["digest"], True)
-            hits.append(saved(found.dropDuplicates(["digest"]).select("digest", "spans", "items"), "hits"))
-            automaton.destroy()
-        whole = reduce(DataFrame.unionByName, hits).groupBy("digest").agg(F.collect_list("spans").alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        none = lambda kind: F.array().cast(f"array<{kind}>")
-        joined = keyed.join(saved(whole.select("digest", _union(F.col("spans")).alias("spans"), "items"), "hits"), "digest", "left")
-        out = joined.withColumns({"words": word_count(F.col(body)), "spans": F.coalesce("spans", none("int")), "items": F.coalesce("items", none("string"))})
+    search = _Search(docs, items, window, text, item_id, item_text)
+    out = search.joined() if search.blocks > 1 else search.passed(search.rows, search.automaton(0), search.rows.columns, False)
     named = [F.col(number_of(docs, c)).alias(c) for c in without(docs.columns, SPANS)]
     return out.select(*named, F.col("words").alias("_dc_words"), F.col("spans").alias("_dc_spans"), F.array_remove("items", "").alias("_dc_items"))
 
@@ -306,37 +316,53 @@ def span_words() -> F.Column:
     )
 
 
-def _cut(longest: int):
-    """Batches of a text, its spans and other columns, with the spans cut out of the text."""
+def _cut_out(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]], longest: int) -> str:
+    """The text without its spans of at least `longest` words; starts and ends are the words' byte positions in it."""
+    kept, at = [], 0
+    for first, end in spans:
+        if end - first >= longest:
+            kept.append(raw[at : starts[first]])
+            at = int(ends[end - 1])
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _cleaned(spans_of, longest: int, coverage: float):
+    """Batches whose first column is a text, without the rows that are mostly spans and with the spans of others cut out. spans_of: (batch, its words) to (row, spans)."""
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, 0):
                 text = text_bytes(batch.column(0))
-                column = batch.column(0).to_pylist()
-                for row, flat in enumerate(batch.column(1).to_pylist()):
-                    if not flat:
+                words = words_of(text, ALNUM)
+                last = np.cumsum(words.rows)
+                keep, column = np.ones(batch.num_rows, bool), None
+                for row, spans in spans_of(batch, words):
+                    if sum(end - first for first, end in spans) > coverage * words.rows[row]:
+                        keep[row] = False
                         continue
-                    raw = text.data[text.offsets[row] : text.offsets[row + 1]].tobytes()
-                    words = words_of(text_bytes(pa.array([raw], pa.binary())), ALNUM)
-                    kept, at = [], 0
-                    for first, end in zip(flat[::2], flat[1::2], strict=True):
-                        if end - first >= longest:
-                            kept.append(raw[at : words.starts[first]])
-                            at = int(words.ends[end - 1])
-                    column[row] = b"".join([*kept, raw[at:]]).decode()
-                names = batch.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()), *batch.columns[2:]], names=[names[0], *names[2:]])
+                    column = column or batch.column(0).to_pylist()
+                    own, at = slice(last[row] - words.rows[row], last[row]), text.offsets[row]
+                    column[row] = _cut_out(text.data[at : text.offsets[row + 1]].tobytes(), words.starts[own] - at, words.ends[own] - at, spans, longest)
+                done = batch if column is None else batch.set_column(0, batch.schema.names[0], pa.array(column, pa.string()))
+                yield done if keep.all() else done.filter(pa.array(keep))
 
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 1, coverage: float = 0.5, text: str = "text", **columns: str) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 1, coverage: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without test items: spans of at least `longest` hit words are cut out of the text, and documents with more than `coverage` of their words in hit spans are dropped. Other rows and columns stay as they are."""
-    rows, body = numbered(docs), number_of(docs, text)
-    found = find_spans(rows, items, window, body, **columns).where(span_words() <= F.lit(coverage) * F.col("_dc_words"))
-    others, of = [c for c in rows.columns if c != body], dict(rows.dtypes)
-    out = found.select(body, "_dc_spans", *others).mapInArrow(tidy(_cut(longest)), ", ".join(f"{c} {of[c] if c != body else 'string'}" for c in (body, *others)))
+    search = _Search(docs, items, window, text, item_id, item_text)
+    rows, body, kinds = search.rows, search.body, dict(search.rows.dtypes)
+    others = [c for c in rows.columns if c != body]
+    if search.blocks == 1:  # spans are found and cut in one pass
+        automaton, sent = search.automaton(0), rows.select(body, *others)
+        run = _cleaned(lambda _, words: ((row, _merged(spans)) for row, spans, _ in _found_in(automaton.value, words)), longest, coverage)
+    else:
+        sent = search.joined().select(body, *others, F.col("spans").alias("spans"))
+        found = lambda batch, _: ((row, list(zip(flat[::2], flat[1::2], strict=True))) for row, flat in enumerate(batch.column(batch.num_columns - 1).to_pylist()) if flat)
+        run = _cleaned(found, longest, coverage)
+        kinds["spans"] = "array<int>"
+    out = sent.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c]}" for c in sent.columns))
     return out.select(*rows.columns).toDF(*docs.columns)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, number_of, numbered, saved, tidy, without
+from .common import chunks, number_of, numbered, saved, small_batches, tidy, without
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A null doc_id stands for one document after all others.
@@ -257,6 +257,7 @@ class LineIndex:
     ROWS = 500_000
 
     def __init__(self, spark: SparkSession, shortest: int = 10, shards: int | None = None):
+        small_batches(spark)
         self.spark, self.shortest, self.shards = spark, shortest, shards
         self.postings = spark.createDataFrame([], "key binary, doc_id long")
         self.refs = spark.createDataFrame([], "key binary, n long, lo long, hi long")

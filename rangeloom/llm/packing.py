@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import small_batches, tidy
 
 #: The pattern of the rank files' pretokens, and the free id that ends a document.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -158,6 +158,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, ranks: str = RANKS, doc_
     document of each segment and the token of it that the segment begins with. A document ends with one end id, so null and empty
     texts are one token, and no rows give none; documents longer than `length` are split, and joined by starts they are whole again.
     """
+    small_batches(docs.sparkSession)
     with open(ranks, "rb") as file:
         table = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: of fixed size
     rows = docs.select(F.col(doc_id), F.col(text))

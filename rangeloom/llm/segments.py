@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, Text, chunks, list_array, mixed, text_bytes, tidy
+from .common import Table, Text, chunks, list_array, mixed, small_batches, text_bytes, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, and the form of byte pieces.
@@ -34,7 +34,7 @@ LITERAL = 0x110000
 #: Log weight of a byte piece below that of the last piece.
 BYTE_PENALTY = 4.0
 #: Bytes of text whose lattice is laid out at a time; a longer text is taken whole.
-CHUNK = 3 << 18
+CHUNK = 1 << 19
 
 
 class Vocabulary(NamedTuple):
@@ -460,6 +460,7 @@ def sample_segmentations(docs: DataFrame, k: int = 3, alpha: float = 0.5, seed:
     empty text has one segmentation of no pieces. Every sample decodes to the whole text.
     A text is one row in and k rows out, so the longest must fit in a task, with about 60 bytes for each of its own.
     """
+    small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(load(model))  # a vocabulary: of fixed size
     rows = docs.select(F.col(key), F.col(text), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_key"))
     kind = rows.schema[0].dataType.simpleString()

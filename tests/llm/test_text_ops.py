@@ -434,3 +434,15 @@ def test_shards_are_those_of_the_heap_over_all_groups(spark, seed, shards):
     for s in range(shards):
         mine = sorted((r.slot, r.doc_id) for r in rows if r.shard == s)
         assert [m[0] for m in mine] == list(range(len(mine))) and [m[1] for m in mine] == sorted(m[1] for m in mine)
+
+
+def test_spans_are_cut_alike_with_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(15))) for i in range(40)]
+    docs = [(i, f"{word()} É, {rng.choice(items)[1]}! {' '.join(word() for _ in range(rng.randrange(40)))}\n{rng.choice(items)[1][:30]}") for i in range(40)] + [(50, None), (51, "")]
+    df, bench = documents(spark, [(i, t, "s") for i, t in docs]), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontam.decontaminate(df, bench).collect(), key=lambda r: r.doc_id)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 500)
+    assert sorted(decontam.decontaminate(df, bench).collect(), key=lambda r: r.doc_id) == one
+    assert 2 <= len(one) < 42 and any(r.text != dict(docs)[r.doc_id] for r in one)
