@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rangeloom.plans.lineage import cut
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -118,25 +125,51 @@ def trmm(a: DataFrame, b: DataFrame, upper: bool = False) -> DataFrame:
     return gemm(triangle(a, upper), b)
 
 
-def trsm(a: DataFrame, b: DataFrame, upper: bool = False, limit: int = 2048) -> DataFrame:
-    """x of a x = b for a triangular a of at most `limit` rows: columns of b are solved side by side, each in one group."""
-    import pandas as pd
-
-    rows = [(r["i"], r["j"], r["v"]) for r in triangle(a, upper).limit(limit * limit + 1).collect()]  # bounded, checked
-    if len({r[0] for r in rows}) > limit:
-        raise ValueError(f"the triangular matrix has more than {limit} rows")
-    cells: dict[int, dict[int, float]] = {}
-    for i, j, v in rows:
-        cells.setdefault(i, {})[j] = float(v)
-    order = sorted(cells, reverse=upper)
+def _diagonal(cells: list, upper: bool) -> Callable:
+    """Solves right sides (i, j, v) against one block on the diagonal: its rows in turn, all columns of a group side by side."""
+    ids = sorted({c["i"] for c in cells}, reverse=upper)
+    place = {i: r for r, i in enumerate(ids)}
+    dense = np.zeros((len(ids), len(ids)))
+    for c in cells:
+        if c["j"] in place:
+            dense[place[c["i"]], place[c["j"]]] = c["v"]
+    if not dense.diagonal().all():
+        raise ValueError("a triangular matrix with a zero on its diagonal has no solution")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        right, x = dict(zip(pdf["i"], pdf["v"], strict=True)), {}
-        for i in order:
-            x[i] = (right.get(i, 0.0) - sum(v * x[j] for j, v in cells[i].items() if j != i)) / cells[i][i]
-        return pd.DataFrame({"i": list(x), "j": pdf["j"].iloc[0], "v": list(x.values())})
-
-    return b.select("i", "j", F.col("v").cast("double").alias("v")).groupBy("j").applyInPandas(solve, "i long, j long, v double")
+        pdf = pdf[pdf["i"].isin(place)]
+        columns, at = np.unique(pdf["j"], return_inverse=True)
+        x = np.zeros((len(ids), len(columns)))
+        np.add.at(x, (pdf["i"].map(place).to_numpy(np.int64), at), pdf["v"].to_numpy())
+        for r in range(len(ids)):
+            x[r] = (x[r] - dense[r, :r] @ x[:r]) / dense[r, r]
+        row, column = np.nonzero(x)
+        return pd.DataFrame({"i": np.array(ids, np.int64)[row], "j": columns[column], "v": x[row, column]})
+
+    return solve
+
+
+def trsm(a: DataFrame, b: DataFrame, upper: bool = False, block: int = 512) -> DataFrame:
+    """x of a x = b for a triangular a: entries of x that are not zero, for the rows that a has.
+
+    Substitution by blocks of rows whose numbers share i // block: a block on the diagonal (at most block^2 cells, on the driver)
+    is solved for 64 columns of b a group, then one product takes its part out of the rows that are left. Rows of any number
+    take as many rounds as they have blocks.
+    """
+    of = lambda c: F.floor(F.col(c) / block)
+    a = cut(triangle(a, upper).select("i", "j", F.col("v").cast("double").alias("v"), of("i").alias("at"), of("j").alias("from")))
+    rest = b.select("i", "j", F.col("v").cast("double").alias("v"))
+    blocks = sorted((r["at"] for r in a.select("at").distinct().collect()), reverse=upper)  # a number for each block
+    found = []
+    for n, at in enumerate(blocks):
+        cells = a.where((F.col("at") == at) & (F.col("from") == at)).collect()
+        groups = rest.where(of("i") == at).groupBy(F.floor(F.col("j") / 64))
+        found.append(cut(groups.applyInPandas(_diagonal(cells, upper), "i long, j long, v double")))
+        if n + 1 < len(blocks):
+            beyond = (lambda c: c < at) if upper else (lambda c: c > at)  # noqa: B023
+            taken = gemm(a.where((F.col("from") == at) & beyond(F.col("at"))), found[-1])
+            rest = cut(geam(rest.where(beyond(of("i"))), taken, 1, -1))
+    return reduce(DataFrame.unionByName, found) if found else rest.limit(0)
 
 
 def trsv(a: DataFrame, x: DataFrame, upper: bool = False) -> DataFrame:

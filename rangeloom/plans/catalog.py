@@ -522,24 +522,32 @@ def q_pert(spark, sf_dir):
     return workloads.longest_paths(_nodes(edges).withColumn("w", F.col("node") % 11 + 1), edges, "w")
 
 
-_M = "(SELECT i, k, sum(v) AS v FROM (SELECT l_orderkey % 40 AS i, l_partkey % 30 AS k, CAST(l_quantity AS BIGINT) AS v FROM lineitem) GROUP BY i, k)"
+#: Quantities by supplier and part: a sparse matrix of whole keys. It is square over the parts' keys, its rows beyond the suppliers are zero.
+_M = "(SELECT l_suppkey AS i, l_partkey AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)"
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("i"), (F.col("l_partkey") % 30).alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").cast("long").alias("v"))
     return rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+#: A vector over the parts' keys.
+_ONES = "(SELECT p_partkey AS i, p_partkey + 1 AS x FROM part)"
+
+
+def _ones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), (F.col("p_partkey") + 1).alias("v"))
+
+
 @_query(f"SELECT a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {_M} a JOIN {_M} b ON a.k = b.k GROUP BY a.i, b.i")
 def q_matmul(spark, sf_dir):
     a = _matrix(spark, sf_dir)
     return linalg.gemm(a, linalg.transpose(a))
 
 
-@_query(f"SELECT i, CAST(sum(v * (k + 1)) AS BIGINT) AS v FROM {_M} GROUP BY i")
+@_query(f"SELECT m.i, CAST(sum(m.v * o.x) AS BIGINT) AS v FROM {_M} m JOIN {_ONES} o ON m.k = o.i GROUP BY m.i")
 def q_spmv(spark, sf_dir):
-    x = spark.range(30).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
-    return linalg.gemv(_matrix(spark, sf_dir), x)
+    return linalg.gemv(_matrix(spark, sf_dir), _ones(spark, sf_dir))
 
 
 @_query(f"SELECT k AS i, i AS j, CAST(v AS BIGINT) AS v FROM {_M}")
@@ -547,11 +555,11 @@ def q_transpose(spark, sf_dir):
     return linalg.transpose(_matrix(spark, sf_dir))
 
 
-_VX = f"(SELECT i, CAST(sum(v) AS BIGINT) - 20000 AS x FROM {_M} GROUP BY i)"
+_VX = f"(SELECT i, CAST(sum(v) AS BIGINT) - 15000 AS x FROM {_M} GROUP BY i)"
 
 
 def _vector(spark, sf_dir):
-    return _matrix(spark, sf_dir).groupBy("i").agg((F.sum("v") - 20000).alias("v"))
+    return _matrix(spark, sf_dir).groupBy("i").agg((F.sum("v") - 15000).alias("v"))
 
 
 @_query(f"SELECT CAST(sum(abs(x)) AS BIGINT) AS asum, CAST(sum(x * x) AS BIGINT) AS dot, CAST(round(sqrt(sum(x * x)) * 1000) AS BIGINT) AS nrm2, arg_min(i, (-abs(x), i)) AS amax, arg_min(i, (abs(x), i)) AS amin FROM {_VX}")
@@ -571,34 +579,35 @@ def q_axpy(spark, sf_dir):
     return linalg.geam(x, x.select("i", (F.col("i") + 1).alias("v")), 3, 5)
 
 
-@_query(f"WITH m AS (SELECT i, k AS j, v FROM {_M} WHERE k <= i), s AS (SELECT * FROM m UNION ALL SELECT j, i, v FROM m WHERE i <> j) SELECT s.i, CAST(sum(s.v * (s.j + 1)) AS BIGINT) AS v FROM s GROUP BY s.i")
+@_query(f"WITH m AS (SELECT i, k AS j, v FROM {_M} WHERE k <= i), s AS (SELECT * FROM m UNION ALL SELECT j, i, v FROM m WHERE i <> j) SELECT s.i, CAST(sum(s.v * o.x) AS BIGINT) AS v FROM s JOIN {_ONES} o ON s.j = o.i GROUP BY s.i")
 def q_symv(spark, sf_dir):
-    x = spark.range(40).select(F.col("id").alias("i"), (F.col("id") + 1).alias("v"))
-    return linalg.symv(_matrix(spark, sf_dir), x)
+    return linalg.symv(_matrix(spark, sf_dir), _ones(spark, sf_dir))
 
 
-@_query(None)
+def _lower(spark, sf_dir):
+    """The part of the matrix below its diagonal, which is set to 2000 for each supplier: twice what a row holds, so solutions are stable."""
+    below = _matrix(spark, sf_dir).where("j < i").withColumn("v", F.col("v").cast("double"))
+    key = F.col("s_suppkey")
+    return below.unionByName(_table(spark, sf_dir, "supplier").select(key.alias("i"), key.alias("j"), F.lit(2000.0).alias("v")))
+
+
+@_query("SELECT s_suppkey AS i, CAST(s_suppkey * 3 + 1 AS BIGINT) AS v FROM supplier")
 def q_trsv(spark, sf_dir):
-    """All cells below the diagonal, which is set so that the solution is stable. Beyond SQL; tested against forward substitution."""
-    below = _matrix(spark, sf_dir).where("j < i").select("i", "j", F.col("v").cast("double").alias("v"))
-    diagonal = spark.range(40).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1e9).alias("v"))
-    return linalg.trsv(below.unionByName(diagonal), spark.range(40).select(F.col("id").alias("i"), F.lit(1e9).alias("v")))
+    """A triangular product with a vector, solved for that vector again; the solution is unique."""
+    lower, x = cut(_lower(spark, sf_dir)), _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") * 3 + 1).alias("v"))
+    return linalg.trsv(lower, linalg.trmv(lower, x)).select("i", F.round("v").cast("long").alias("v"))
 
 
-_SQUARE = f"(SELECT i, k AS j, CAST(v AS BIGINT) AS v FROM {_M} WHERE i < 30)"
+_SQUARE = f"(SELECT i, k AS j, v FROM {_M})"
 _LOWER = f"(SELECT * FROM {_SQUARE} WHERE j <= i)"
 _FULL = f"(SELECT * FROM {_LOWER} UNION ALL SELECT j, i, v FROM {_LOWER} WHERE i <> j)"
-_ONES = "(SELECT CAST(i AS BIGINT) AS i, CAST(i + 1 AS BIGINT) AS x, CAST(31 - i AS BIGINT) AS y FROM range(30) t(i))"
-
+_X, _Y = (f"(SELECT CAST({c}_nationkey AS BIGINT) AS i, count(*) AS v FROM {t} GROUP BY 1)" for c, t in (("s", "supplier"), ("c", "customer")))
 
-def _square(spark, sf_dir):
-    """The 30 x 30 part of the matrix: all its columns, and as many rows."""
-    return _matrix(spark, sf_dir).where("i < 30")
 
-
-def _xy(spark):
-    rows = spark.range(30).withColumnRenamed("id", "i")
-    return rows.select("i", (F.col("i") + 1).alias("v")), rows.select("i", (31 - F.col("i")).alias("v"))
+def _xy(spark, sf_dir):
+    """Two short vectors for dense products: suppliers and customers by nation."""
+    of = lambda t, c: _table(spark, sf_dir, t).groupBy(F.col(c).cast("long").alias("i")).agg(F.count(F.lit(1)).alias("v"))
+    return of("supplier", "s_nationkey"), of("customer", "c_nationkey")
 
 
 @_query(f"SELECT i, CAST(7 * x AS BIGINT) AS v FROM {_VX}")
@@ -615,17 +624,17 @@ def q_swap(spark, sf_dir):
 
 @_query(f"SELECT a.i, CAST(sum(a.v * o.x) AS BIGINT) AS v FROM {_LOWER} a JOIN {_ONES} o ON a.j = o.i GROUP BY a.i")
 def q_trmv(spark, sf_dir):
-    return linalg.trmv(_square(spark, sf_dir), _xy(spark)[0])
+    return linalg.trmv(_matrix(spark, sf_dir), _ones(spark, sf_dir))
 
 
-@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 3 * a.x * b.x FROM {_ONES} a, {_ONES} b) GROUP BY i, j")
+@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 3 * a.v * b.v FROM {_X} a, {_X} b) GROUP BY i, j")
 def q_syr(spark, sf_dir):
-    return linalg.syr(_square(spark, sf_dir), _xy(spark)[0], 3)
+    return linalg.syr(_matrix(spark, sf_dir), _xy(spark, sf_dir)[0], 3)
 
 
-@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 2 * (a.x * b.y + a.y * b.x) FROM {_ONES} a, {_ONES} b) GROUP BY i, j")
+@_query(f"SELECT i, j, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM {_SQUARE} UNION ALL SELECT a.i, b.i, 2 * a.v * b.v FROM {_X} a, {_Y} b UNION ALL SELECT b.i, a.i, 2 * a.v * b.v FROM {_X} a, {_Y} b) GROUP BY i, j")
 def q_syr2(spark, sf_dir):
-    return linalg.syr2(_square(spark, sf_dir), *_xy(spark), 2)
+    return linalg.syr2(_matrix(spark, sf_dir), *_xy(spark, sf_dir), 2)
 
 
 def _times(a: str, b: str, factor: int = 1) -> str:
@@ -641,40 +650,43 @@ _TURNED = f"(SELECT j AS i, i AS j, v FROM {_SQUARE})"
 
 @_query(_summed(_times(_FULL, _SQUARE)))
 def q_symm(spark, sf_dir):
-    a = _square(spark, sf_dir)
+    a = _matrix(spark, sf_dir)
     return linalg.symm(a, a)
 
 
 @_query(_summed(_times(_SQUARE, _TURNED, 2)))
 def q_syrk(spark, sf_dir):
-    return linalg.syrk(_square(spark, sf_dir), 2)
+    return linalg.syrk(_matrix(spark, sf_dir), 2)
 
 
 @_query(_summed(_times(_SQUARE, _SQUARE, 2), _times(_TURNED, _TURNED, 2)))
 def q_syr2k(spark, sf_dir):
-    a = _square(spark, sf_dir)
+    a = _matrix(spark, sf_dir)
     return linalg.syr2k(a, linalg.transpose(a), 2)
 
 
 @_query(_summed(_times(_SQUARE, _SQUARE, 3)))
 def q_syrkx(spark, sf_dir):
-    a = _square(spark, sf_dir)
+    a = _matrix(spark, sf_dir)
     return linalg.syrkx(a, linalg.transpose(a), 3)
 
 
 @_query(_summed(_times(_LOWER, _SQUARE)))
 def q_trmm(spark, sf_dir):
-    a = _square(spark, sf_dir)
+    a = _matrix(spark, sf_dir)
     return linalg.trmm(a, a)
 
 
-@_query(f"SELECT i, k AS j, CAST(v AS BIGINT) AS v FROM {_M} WHERE i < 30")
+_MONTHLY = "(SELECT l_suppkey AS i, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS j, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@_query(f"SELECT i, j, v FROM {_MONTHLY}")
 def q_trsm(spark, sf_dir):
-    """A triangular product, solved for its right side again."""
-    a = _square(spark, sf_dir)
-    lower = linalg.triangle(a.where("i <> j")).select("i", "j", F.col("v").cast("double").alias("v"))
-    lower = lower.unionByName(spark.range(30).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1e6).alias("v")))
-    return linalg.trsm(lower, linalg.gemm(lower, a)).select("i", "j", F.round("v").cast("long").alias("v")).join(a.select("i", "j"), ["i", "j"])
+    """A triangular product with quantities by supplier and month, solved for these again; the solution is unique."""
+    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long")
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), month.alias("j"), F.col("l_quantity").cast("long").alias("v"))
+    lower, x = cut(_lower(spark, sf_dir)), rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return linalg.trsm(lower, linalg.gemm(lower, x)).select("i", "j", F.round("v").cast("long").alias("v")).where("v <> 0")
 
 
 @_query(f"SELECT a.i % 2 AS g, a.i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM {_M} a JOIN {_M} b ON a.k = b.k AND a.i % 2 = b.i % 2 GROUP BY a.i, b.i")

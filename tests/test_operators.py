@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,27 @@ def test_mode_char(spark):
     docs = [(1, "abbaé"), (2, ""), (3, None), (4, "日日x"), (5, "z" * 100_000)]
     got = {r.i: (r.ch, r.n) for r in workloads.mode_char(spark.createDataFrame(docs, "i long, t string"), "i", "t").collect()}
     assert got == {1: ("a", 2), 4: ("日", 2), 5: ("z", 100_000)}
+
+
+@pytest.mark.parametrize("upper", [False, True])
+@pytest.mark.parametrize("block", [7, 512])
+def test_triangular_solve_by_blocks(spark, upper, block):
+    rng = np.random.default_rng(2)
+    n, m = 30, 70
+    a = np.tril(rng.integers(0, 9, (n, n))).astype(float)
+    np.fill_diagonal(a, 60.0)
+    a = a.T if upper else a
+    b = rng.integers(0, 50, (n, m)).astype(float)
+    b[:9, 3], b[:, 5] = 0, 0
+    cells = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "i long, j long, v double")
+    got = np.zeros((n, m))
+    for r in linalg.trsm(cells(a), cells(b), upper, block).collect():
+        got[r.i, r.j] = r.v
+    assert got == pytest.approx(np.linalg.solve(a, b))
+
+
+def test_triangular_solve_needs_a_diagonal(spark):
+    a = spark.createDataFrame([(0, 0, 2.0), (1, 0, 1.0)], "i long, j long, v double")
+    with pytest.raises(ValueError, match="diagonal"):
+        linalg.trsv(a, spark.createDataFrame([(0, 1.0)], "i long, v double"))
+    assert linalg.trsv(a.limit(0), spark.createDataFrame([(0, 1.0)], "i long, v double")).collect() == []
