@@ -29,8 +29,8 @@ def sort_by_key(df: DataFrame, key: str, values: list[str], ties: list[str] | No
 
 
 def sort_array(column: Column, before) -> Column:
-    """An array sorted by a strict weak order: before(a, b) is true where a comes first."""
-    return F.array_sort(column, lambda a, b: F.when(before(a, b), F.lit(-1)).when(before(b, a), F.lit(1)).otherwise(F.lit(0)))
+    """An array sorted by a strict weak order: before(a, b) is true where a comes first. Nulls come last."""
+    return F.array_sort(column, lambda a, b: F.when(a.isNull(), F.when(b.isNull(), F.lit(0)).otherwise(F.lit(1))).when(b.isNull() | before(a, b), F.lit(-1)).when(before(b, a), F.lit(1)).otherwise(F.lit(0)))
 
 
 def _keyed(key: str, descending: bool, rank) -> list[Column]:

@@ -217,7 +217,7 @@ def q_sort_by_key(spark, sf_dir):
 
 @_query("SELECT vec_id, list_sort([CAST(round(x * 1000) AS BIGINT) for x in embedding], 'DESC') AS sorted FROM embeddings")
 def q_sort_comparator(spark, sf_dir):
-    values = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long"))
+    values = F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("long"))  # in single precision, as in SQL
     return _table(spark, sf_dir, "embeddings").select("vec_id", order.sort_array(values, lambda a, b: a > b).alias("sorted"))
 
 

@@ -70,3 +70,13 @@ def test_reduce_custom_takes_negative_and_null_values(spark, duck, tmp_path):
         duck.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, {values} AS value FROM (SELECT CAST(i AS BIGINT) AS i FROM range(200) t(i))) TO '{path}' (FORMAT parquet)")
         got = catalog.queries()["q_reduce_custom"](spark, str(path.parent)).collect()
         assert [tuple(r) for r in got] == duck.execute(sql.replace("FROM events", f"FROM '{path}'")).fetchall()
+
+
+def test_sort_comparator_rounds_as_sql_does(spark, duck, tmp_path):
+    """Products of single precision that fall on a half where those of double precision do not, and nulls."""
+    sql = catalog.oracle_sql()["q_sort_comparator"]
+    path = tmp_path / "embeddings.parquet"
+    values = "[CAST((i * 64 + k) / 1000.0 + 0.0005 AS FLOAT) * (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) for k in range(64)]"
+    duck.execute(f"COPY (SELECT CAST(i AS BIGINT) AS vec_id, CASE i WHEN 7 THEN NULL WHEN 8 THEN [1, NULL, 3, NULL] ELSE {values} END::FLOAT[] AS embedding, 0 AS label FROM range(100) t(i)) TO '{path}' (FORMAT parquet)")
+    got = catalog.queries()["q_sort_comparator"](spark, str(tmp_path)).orderBy("vec_id").collect()
+    assert [tuple(r) for r in got] == duck.execute(sql.replace("FROM embeddings", f"FROM '{path}' ORDER BY vec_id")).fetchall()
