@@ -223,3 +223,53 @@ def test_triangular_solve_needs_a_diagonal(spark):
     with pytest.raises(ValueError, match="diagonal"):
         linalg.trsv(a, spark.createDataFrame([(0, 1.0)], "i long, v double"))
     assert linalg.trsv(a.limit(0), spark.createDataFrame([(0, 1.0)], "i long, v double")).collect() == []
+
+
+def _joined(a, b):
+    """The product by a join on the inner index, every product on its own."""
+    sums = {}
+    for i, k, x in a:
+        for k2, j, y in b:
+            if k is not None and k == k2:
+                sums.setdefault((i, j), []).extend([] if x is None or y is None else [x * y])
+    return {(i, j, sum(v) if v else None) for (i, j), v in sums.items()}
+
+
+def test_products_by_blocks_are_exact(spark):
+    """Over several blocks, both signs, sums of zero, null indices and values, values beyond 53 bits."""
+    rng = random.Random(3)
+    some = lambda of: None if rng.random() < 0.03 else of()
+    index = lambda: some(lambda: rng.choice([0, 511, 512, 2047, 2048, -1, -513, 5000, 1 << 40]))
+    inner, value = (lambda: some(lambda: rng.randrange(12))), (lambda: some(lambda: rng.choice([0, 1, -1, 3, (1 << 55) + 1])))
+    a, b = [(index(), inner(), value()) for _ in range(150)], [(inner(), index(), some(lambda: rng.randrange(-2, 3))) for _ in range(150)]
+    of = lambda rows, v="long": spark.createDataFrame(rows, f"i long, j long, v {v}")
+    rows = [tuple(r) for r in linalg.gemm(of(a), of(b)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _joined(a, b)
+    tenth = lambda rows: [(i, j, None if v is None else v / 4) for i, j, v in rows]
+    small = [(i, j, None if v is None else v % 7) for i, j, v in a]
+    assert {tuple(r) for r in linalg.gemm(of(tenth(small), "double"), of(tenth(b), "double")).collect()} == _joined(tenth(small), tenth(b))
+    none = linalg.gemm(of(a), of(b).limit(0))
+    assert none.collect() == [] and none.dtypes == [("i", "bigint"), ("j", "bigint"), ("v", "bigint")]
+    with pytest.raises(Exception, match="64 bits"):
+        linalg.gemm(of([(0, k, 1 << 61) for k in range(4)]), of([(k, 0, 1) for k in range(4)])).collect()
+
+
+def test_products_by_batch_and_of_decimals(spark):
+    a = spark.createDataFrame([("x", 0, 0, 2), ("y", 0, 0, 3), (None, 0, 0, 5)], "g string, i int, j int, v int")
+    rows = linalg.gemm(a, a, ["g"])
+    assert {tuple(r) for r in rows.collect()} == {("x", 0, 0, 4), ("y", 0, 0, 9)} and rows.dtypes == [("g", "string"), ("i", "int"), ("j", "int"), ("v", "bigint")]
+    d = a.select("i", "j", F.col("v").cast("decimal(9,2)").alias("v")).where("v = 3")
+    assert [tuple(r) for r in linalg.gemm(d, d).collect()] == [(0, 0, 9)]
+
+
+def test_products_are_not_shuffled(spark):
+    """Each inner index makes 40,000 products; what goes through exchanges grows with the entries, and nothing is summed after one."""
+    a = spark.range(40 * 200).select((F.col("id") % 200).alias("i"), F.floor(F.col("id") / 200).alias("j"), F.lit(1).cast("long").alias("v"))
+    both = [linalg.gemm(a, linalg.transpose(a)), linalg.syr2k(a, a)]
+    for found, v in zip(both, (40, 80), strict=True):
+        assert found.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first() == (40_000, v, v)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        top = plan[: plan.index("MapInArrow")]
+        assert "Exchange" not in top and "Aggregate" not in top
+        exchanged = plan[plan.index("MapInArrow") :]
+        assert "sum(" not in exchanged
