@@ -273,3 +273,24 @@ def test_products_are_not_shuffled(spark):
         assert "Exchange" not in top and "Aggregate" not in top
         exchanged = plan[plan.index("MapInArrow") :]
         assert "sum(" not in exchanged
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_triangular_solve_takes_a_round_a_level(spark, upper, monkeypatch):
+    """Blocks that do not depend on one another are solved at once: 20 chains of two blocks take two rounds, not 40."""
+    n, block = 40 * 8, 8
+    rng = np.random.default_rng(5)
+    a = np.zeros((n, n))
+    for c in range(0, n, 16):
+        a[c : c + 16, c : c + 16] = np.tril(rng.integers(1, 9, (16, 16)))
+    np.fill_diagonal(a, 90.0)
+    a = a.T if upper else a
+    b = rng.integers(0, 50, (n, 2)).astype(float)
+    b[:, 1] = 0
+    cells = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "i long, j long, v double")
+    written, whole = [], linalg.cut
+    monkeypatch.setattr(linalg, "cut", lambda df: written.append(1) or whole(df))
+    got = np.zeros((n, 2))
+    for r in linalg.trsm(cells(a), cells(b), upper, block).collect():
+        got[r.i, r.j] = r.v
+    assert got == pytest.approx(np.linalg.solve(a, b)) and len(written) <= 7
