@@ -205,20 +205,48 @@ def shortest_tour(spark: SparkSession, distance: list[list[int]]) -> DataFrame:
     return paths.select((F.col("cost") + table[F.col("last")][0]).alias("cost"), "path").orderBy("cost", "path").limit(1)
 
 
+#: Waiting edges up to which the coloring ends on the driver.
+LAST = 100_000
+
+
 def greedy_coloring(nodes: DataFrame, edges: DataFrame, seed: int = 0) -> DataFrame:
     """node, color: in rounds, every uncolored node whose rank, a seeded hash, is the smallest among its uncolored neighbours
-    takes the smallest color its neighbours lack. Hashed ranks keep the rounds few."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    takes the smallest color its neighbours lack. Hashed ranks keep the rounds few.
+
+    Edges go from the smaller rank to the larger and are kept until their larger end is colored, so rounds read and write
+    ever fewer; the last ones (at most LAST edges) are done in order of rank on the driver.
+    """
     rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c), F.col(c))
-    colored = cut(nodes.select("node").distinct().withColumn("color", F.lit(None).cast("int")))
-    while not colored.where("color is null").isEmpty():
-        of = colored.select(F.col("node").alias("dst"), F.col("color").alias("dst_color"))
-        near = both.join(of, "dst").groupBy(F.col("src").alias("node")).agg(F.min(F.when(F.col("dst_color").isNull(), rank("dst"))).alias("open"), F.collect_set("dst_color").alias("used"))
-        used = F.coalesce("used", F.array().cast("array<int>"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        turn = F.col("color").isNull() & (F.col("open").isNull() | (rank("node") < F.col("open")))
-        colored = cut(colored.join(near, "node", "left").select("node", F.when(turn, free).otherwise(F.col("color")).alias("color")))
-    return colored
+    nodes = cut(nodes.select("node").distinct())
+    first = rank("src") < rank("dst")
+    way = edges.where("src <> dst").select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("v")).distinct()
+    for end in ("u", "v"):
+        way = way.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+    waits = cut(way.select("u", "v", F.lit(None).cast("int").alias("color")))
+    found = cut(nodes.join(waits.select(F.col("v").alias("node")), "node", "left_anti").withColumn("color", F.lit(0)))
+    parts = [found]
+    while True:
+        done = lambda c, d=found: d.select(F.col("node").alias(c), F.col("color").alias("new"))
+        left = waits.join(done("v"), "v", "left_anti").join(done("u"), "u", "left")
+        waits = cut(left.select("u", "v", F.coalesce("color", "new").alias("color")))
+        if waits.count() <= LAST:
+            break
+        ready = waits.groupBy(F.col("v").alias("node")).agg(F.count_if(F.col("color").isNull()).alias("open"), F.collect_set("color").alias("used")).where("open = 0")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("used")), F.col("used")))
+        found = cut(ready.select("node", free.alias("color")))
+        parts.append(found)
+        if len(parts) > PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    rows = waits.select("u", "v", "color", F.xxhash64(F.lit(seed), "v").alias("rank")).collect()  # at most LAST
+    near: dict = {}
+    for r in rows:
+        near.setdefault((r["rank"], r["v"]), []).append((r["u"], r["color"]))
+    color: dict = {}
+    for (_, v), before in sorted(near.items()):
+        used = {color[u] if c is None else c for u, c in before}
+        color[v] = next(c for c in range(len(used) + 1) if c not in used)
+    parts.append(nodes.sparkSession.createDataFrame(list(color.items()), nodes.withColumn("color", F.lit(0)).schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def wavefront(spark: SparkSession, cost: DataFrame, n: int) -> DataFrame:

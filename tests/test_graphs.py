@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rangeloom.plans import dag
+from rangeloom.plans import dag, workloads
 from rangeloom.sources import traces
 from rangeloom.streaming.pipeline import PARALLEL, SERIAL, DataPipeline, Pipe, Pipeline, data_pipe, deferred_order
 
@@ -240,3 +240,32 @@ def test_tokens_go_on_after_a_restart(spark, tmp_path):
         p.stream(stream, lambda df, _: out.extend(df.collect()), check, ["v"]).awaitTermination(60)
         assert p.num_tokens == 10 * (part + 1)
     assert sorted((r.token, r.v) for r in out) == [(i, i) for i in range(30)]
+
+
+@pytest.mark.parametrize("last", [0, 300, 100_000])
+def test_coloring_is_greedy_by_rank_and_its_edges_grow_fewer(spark, last, monkeypatch):
+    """The colors are those of one pass in order of rank, wherever the driver takes over; what rounds write shrinks."""
+    edges = spark.range(1500).select((F.col("id") * 7 % 601).alias("src"), (F.col("id") * F.col("id") % 599).alias("dst"))
+    nodes = spark.range(700).select(F.col("id").alias("node"))
+    ranks = sorted((r.h, r.node) for r in nodes.select("node", F.xxhash64(F.lit(0), "node").alias("h")).collect())
+    near, want = {}, {}
+    for r in edges.collect():
+        if r.src != r.dst:
+            near.setdefault(r.src, set()).add(r.dst)
+            near.setdefault(r.dst, set()).add(r.src)
+    for _, n in ranks:
+        used = {want[m] for m in near.get(n, ()) if m in want}
+        want[n] = next(c for c in range(700) if c not in used)
+    written, whole = [], workloads.cut
+
+    def counted(df):
+        out = whole(df)
+        if out.columns == ["u", "v", "color"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(workloads, "cut", counted)
+    monkeypatch.setattr(workloads, "LAST", last, raising=False)
+    got = [(r.node, r.color) for r in workloads.greedy_coloring(nodes, edges).collect()]
+    assert len(got) == 700 and dict(got) == want
+    assert written and written == sorted(written, reverse=True) and written[-1] <= last
