@@ -470,10 +470,15 @@ _ORDER_AT, _PART_AT = 1 << 40, 1 << 41
 EDGES = f"(SELECT o_custkey AS src, {_ORDER_AT} + o_orderkey AS dst FROM orders UNION SELECT {_ORDER_AT} + l_orderkey, {_PART_AT} + l_partkey FROM lineitem)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as the tables list them: several lines of an order for one part list an edge several times."""
     first = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("src"), (F.lit(_ORDER_AT) + F.col("o_orderkey")).alias("dst"))
     second = _table(spark, sf_dir, "lineitem").select((F.lit(_ORDER_AT) + F.col("l_orderkey")).alias("src"), (F.lit(_PART_AT) + F.col("l_partkey")).alias("dst"))
-    return first.union(second).distinct()
+    return first.union(second)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workloads.distinct_edges(_listed(spark, sf_dir))
 
 
 #: Orders as a hierarchy of whole keys with short cuts: each follows those at a half and at a third of its key.
@@ -483,7 +488,7 @@ _CHAIN = "(SELECT o_orderkey // 2 AS src, o_orderkey AS dst FROM orders WHERE o_
 def _chain(spark, sf_dir):
     """Key 0 is the root and follows nothing."""
     of = _table(spark, sf_dir, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").cast("long").alias("dst"))
-    return of.select(F.explode(F.array(*(F.floor(F.col("dst") / n) for n in (2, 3)))).alias("src"), "dst").distinct()
+    return workloads.distinct_edges(of.select(F.explode(F.array(*(F.floor(F.col("dst") / n) for n in (2, 3)))).alias("src"), "dst"))
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -492,7 +497,7 @@ def _nodes(edges: DataFrame) -> DataFrame:
 
 @_query(f"SELECT node, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {EDGES} UNION ALL SELECT dst, 0, 1 FROM {EDGES}) GROUP BY node")
 def q_graph_degrees(spark, sf_dir):
-    return workloads.degrees(_edges(spark, sf_dir))
+    return workloads.degrees(_listed(spark, sf_dir), once=True)
 
 
 @_query(f"WITH RECURSIVE t(node, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, level + 1 FROM t JOIN {_CHAIN} e ON e.src = t.node) SELECT node, CAST(min(level) AS INTEGER) AS level FROM t GROUP BY node")

@@ -91,10 +91,31 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: str | None = None)
     raise ValueError("the graph has a cycle")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """node, n_out, n_in."""
-    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+#: Edges of a block, about: what a task holds at a time, however many edges there are.
+BLOCK = 1 << 18
+
+
+def _blocks(edges: DataFrame) -> int:
+    """Blocks for the edges, one for each core at least. They are counted, as sizes of plans are estimates."""
+    return max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // BLOCK))
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """src, dst: each edge once, by blocks. Edges are mostly distinct already, so that combining them before they are shuffled would hold a whole input split."""
+    return edges.select("src", "dst").repartition(_blocks(edges), "src", "dst").distinct()
+
+
+def degrees(edges: DataFrame, once: bool = False) -> DataFrame:
+    """node, n_out, n_in; once: equal edges count as one.
+
+    Edges go to blocks by a hash of both ends, and ends are counted in a block before they are shuffled, so that a node of any degree comes in one row a block.
+    """
+    n = _blocks(edges)
+    rows = edges.select(F.pmod(F.xxhash64("src", "dst"), F.lit(n)).cast("int").alias("_block"), "src", "dst").repartitionById(n, "_block")
+    end = lambda c: F.struct(F.col(c).alias("node"), F.lit(int(c == "src")).alias("o"), F.lit(int(c == "dst")).alias("i"))
+    ends = (rows.distinct() if once else rows).select("_block", F.explode(F.array(end("src"), end("dst"))).alias("e")).select("_block", "e.*")
+    counts = ends.groupBy("_block", "node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    return counts.repartition(n, "node").groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
 def stale_targets(edges: DataFrame, touched: DataFrame) -> DataFrame:

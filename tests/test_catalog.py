@@ -6,8 +6,9 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
-from rangeloom.plans import catalog
+from rangeloom.plans import catalog, workloads
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -80,3 +81,12 @@ def test_sort_comparator_rounds_as_sql_does(spark, duck, tmp_path):
     duck.execute(f"COPY (SELECT CAST(i AS BIGINT) AS vec_id, CASE i WHEN 7 THEN NULL WHEN 8 THEN [1, NULL, 3, NULL] ELSE {values} END::FLOAT[] AS embedding, 0 AS label FROM range(100) t(i)) TO '{path}' (FORMAT parquet)")
     got = catalog.queries()["q_sort_comparator"](spark, str(tmp_path)).orderBy("vec_id").collect()
     assert [tuple(r) for r in got] == duck.execute(sql.replace("FROM embeddings", f"FROM '{path}' ORDER BY vec_id")).fetchall()
+
+
+@pytest.mark.parametrize("name", ["_edges", "_chain", "q_graph_degrees"])
+def test_edges_are_dealt_by_their_number(spark, name, monkeypatch):
+    """What a task holds of the edges, or of their nodes, follows BLOCK and not the session's partitions."""
+    monkeypatch.setattr(workloads, "BLOCK", 250, raising=False)
+    rows = getattr(catalog, name)(spark, DATA)
+    sizes = rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.n for r in sizes) < 500

@@ -269,3 +269,27 @@ def test_coloring_is_greedy_by_rank_and_its_edges_grow_fewer(spark, last, monkey
     got = [(r.node, r.color) for r in workloads.greedy_coloring(nodes, edges).collect()]
     assert len(got) == 700 and dict(got) == want
     assert written and written == sorted(written, reverse=True) and written[-1] <= last
+
+
+def sizes(df):
+    """Rows by partition, as the plan leaves them."""
+    return [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_degrees_hold_a_block_at_a_time(spark, once, monkeypatch):
+    """A node of a large degree, loops, repeated edges and nulls; partitions follow the number of edges, not the session."""
+    monkeypatch.setattr(workloads, "BLOCK", 1000, raising=False)
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 11 % 9001).alias("src"), F.when(F.col("id") % 500 != 1, F.col("id") % 6000).alias("dst"))
+    edges = rows.union(rows.where("dst % 10 = 0"))
+    listed = [(r.src, r.dst) for r in edges.collect()]
+    want = {}
+    for src, dst in set(listed) if once else listed:
+        want.setdefault(src, [0, 0])[0] += 1
+        want.setdefault(dst, [0, 0])[1] += 1
+    found = workloads.degrees(edges, once=once)
+    got = found.collect()
+    assert len(got) == len(want) and {r.node: [r.n_out, r.n_in] for r in got} == want
+    assert max(sizes(found)) < 1000 < 8000 < len(want)
+    blocks = sizes(workloads.distinct_edges(edges))
+    assert sum(blocks) == len(set(listed)) and max(blocks) < 1500
