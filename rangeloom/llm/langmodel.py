@@ -32,25 +32,104 @@ ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 LANE, SHARE = 128, 1
 #: Bits of hash beyond those that number the corpus's n-grams.
 SPARE = 20
+#: Words of more bytes are hashed one by one.
+LONG = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The end token's index among a chunk's words; texts begin after it.
 END = 0
+_END_WORD = pa.array([b"\n"], pa.large_binary())
 #: Rows between chunks and shards. Of a chunk's own state, shard is STATE; of a shard's figures, chunk is.
 _MAIL, STATE = "chunk long, shard int, a binary", -1
 _MAIL_ARROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("a", pa.binary())])
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 8 or fewer bytes a value, their bytes by place and compressed."""
+def _packed_apart(cuts, *arrays: np.ndarray) -> list[bytes]:
+    """The arrays from cut to cut. Bytes of one place stand together, each place compressed by itself (none if all are zero): those of keys are noise, those of counts are few."""
     codec = pa.Codec("zstd", compression_level=1)
-    return pickle.dumps([(a.dtype.str, a.nbytes, codec.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), asbytes=True)) for a in arrays])
+    places = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)) for a in arrays]
+    places = [(kind, [np.ascontiguousarray(of[:, i]) for i in range(of.shape[1])]) for kind, of in places]
+    return [pickle.dumps([(kind, int(b - a), [codec.compress(x[a:b], asbytes=True) if x[a:b].any() else b"" for x in of]) for kind, of in places]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8 or fewer bytes a value; they may differ in length."""
+    return pickle.dumps([_packed_apart([0, len(a)], a)[0] for a in arrays])
+
+
+def _joined(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of what was packed apart, end to end, and the length of each part."""
+    codec, parts = pa.Codec("zstd"), [pickle.loads(b) for b in blobs]
+    lengths, out = np.array([part[0][1] for part in parts], np.int64), []
+    for of in zip(*parts, strict=True):
+        values = np.zeros(int(lengths.sum()), of[0][0])
+        into = values.view(np.uint8).reshape(len(values), values.itemsize)
+        for i in range(values.itemsize):
+            if any(places[i] for _, _, places in of):
+                into[:, i] = np.frombuffer(b"".join(codec.decompress(places[i], n, asbytes=True) if places[i] else bytes(n) for _, n, places in of), np.uint8)
+        out.append(values)
+    return out, lengths
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
-    codec, out = pa.Codec("zstd"), []
-    for kind, size, data in pickle.loads(blob):
-        wide = np.dtype(kind).itemsize
-        flat = np.frombuffer(codec.decompress(data, size, asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
-        out.append(np.ascontiguousarray(flat.reshape(wide, size // wide).T).reshape(-1).view(kind))
+    return [_joined([b])[0][0] for b in pickle.loads(blob)]
+
+
+def _steps(keys: np.ndarray, cuts) -> np.ndarray:
+    """Each key less the one before it; the first after a cut stays."""
+    out = np.diff(keys, prepend=np.uint64(0))
+    first = np.asarray(cuts[:-1], np.int64)
+    out[first] = keys[first]
+    return out
+
+
+def _summed(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The keys whose steps these are, part by part."""
+    for part in np.split(steps, np.cumsum(lengths)[:-1]):
+        np.cumsum(part, out=part)
+    return steps
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, where each is first found, and each key's rank among them.
+
+    Keys are sorted as single numbers, their high bits over their positions, which takes a fraction of an argsort's
+    time. Where keys differ only in bits that find no room, a sort that keeps order puts them right.
+    """
+    n = len(keys)
+    if not n:
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int32)
+    place, low = (n - 1).bit_length(), keys.min()
+    lost = max(0, int(keys.max() - low).bit_length() + place - 64)
+    order = ((keys - low) >> np.uint64(lost)) << np.uint64(place)
+    order |= np.arange(n, dtype=np.uint64)
+    order.sort()
+    order = (order & np.uint64((1 << place) - 1)).astype(np.int64)
+    found = keys[order]
+    if lost and (found[1:] < found[:-1]).any():
+        again = np.argsort(found, kind="stable")
+        order, found = order[again], found[again]
+    new = np.ones(n, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found[new], order[new], rank
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of binary values: those of up to LONG bytes are mixed in eight bytes at a time, all values side by side."""
+    data, offsets = text_bytes(words)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    out = mixed((sizes.astype(np.uint64) + np.uint64(1)) * _ODD)
+    for done in range(0, LONG, 8):
+        at = np.flatnonzero((sizes > done) & (sizes <= LONG))
+        if not len(at):
+            break
+        spare = 8 * np.maximum(8 - (sizes[at] - done), 0).astype(np.uint64)
+        eight = (eights[starts[at] + done] << spare) >> spare
+        out[at] = mixed((out[at] ^ eight) * _ODD)
+    for i in np.flatnonzero(sizes > LONG):
+        out[i] = int.from_bytes(blake2b(words[int(i)].as_py(), digest_size=8).digest(), "little")
     return out
 
 
@@ -70,9 +149,9 @@ class Layout(NamedTuple):
         """For texts of so many bytes. An n-gram shares its key with another with probability 2^-SPARE at most, whatever the size."""
         return cls(order, max(4, -(-size // (SHARE * (LANE << 15)))), min(62, max(32, (order * max(size, 1)).bit_length() - 1 + SPARE)))
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
+    def hashes(self, words: pa.Array) -> np.ndarray:
         """Of the words' hashes what keys can hold."""
-        return np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64) >> np.uint64(64 - self.bits)
+        return _word_hashes(words) >> np.uint64(64 - self.bits)
 
     def raw(self, hashes: np.ndarray) -> np.ndarray:
         return hashes << np.uint64(64 - self.bits)
@@ -80,12 +159,13 @@ class Layout(NamedTuple):
     def keys(self, raw: np.ndarray, k: int) -> np.ndarray:
         return ((raw >> np.uint64(64 - self.bits)) << np.uint64(2)) | np.uint64(k)
 
-    def by_shard(self, keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Positions of the keys that each shard owns."""
+    def by_shard(self, keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The shards that own keys, the keys' positions shard by shard, and where each shard's begin and the last's end."""
         owner = (((keys >> np.uint64(self.bits - 30)) * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(owner, kind="stable").astype(np.int32)
-        cuts = [0, *(np.flatnonzero(np.diff(owner[order])) + 1), len(keys)]
-        return [(int(owner[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+        owner = owner[order]
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        return owner[first].tolist(), order, np.append(first, len(keys))
 
 
 class Shape(NamedTuple):
@@ -100,24 +180,23 @@ class Shape(NamedTuple):
 
     @classmethod
     def of(cls, ids: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, layout: Layout) -> Shape:
-        """ids: of each row the end token before it, its words and its end token, lengths of them in all."""
+        """ids: of each row the end token before it, its words and its end token, lengths of them in all. Each of the hashed words occurs."""
         row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         depth = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         hashes = layout.raw(hashes)
-        raw, keys, prefix, suffix, at, base = hashes[ids], [], [], [], [], 0
-        for k in range(1, layout.order + 1):
-            if k > 1:
-                raw = mixed(np.concatenate([raw[:1], raw[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + hashes[ids])
+        found, _, rank = _ranked(layout.keys(hashes, 1))
+        none = np.full(len(found), -1, np.int32)
+        raw, keys, prefix, suffix, at, base = hashes[ids], [found], [none], [none], [rank[ids]], len(found)
+        for k in range(2, layout.order + 1):
+            raw = mixed(np.concatenate([raw[:1], raw[:-1]]) * _ODD + hashes[ids])
             places = np.flatnonzero(depth >= k - 1)
-            found, inverse = np.unique(layout.keys(raw[places], k), return_inverse=True)
+            found, first, rank = _ranked(layout.keys(raw[places], k))
             here = np.full(len(ids), -1, np.int32)
-            here[places] = inverse + base
-            before, after = np.full(len(found), -1, np.int32), np.full(len(found), -1, np.int32)
-            if k > 1:
-                before[inverse], after[inverse] = at[-1][places - 1], at[-1][places]
+            here[places] = rank + np.int32(base)
+            first = places[first]
             keys.append(found)
-            prefix.append(before)
-            suffix.append(after)
+            prefix.append(at[-1][first - 1])
+            suffix.append(at[-1][first])
             at.append(here)
             base += len(found)
         return cls(np.concatenate(keys), np.concatenate(prefix), np.concatenate(suffix), at, row, depth > 0)
@@ -133,7 +212,7 @@ def _states(limit: int, layout: Layout):
 
     def state(batch: pa.RecordBatch) -> bytes:
         found = words_of(text_bytes(batch.column(2)), NOT_SPACE)
-        hashes = layout.hashes([b"\n", *found.distinct.to_pylist()])
+        hashes = np.concatenate([layout.hashes(_END_WORD), layout.hashes(found.distinct)])
         lengths = found.rows + 2
         ids = np.full(int(lengths.sum()), END, np.int32)
         ids[np.arange(len(found.codes)) + np.repeat(2 * np.arange(batch.num_rows) + 1, found.rows)] = found.codes + 1
@@ -164,7 +243,8 @@ def _ask(layout: Layout, all_wanted: bool):
         for at in shape.at:
             counts += np.bincount(at[shape.own & learnt & (at >= 0)], minlength=len(counts))
             wanted[at[(at >= 0) & (all_wanted | ~learnt)]] = True
-        return _mail([(chunk, shard, _packed(np.diff(shape.keys[of], prepend=np.uint64(0)), counts[of] * 2 + wanted[of])) for shard, of in layout.by_shard(shape.keys)])
+        shards, order, cuts = layout.by_shard(shape.keys)
+        return _mail([(chunk, shard, a) for shard, a in zip(shards, _packed_apart(cuts, _steps(shape.keys[order], cuts), (counts * 2 + wanted)[order]), strict=True)])
 
     def run(batches):
         for batch in batches:
@@ -196,17 +276,16 @@ def _counted(layout: Layout):
 
     def run(table: pa.Table) -> pa.Table:
         shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
-        sent = [_unpacked(a) for _, a in mail]
-        keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
-        flagged = np.concatenate([s[1] for s in sent])
-        counts = np.bincount(inverse, flagged >> 1, len(keys)).astype(np.int64)
-        wanted = np.bincount(inverse, flagged & 1, len(keys)) > 0
-        seen, adds = np.flatnonzero(flagged > 1), np.zeros(len(flagged), np.int64)
-        adds[seen[np.unique(inverse[seen], return_index=True)[1]]] = 1
-        answer = counts[inverse] * 4 + adds * 2 + wanted[inverse]
-        ends = np.cumsum([len(s[0]) for s in sent])
-        rows = [(chunk, shard, _packed(answer[end - len(s[0]) : end])) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)]
-        words = counts[(_level(keys) == 1) & (keys != layout.keys(layout.raw(layout.hashes([b"\n"])), 1))]
+        (steps, flagged), lengths = _joined([a for _, a in mail])
+        keys, _, rank = _ranked(_summed(steps, lengths))
+        counts, wanted = np.bincount(rank, flagged >> 1, len(keys)).astype(np.int64), np.zeros(len(keys), bool)
+        wanted[rank[(flagged & 1) > 0]] = True
+        seen, one, adds = np.flatnonzero(flagged > 1), np.zeros(len(keys), np.int64), np.zeros(len(flagged), np.int64)
+        one[rank[seen]] = seen
+        adds[one[counts > 0]] = 1
+        answers = _packed_apart([0, *np.cumsum(lengths)], counts[rank] * 4 + adds * 2 + wanted[rank])
+        rows = [(chunk, shard, a) for (chunk, _), a in zip(mail, answers, strict=True)]
+        words = counts[(_level(keys) == 1) & (keys != layout.keys(layout.raw(layout.hashes(_END_WORD)), 1))]
         mine = counts[_level(keys) == 1]
         rows.append((STATE, shard, _packed(np.array([mine.sum(), (mine > 0).sum(), (words == 1).sum(), (words == 2).sum()], np.int64))))
         return _mail(rows)
@@ -245,8 +324,7 @@ class Known(NamedTuple):
         state = _unpacked(state)
         shape = Shape.of(*state[:3], layout)
         answer = np.empty(len(shape.keys), np.int64)
-        for (_, of), a in zip(layout.by_shard(shape.keys), answers, strict=True):
-            answer[of] = _unpacked(a)[0]
+        answer[layout.by_shard(shape.keys)[1]] = _joined(answers)[0][0]
         counts, level = answer >> 2, _level(shape.keys)
         arc = (level > 1) & (counts >= least)
         p = np.where(level == 1, unigram.probability(counts), 0.0)
@@ -270,8 +348,9 @@ def _add_arcs(layout: Layout, unigram: Unigram, least: int):
         prefix, n = shape.prefix[mine], len(shape.keys)
         sums = [np.bincount(prefix, minlength=n), np.bincount(prefix, known.counts[mine], n).astype(np.int64), np.bincount(prefix, known.counts[shape.suffix[mine]], n).astype(np.int64)]
         ask = known.asking()
-        keys, sums = shape.keys[ask], [s[ask] for s in sums]
-        return _mail([(chunk, shard, _packed(np.diff(keys[of], prepend=np.uint64(0)), *(s[of] for s in sums))) for shard, of in layout.by_shard(keys)])
+        shards, order, cuts = layout.by_shard(shape.keys[ask])
+        ask = ask[order]
+        return _mail([(chunk, shard, a) for shard, a in zip(shards, _packed_apart(cuts, _steps(shape.keys[ask], cuts), *(s[ask] for s in sums)), strict=True)])
 
     return _freed(run)
 
@@ -279,11 +358,10 @@ def _add_arcs(layout: Layout, unigram: Unigram, least: int):
 def _added(table: pa.Table) -> pa.Table:
     """A shard's answers: over all chunks, each prefix's arcs, their counts and their suffixes' counts."""
     shard, mail = table["shard"][0].as_py(), _in_turn(table, "chunk")
-    sent = [_unpacked(a) for _, a in mail]
-    keys, inverse = np.unique(np.concatenate([np.cumsum(s[0]) for s in sent]), return_inverse=True)
-    sums = [np.bincount(inverse, np.concatenate([s[i] for s in sent]), len(keys)).astype(np.int64)[inverse] for i in (1, 2, 3)]
-    ends = np.cumsum([len(s[0]) for s in sent])
-    return _mail([(chunk, shard, _packed(*(x[end - len(s[0]) : end] for x in sums))) for (chunk, _), s, end in zip(mail, sent, ends, strict=True)])
+    (steps, *sums), lengths = _joined([a for _, a in mail])
+    keys, _, rank = _ranked(_summed(steps, lengths))
+    sums = [np.bincount(rank, s, len(keys)).astype(np.int64)[rank] for s in sums]
+    return _mail([(chunk, shard, a) for (chunk, _), a in zip(mail, _packed_apart([0, *np.cumsum(lengths)], *sums), strict=True)])
 
 
 SCORED_COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -299,9 +377,8 @@ def _score(layout: Layout, unigram: Unigram, least: int):
         shape, (_, _, lengths, held, valid, docs) = known.shape, known.state
         ask, backoff = known.asking(), np.zeros(len(shape.keys))
         if len(ask):
-            arcs, n, lower = (np.empty(len(ask), np.int64) for _ in range(3))
-            for (_, of), a in zip(layout.by_shard(shape.keys[ask]), [a for s, a in mail if s >= _SECOND], strict=True):
-                arcs[of], n[of], lower[of] = _unpacked(a)
+            arcs, n, lower = _joined([a for s, a in mail if s >= _SECOND])[0]
+            ask = ask[layout.by_shard(shape.keys[ask])[1]]
             some = arcs > 0
             ask, arcs, n, lower = ask[some], arcs[some], n[some], lower[some]
             left = 1 - (n - min(DISCOUNT, 1) * arcs) / known.counts[ask]

@@ -179,6 +179,67 @@ def test_language_model_without_rows_or_training(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.held_out for r in rows)
 
 
+def test_language_model_does_no_step_a_word(monkeypatch):
+    """A chunk is named by whole arrays: no digest a word, no argsort of its tokens; its shape is that of slow sorts."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 30) for _ in range(rng.randrange(60))) for _ in range(50)]
+    found = words_of(text_bytes(pa.array(texts)), NOT_SPACE)
+    layout, lengths = langmodel.Layout.of(1 << 20, 3), found.rows + 2
+    rows = [[langmodel.END, *(x + 1 for x in r), langmodel.END] for r in np.split(found.codes, np.cumsum(found.rows)[:-1])]
+    with monkeypatch.context() as m:
+        for owner, name in ((langmodel, "blake2b"), (np, "unique"), (np, "argsort")):
+            m.setattr(owner, name, lambda *a, name=name, **b: pytest.fail(name))
+        hashes = np.concatenate([layout.hashes(pa.array([b"\n"], pa.large_binary())), layout.hashes(found.distinct)])
+        shape = langmodel.Shape.of(np.concatenate(rows).astype(np.int32), hashes, lengths, layout)
+    grams = [{tuple(r[i - k + 1 : i + 1]) for r in rows for i in range(k - 1, len(r))} for k in (1, 2, 3)]
+    assert len(shape.keys) == len(set(shape.keys.tolist())) == sum(map(len, grams))
+    named, start = {}, 0
+    for r in rows:
+        for i, k in itertools.product(range(len(r)), (1, 2, 3)):
+            at = shape.at[k - 1][start + i]
+            if k > i + 1:
+                assert at == -1
+                continue
+            assert named.setdefault(at, r[i - k + 1 : i + 1]) == r[i - k + 1 : i + 1]
+            if k > 1:
+                assert (shape.prefix[at], shape.suffix[at]) == (shape.at[k - 2][start + i - 1], shape.at[k - 2][start + i])
+        start += len(r)
+    assert sorted(named) == list(range(len(shape.keys)))
+
+
+@pytest.mark.parametrize("low", [0, 1 << 62])
+def test_keys_are_ranked_as_by_unique(low):
+    rng = np.random.default_rng(4)
+    # the keys of a cluster differ only in bits that find no room above the positions
+    wide = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    for keys in (wide[rng.integers(0, 40, 5000)] + rng.integers(0, 3, 5000).astype(np.uint64), wide, wide[:1], wide[:0], np.zeros(9, np.uint64)):
+        keys = keys + np.uint64(low)
+        want, first, rank = np.unique(keys, return_index=True, return_inverse=True)
+        got = langmodel._ranked(keys)
+        assert (got[0] == want).all() and (got[1] == first).all() and (got[2] == rank).all() and len(got[0]) == len(want)
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [b"", b"a", b"a\0", b"aa", *(b"x" * n for n in range(7, 140)), *(b"x" * n + b"y" for n in range(7, 140)), "ünïcode".encode()]
+    column = pa.array(words, pa.large_binary())
+    hashes = langmodel._word_hashes(column).tolist()
+    assert len(set(hashes)) == len(words)
+    assert [int(langmodel._word_hashes(column.slice(i, 1))[0]) for i in range(len(words))] == hashes
+    assert langmodel._word_hashes(column.slice(0, 0)).tolist() == []
+
+
+def test_packed_parts_are_joined_again():
+    rng = np.random.default_rng(6)
+    keys = np.concatenate([np.sort(rng.integers(0, 1 << 63, n)).astype(np.uint64) for n in (5, 1, 700)])
+    counts, cuts = rng.integers(0, 1 << 40, 706) * (np.arange(706) > 5), [0, 5, 6, 706]
+    (steps, got), lengths = langmodel._joined(langmodel._packed_apart(cuts, langmodel._steps(keys, cuts), counts))
+    assert lengths.tolist() == [5, 1, 700] and (got == counts).all()
+    assert (langmodel._summed(steps, lengths) == keys).all()
+    flags, none = rng.random(30) < 0.5, np.zeros(0, np.int64)
+    back = langmodel._unpacked(langmodel._packed(flags, none, counts))
+    assert all(a.dtype == b.dtype and (a == b).all() and len(a) == len(b) for a, b in zip(back, (flags, none, counts), strict=True))
+
+
 def test_words_of_text():
     rng = random.Random(1)
     texts = ["".join(rng.choice(" \t\nAbé\x0b") for _ in range(rng.randrange(20))) for _ in range(50)] + [None, "", "a"]
