@@ -32,6 +32,8 @@ ORDER, LEAST, DISCOUNT = 3, 1, 0.75
 LANE, SHARE = 128, 1
 #: Bits of hash beyond those that number the corpus's n-grams.
 SPARE = 20
+#: Bits of hash at least: small corpora can have more than they need.
+FEWEST = 50
 #: Words of more bytes are hashed one by one.
 LONG = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +149,7 @@ class Layout(NamedTuple):
     @classmethod
     def of(cls, size: int, order: int) -> Layout:
         """For texts of so many bytes. An n-gram shares its key with another with probability 2^-SPARE at most, whatever the size."""
-        return cls(order, max(4, -(-size // (SHARE * (LANE << 15)))), min(62, max(32, (order * max(size, 1)).bit_length() - 1 + SPARE)))
+        return cls(order, max(4, -(-size // (SHARE * (LANE << 15)))), min(62, max(FEWEST, (order * max(size, 1)).bit_length() - 1 + SPARE)))
 
     def hashes(self, words: pa.Array) -> np.ndarray:
         """Of the words' hashes what keys can hold."""

@@ -228,6 +228,12 @@ def test_word_hashes_depend_on_the_word_alone():
     assert langmodel._word_hashes(column.slice(0, 0)).tolist() == []
 
 
+def test_keys_of_small_corpora_have_room():
+    """With 46 bits two n-grams of the 25 MB of sf0.1 shared a key, and five rows were scored otherwise."""
+    assert langmodel.Layout.of(25_000_000, 3).bits == langmodel.Layout.of(0, 3).bits == 50
+    assert langmodel.Layout.of(900_000_000, 3).bits == 51 and langmodel.Layout.of(1 << 50, 3).bits == 62
+
+
 def test_packed_parts_are_joined_again():
     rng = np.random.default_rng(6)
     keys = np.concatenate([np.sort(rng.integers(0, 1 << 63, n)).astype(np.uint64) for n in (5, 1, 700)])
